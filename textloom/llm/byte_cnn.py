@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bytehash
-from textloom.llm.common import read
+from textloom.llm.common import arrow_map, read
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 PER_LANG, SPOTS, MAX_LANGS = 1500, 3, 256
 EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 11
 #: A document whose best mean probability is below this is rejected by the pipeline.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 _REACH = max(WIDTHS)
 
 
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(True))
     rows = docs.select("doc_id", "text", held.alias("held_out"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return arrow_map(rows, _predict(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,4 +216,4 @@ def _keep(net: ByteCnn | None, names: list[str]):
 
 def recognised(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     """The rows of docs, with all their columns, whose language is recognised with a score of MIN_SCORE at least."""
-    return docs.mapInArrow(_keep(net, docs.columns), docs.schema)
+    return arrow_map(docs, _keep(net, docs.columns), docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bytehash
-from textloom.llm.common import read
+from textloom.llm.common import arrow_map, read
 
 SAMPLE, ROUNDS, SHARE, SEED = 6000, 5, 0.05, 23
 _CLASS = np.full(256, 7, np.uint8)
@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     labelled = rows.join(F.broadcast(labels), "doc_id")
     pool = rows.where("doc_id is not null").where(draw < min(1.0, SAMPLE / size)).join(F.broadcast(labels.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
     kind = dict(rows.dtypes)["doc_id"]
-    got = labelled.unionByName(pool).select("doc_id", "text", "source", "lang", "n_chars", "label").mapInArrow(_features, f"doc_id {kind}, label int, xt binary, xm binary").collect()
+    both = labelled.unionByName(pool).select("doc_id", "text", "source", "lang", "n_chars", "label")
+    got = arrow_map(both, _features, f"doc_id {kind}, label int, xt binary, xm binary").collect()
     got.sort(key=lambda r: str(r["doc_id"]))
     if not any(r["label"] is not None for r in got):
         return None
@@ -212,7 +213,7 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     """doc_id, text_score, meta_score and score (the chance of good quality) for each row of docs."""
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_score(model), f"doc_id {kind}, text_score double, meta_score double, score double")
+    return arrow_map(rows, _score(model), f"doc_id {kind}, text_score double, meta_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

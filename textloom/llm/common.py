@@ -19,6 +19,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder named by the session; a temporary one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
