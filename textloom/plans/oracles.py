@@ -247,7 +247,7 @@ _NORM = r"rtrim(regexp_replace(lower({}), '\s+', ' ', 'g'), ' .')"
 _HDR = f"hdr AS (SELECT * FROM (SELECT note_id, header, {_NORM.format('header')} AS norm FROM (SELECT note_id, unnest(regexp_extract_all(text, '{_HEAD}', 1)) AS header FROM sectioned)) WHERE length(norm) >= 3)"
 _LEX = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{x.key}', '{s}')" for x in LEXICON for s in x.synonyms) + ") t(section, synonym))"
 _NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join([f"('{s}', '{x.key}', '{x.key}')" for x in LEXICON for s in x.synonyms] + [f"('{p}', 'field {p}', 'OTHER')" for p in PREAMBLE]) + ") t(norm, k, section))"
-_NORM_LINE = _NORM.format(r"regexp_extract(line, '^[ \t]*([A-Z][A-Za-z][A-Za-z \-/&()''.]{0,47}):', 1)")
+_NORM_LINE = _NORM.format("regexp_extract(line, '" + _HEAD.removeprefix("(?m)") + "', 1)")
 # lines with their offsets, headers at line starts, the first of each key, parts, and neighbouring OTHER parts merged
 _SPANS = rf"""ln AS (SELECT note_id, text, line, no, coalesce(sum(length(line) + 1) OVER (PARTITION BY note_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM (SELECT note_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM sectioned)),
