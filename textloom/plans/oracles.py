@@ -352,7 +352,7 @@ def term_cells() -> str:
 
 
 def term_summary() -> str:
-    return _w(_D, *_BASE, _CAND, _AN, _terms(_AC), _AOCC, _TC, select="SELECT term, occurrences, "both" + term_only AS notes, round(term_only::DOUBLE / nullif("both" + term_only, 0), 6) AS without_code FROM tc")
+    return _w(_D, *_BASE, _CAND, _AN, _terms(_AC), _AOCC, _TC, select="SELECT term, occurrences, \"both\" + term_only AS notes, round(term_only::DOUBLE / nullif(\"both\" + term_only, 0), 6) AS without_code FROM tc")
 
 
 # the text before the document's own holds the only marks; numbers of the documents stand between blanks in their own words
