@@ -10,7 +10,7 @@ Without given weights a source's share is in proportion to its rows to the power
 number of input rows.  A null source is a source; sources without a given weight get none and vanish, as do
 rows that draw 0.  A null doc_id draws as the empty text; repeated rows draw alike.  The rates are broadcast
 while there are at most 100,000 sources, else joined; a source that holds a third of all rows is one row of
-that table.  An empty table gives an empty result.
+that table.  An empty table gives an empty result.  Columns of the input that are named copy or shuffle_key are replaced.
 """
 
 from __future__ import annotations
@@ -54,16 +54,19 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None
 def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
     """The columns of docs, with copy (from 1) and shuffle_key (the place in the global order)."""
     table = Scratch(spark).write(rates(docs, weights, total), "rates")
-    side = F.broadcast(table) if table.count() <= _BROADCAST_SOURCES else table
+    n_sources = table.count()
+    table = table.toDF("__src", "__rate", "__draws", "__cdf")
+    side = F.broadcast(table) if n_sources <= _BROADCAST_SOURCES else table
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
-    one = F.size(F.filter("cdf", lambda c: c <= F.col("__u")))
-    many = F.aggregate(F.sequence(F.lit(2), F.greatest(F.col("draws"), F.lit(2))), F.lit(0), lambda s, j: s + draw(j))
-    out = docs.join(side, F.col("source").eqNullSafe(F.col("src"))).withColumn("__u", uniform(F.lit(str(seed)), key, F.lit("1")))
-    out = out.withColumn("__n", one + F.when(F.col("draws") > 1, many).otherwise(0)).where("__n > 0")
+    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
+    one = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    many = F.aggregate(F.sequence(F.lit(2), F.greatest(F.col("__draws"), F.lit(2))), F.lit(0), lambda s, j: s + draw(j))
+    out = docs.join(side, F.col("source").eqNullSafe(F.col("__src"))).withColumn("__u", uniform(F.lit(str(seed)), key, F.lit("1")))
+    out = out.withColumn("__n", one + F.when(F.col("__draws") > 1, many).otherwise(0)).where("__n > 0")
+    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "__n")))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("copy").cast("string"))))
-    return out.select(*docs.columns, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.select(*names, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
