@@ -249,7 +249,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     tiles = tiles.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     tiles = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
-    tiles = tiles.select("token", "i", "j", "block", "doc_id", "n", "pos", "comp").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number, since merged partitions of few bytes are much work
+    tiles = tiles.select("token", "i", "j", "block", "doc_id", "n", "pos", "comp").repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = scratch.write(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "pairs")
     pairs = pairs.join(shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), ["a", "b"], "left_anti")
     second = _verified(scratch, docs, signs, pairs, "second")
