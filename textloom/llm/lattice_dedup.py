@@ -30,7 +30,7 @@ from textloom.llm.common import Scratch, components, read
 
 THRESHOLD = 0.93
 #: Lattice tables, eight-dimensional blocks of each, probed neighbours, the size of a cell, and the seed.
-TABLES, BLOCKS, PROBES, CELL, SEED = 8, 2, 16, 1.8, 7
+TABLES, BLOCKS, PROBES, CELL, SEED = 8, 2, 16, 2.0, 7
 #: Vectors of a block of a large cell.
 BLOCK = 2000
 
