@@ -50,12 +50,15 @@ def code_ranking(codes: DataFrame, titles: DataFrame, min_label: int = MIN_LABEL
     Only a code with min_label notes gives its title; the share is of all notes with a code of the version.
     """
     codes = codes.withColumn("grp", code_group(F.col("code"), F.col("version")))
-    full = codes.groupBy("version", "grp", "code").agg(F.count_distinct("note_id").alias("n_code"))
+    # notes of codes, of groups and of versions from one pass over the codes
+    rows = codes.select("note_id", "version", F.explode(F.array(F.struct(F.lit(0).alias("level"), "grp", "code"), F.struct(F.lit(1).alias("level"), "grp", F.lit(None).cast("string").alias("code")), F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("grp"), F.lit(None).cast("string").alias("code")))).alias("x")).select("note_id", "version", "x.*").distinct()
+    counts = rows.groupBy("level", "version", "grp", "code").agg(F.count(F.lit(1)).alias("n"))
+    full = counts.where("level = 0").select("version", "grp", "code", F.col("n").alias("n_code"))
     best = full.where(F.col("n_code") >= min_label).withColumn("r", F.row_number().over(Window.partitionBy("version", "grp").orderBy(F.desc("n_code"), "code"))).where("r = 1")
     t = titles.select(F.trim("icd_code").alias("tc"), version_number(F.col("icd_version")).alias("tv"), "long_title")
     best = best.join(t, (F.col("code") == F.col("tc")) & (F.col("version") == F.col("tv")), "left").select(F.col("version").alias("bv"), F.col("grp").alias("bg"), "long_title")
-    per_group = codes.groupBy("version", "grp").agg(F.count_distinct("note_id").alias("n")).where(F.col("n") >= min_label)
-    totals = codes.groupBy(F.col("version").alias("ov")).agg(F.count_distinct("note_id").alias("all_n"))
+    per_group = counts.where("level = 1").select("version", "grp", "n").where(F.col("n") >= min_label)
+    totals = counts.where("level = 2").select(F.col("version").alias("ov"), F.col("n").alias("all_n"))
     out = per_group.join(F.broadcast(totals), F.col("version") == F.col("ov")).join(best, (F.col("version") == F.col("bv")) & (F.col("grp") == F.col("bg")), "left")
     out = out.withColumn("position", F.row_number().over(Window.partitionBy("version").orderBy(F.desc("n"), "grp"))).where(F.col("position") <= top)
     return out.select("version", "grp", F.coalesce("long_title", F.lit("unknown")).alias("title"), "n", F.round(F.col("n") / F.col("all_n"), 6).alias("share"), F.col("position").cast("long").alias("position"))

@@ -21,9 +21,10 @@ def input_corpus_selection(notes: DataFrame, diagnoses: DataFrame, min_chars: in
     rows = notes.select("note_id", "subject_id", "hadm_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.sha2("text", 256).alias("digest"))
     rows = rows.join(coded, F.col("hadm_id") == F.col("__coded"), "left").withColumn("has_icd", F.col("__coded").isNotNull()).drop("__coded")
     rows = rows.withColumn("candidate", F.col("has_icd") & (F.col("chars") >= min_chars))
-    ranked = rows.where("candidate").withColumn("copy", F.row_number().over(Window.partitionBy("digest").orderBy("note_id")))
-    others = rows.where("not candidate").withColumn("copy", F.lit(None).cast("int"))
-    return ranked.unionByName(others).select("note_id", "subject_id", "hadm_id", "has_icd", bigint("copy"))
+    # notes that are no candidates are groups of their own, so one pass ranks all and none of them share a task
+    group = F.when(F.col("candidate"), F.col("digest")).otherwise(F.concat(F.lit("note "), F.coalesce("note_id", F.xxhash64("subject_id", "hadm_id", "digest").cast("string"))))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("note_id"))
+    return rows.withColumn("group", group).withColumn("copy", F.when(F.col("candidate"), rank)).select("note_id", "subject_id", "hadm_id", "has_icd", bigint("copy"))
 
 
 def input_corpus(notes: DataFrame, diagnoses: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -89,14 +91,35 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 29 <> 0""
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
+#: The same rows in one scan, for Spark.
+SPARK_LENS = {
+    "diagnoses_icd": """
+SELECT CAST(doc_id + 1 AS STRING) AS hadm_id, c.icd_code, c.icd_version FROM labels LATERAL VIEW explode(filter(array(
+  named_struct('icd_code', 'Z00', 'icd_version', '10'), IF(quality = 1 AND doc_id % 2 = 0, named_struct('icd_code', 'E119', 'icd_version', '10'), NULL),
+  IF(toxic = 1 OR doc_id % 9 = 1, named_struct('icd_code', '25000', 'icd_version', '9'), NULL), IF(doc_id % 3 = 0, named_struct('icd_code', 'I48', 'icd_version', '10'), NULL),
+  IF(doc_id % 4 = 0, named_struct('icd_code', '4273', 'icd_version', '9'), NULL), IF(doc_id % 5 = 0, named_struct('icd_code', 'J189', 'icd_version', '10'), NULL),
+  IF(doc_id % 7 = 0, named_struct('icd_code', ' n189 ', 'icd_version', '10'), NULL), IF(doc_id % 6 = 1, named_struct('icd_code', 'J449', 'icd_version', '10'), NULL),
+  IF(doc_id % 11 = 0, named_struct('icd_code', CAST(NULL AS STRING), 'icd_version', '10'), NULL), IF(doc_id % 13 = 0, named_struct('icd_code', 'E11.9', 'icd_version', '10'), NULL),
+  IF(doc_id % 6 = 2, named_struct('icd_code', 'E8859', 'icd_version', '9'), NULL)), x -> x IS NOT NULL)) t AS c""",
+}
+
+
+_registered: dict[str, tuple[str, str]] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
+    """Views of the given tables, of those that sql names if it is given; a view that is there for the same folder stays."""
     for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        here = (spark.sparkContext.applicationId, sf_dir)
+        if (sql is None or re.search(rf"\b{t}\b", sql)) and (_registered.get(t) != here or not spark.catalog.tableExists(t)):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            _registered[t] = here
 
 
 def lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables(spark, sf_dir)
-    return spark.sql(LENS[name])
+    sql = SPARK_LENS.get(name, LENS[name])
+    tables(spark, sf_dir, sql)
+    return spark.sql(sql)
 
 
 def with_lens(names: str, sql: str) -> str:
