@@ -189,6 +189,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
     ("<article><h1>T &amp; t</h1><p>One  two<br>three</p><p>Four&nbsp;five</p><div class=ad>Buy</div></article>", "T & t\nOne two three\nFour five"),
     ("<div id=content><div class='post'><p>A first long paragraph of the text, with words.</p><p>A second long paragraph <a href=x>with link</a> of the text.</p></div></div>", "A first long paragraph of the text, with words.\nA second long paragraph with link of the text."),
     ("<main><p><b>Bold<br><p>Next<ul><li>x<li>y</ul><table><tr><td>1<td>2</table></main>", "Bold\nNext\nx\ny\n1 2"),
+    ("<div class='layout has-sidebar'><div class='site-header'><p>The name of this site</p></div><div class='content'><h1>Head</h1><p>A long first paragraph of text, it is.</p><p>A long second paragraph of text, it is.</p></div></div>", "Head\nA long first paragraph of text, it is.\nA long second paragraph of text, it is."),
     ("<ARTICLE><P TITLE='a>b'>Up</P><!-- <p>no</p> --><svg><text>no</text></svg></ARTICLE>", "Up"),
 ])
 def test_main_text(article, text):

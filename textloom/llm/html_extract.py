@@ -12,7 +12,8 @@ element that holds the core is the text.
 Inside the text, character references are decoded, runs of white space become one space, blocks are trimmed
 and joined by a newline in page order; empty blocks are left out.  A line break inside a block is white space.
 A null or empty page gives an empty text; a page without a body element is taken as a body.  Broken markup
-never fails: unclosed elements end with their parent, stray end tags are ignored.  Rows come back one for
+never fails: unclosed elements end with their parent, stray end tags are ignored.  A page whose classes and
+ids leave no text is read again without looking at them.  Rows come back one for
 one, with repeated and null ids as they are; other columns are ignored.  One page is one unit of work and
 memory.
 """
@@ -39,7 +40,9 @@ _SPACE = frozenset("br td th img".split())
 _DROP = frozenset("nav footer aside form button select menu dialog head".split())
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 #: Words in class or id that mark what is not the article.
-_DROP_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
+_DROP_NAME = re.compile(r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ads?|advert\w*|adsense|alert|announcement|banner|breadcrumbs?|comment\w*|cookies?|consent|discussion|disqus|feedback|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|related|replies|respond|responses|share|sharing|side-?bar|signup|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
+#: The same outside a marked article: heads of pages.
+_DROP_HEAD = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-]?)?header(?:$|\s)", re.I)
 #: Start tags that end an open element of the second set, up to a border.
 _P_ENDS = _BLOCK - {"body", "html", "caption", "legend", "option", "summary", "tbody", "thead", "tfoot", "tr", "dd", "dt", "li"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tr", "td", "th", "tbody"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
@@ -53,14 +56,14 @@ class Node:
         self.kids: list = []
 
 
-def _attributes(tag: str, text: str, in_marked: bool) -> tuple[bool, bool]:
-    """Whether the element is taken out, and whether it marks the article."""
+def _attributes(tag: str, text: str, in_marked: bool, names: bool = True) -> tuple[bool, bool]:
+    """Whether the element is taken out, and whether it marks the article; names=False looks at no class and id."""
     drop, marked = tag in _DROP or (tag == "header" and not in_marked), tag in ("article", "main")
     if text and not text.isspace():
         for name, value in _ATTR.findall(text):
             name, value = name.lower(), value.strip("\"' ").lower()
             if name in ("class", "id"):
-                if tag not in ("body", "html") and _DROP_NAME.search(value):
+                if names and tag not in ("body", "html") and (_DROP_NAME.search(value) or not in_marked and _DROP_HEAD.search(value)):
                     drop = True
             elif name == "role":
                 drop = drop or value in _DROP_ROLE
@@ -72,7 +75,7 @@ def _attributes(tag: str, text: str, in_marked: bool) -> tuple[bool, bool]:
     return drop, marked
 
 
-def parse(html: str) -> Node:
+def parse(html: str, names: bool = True) -> Node:
     root = node = Node("html", None)
     html = _RAW.sub(" ", html)
     at = depth = 0
@@ -114,10 +117,10 @@ def parse(html: str) -> Node:
             if last is not None:
                 node = last.parent
         x, in_marked = node, False
-        if tag == "header":
+        if tag == "header" or "header" in rest.lower():
             while x is not None and not in_marked:
                 in_marked, x = x.marked, x.parent
-        drop, marked = _attributes(tag, rest, in_marked)
+        drop, marked = _attributes(tag, rest, in_marked, names)
         new = Node(tag, node, drop, marked)
         node.kids.append(new)
         if tag not in _VOID and not rest.rstrip().endswith("/"):
@@ -234,7 +237,11 @@ def _blocks(tops: list[Node]) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
+    return _main_text(html, True) or _main_text(html, False)
+
+
+def _main_text(html: str, names: bool) -> str:
+    root = parse(html, names)
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
     nodes = _ordered(body)
     _measure(nodes)
