@@ -328,14 +328,14 @@ query("mean_pool", sql.MEAN_POOL)(lambda s, d: (tables(s, d), features.mean_pool
 def _classifier(name: str, **options):
     def run(s, d):
         rows = _grams(s, d).withColumn("label", F.col("label").cast("double"))
-        return features.cross_validated(rows, name, [0, 1], vocabulary=2000, **options)
+        return features.cross_validated(rows, name, [0, 1], **{"vocabulary": 500, "iterations": 20} | options)
 
     return run
 
 
 query("logistic_regression")(_classifier("logistic"))
 query("linear_svm")(_classifier("svm"))
-query("boosted_trees_on_components")(_classifier("gbt", dense=8))
+query("boosted_trees_on_components")(_classifier("gbt", dense=8, vocabulary=100))
 query("naive_bayes")(_classifier("complement_nb"))
 query("tuned_threshold")(lambda s, d: features.tuned_threshold(_classifier("logistic")(s, d)))
 
