@@ -218,7 +218,7 @@ def _parts(s, d):
     return rows.select("note_id", "section", F.substring(F.col("text"), F.col("body_start").cast("int") + 1, F.col("body_chars").cast("int")).alias("body"))
 
 
-query("normalized_text", sql.NORMALIZED)(lambda s, d: preprocessing.normalized(_acronym_notes(s, d)))
+query("normalized_text")(lambda s, d: preprocessing.normalized(_acronym_notes(s, d)))
 query("classifier_text")(lambda s, d: _acronym_notes(s, d).select("note_id", notetext.classifier_text(F.col("text")).alias("text")))
 query("note_preprocessing", sql.NOTE_PREPROCESSING)(lambda s, d: _vocabulary(s, d).select("note_id", "tokens_raw", F.size("vocabulary_raw").cast("long").alias("vocabulary"), F.sha2(F.array_join("vocabulary_raw", " "), 256).alias("digest")))
 query("preprocessing_summary")(lambda s, d: preprocessing.preprocessing_summary(_vocabulary(s, d)))

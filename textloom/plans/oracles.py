@@ -355,8 +355,6 @@ def term_summary() -> str:
     return _w(_D, *_BASE, _CAND, _AN, _terms(_AC), _AOCC, _TC, select="SELECT term, occurrences, \"both\" + term_only AS notes, round(term_only::DOUBLE / nullif(\"both\" + term_only, 0), 6) AS without_code FROM tc")
 
 
-# the text before the document's own holds the only marks; numbers of the documents stand between blanks in their own words
-NORMALIZED = None
 _VOC = r"voc AS (SELECT note_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda w: length(w) >= 2) AS t FROM an)"
 NOTE_PREPROCESSING = f"WITH {_AN}, {_VOC} SELECT note_id, CAST(len(t) AS BIGINT) AS tokens_raw, CAST(len(list_distinct(t)) AS BIGINT) AS vocabulary, sha256(array_to_string(list_sort(list_distinct(t)), ' ')) AS digest FROM voc"
 TOKEN_FREQUENCY = f"WITH {_AN}, {_VOC} SELECT token, count(*) AS df FROM (SELECT note_id, unnest(list_distinct(t)) AS token FROM voc) GROUP BY token"
