@@ -196,6 +196,16 @@ def test_main_text(article, text):
     assert html_extract.main_text(PAGE % article) == text
 
 
+def test_main_text_is_chosen_by_density_inside_marks():
+    part = "<p>A long %s paragraph of the text, with a number of words.</p>"
+    two = PAGE % f"<article>{part % 'first'}{part % 'second'}</article><article>{part % 'third'}{part % 'fourth'}</article>"
+    assert html_extract.main_text(two).split("\n") == [f"A long {k} paragraph of the text, with a number of words." for k in ("first", "second", "third", "fourth")]
+    links = "<div class='more'><ul>" + "<li><a href='x'>Go on</a></li>" * 20 + "</ul></div>"
+    around = PAGE % f"<main><h1>T</h1>By me<div class='content'>{part % 'first'}{part % 'second'}</div>{links}</main>"
+    assert html_extract.main_text(around) == "T\nBy me\n" + "\n".join(f"A long {k} paragraph of the text, with a number of words." for k in ("first", "second"))
+    assert html_extract.main_text(PAGE % f"<main></main><div>{part % 'only'}</div>") == "A long only paragraph of the text, with a number of words."
+
+
 def test_pages_of_the_tables(spark):
     for r in html_extract.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         x = r["html"]

@@ -6,8 +6,9 @@ out first.  Each remaining node gets its composite density: characters per tag,
 linked characters and tags.  A node's density sum adds up its children's densities.  The node with the
 largest sum is the core; the smallest density on the path from the body to the core is the threshold, and
 siblings along that path whose density reaches it belong to the text.  A page that marks its article
-(`article`, `main`, role=main, itemprop=articleBody) is searched inside these elements, and the marked
-element that holds the core is the text.
+(`article`, `main`, role=main, itemprop=articleBody) is searched inside the outermost of these elements that hold
+characters: the core and the threshold are found in the same way, parts without links are kept whatever their
+density, and further marked elements whose density reaches the threshold add their own cores, in page order.
 
 Inside the text, character references are decoded, runs of white space become one space, blocks are trimmed
 and joined by a newline in page order; empty blocks are left out.  A line break inside a block is white space.
@@ -167,39 +168,48 @@ def _measure(nodes: list[Node]) -> None:
         x.total = sum(kids) if kids else x.density
 
 
-def _core(nodes: list[Node]) -> list[Node]:
-    """The subtrees that are the text, in page order."""
-    body = nodes[0]
-    marked = [x for x in nodes if x.marked]
-    if marked:
-        tops, seen = [], set()
-        for x in marked:
-            p = x.parent
-            while p is not None and not p.marked:
-                p = p.parent
-            if p is None:
-                tops.append(x)
-            seen.add(id(x))
-        return [max(tops, key=lambda x: (x.total, x.chars))]
-    core = max(nodes, key=lambda x: x.total)
-    path, x = [], core
-    while x is not None:
-        path.append(x)
-        if x is body:
-            break
+def _above(x: Node, top: Node) -> list[Node]:
+    """x and its ancestors up to top."""
+    out = [x]
+    while x is not top and x.parent is not None:
         x = x.parent
-    least = min(p.density for p in path)
-    if core is body or len(path) < 2:
-        return [core]
+        out.append(x)
+    return out
+
+
+def _core(nodes: list[Node]) -> list[Node]:
+    """The subtrees that are the text, in page order; parts of marked elements that are not are taken out."""
+    body, inside, best = nodes[0], {}, {}  # the outermost marked element of each node that has one, and its core
+    for x in nodes:
+        top = inside.get(id(x.parent)) or (x if x.marked and x.chars else None)
+        if top is not None:
+            inside[id(x)] = top
+            if id(top) not in best or x.total > best[id(top)][1].total:
+                best[id(top)] = (top, x)
+    core = max([x for _, x in best.values()] or nodes, key=lambda x: x.total)
+    least = min(p.density for p in _above(core, body))
+    if not best:
+        return _around(core, body, least)
+    tops = [(top, x) for top, x in best.values() if x is core or top.density >= least]
+    for top, x in tops:
+        path = _above(x, top)
+        for parent, child in zip(path[1:], path):
+            for k in parent.kids:
+                if isinstance(k, Node) and k is not child and not k.drop:
+                    k.drop = k.density < least and k.lchars > 0
+    return [top for top, _ in tops]
+
+
+def _around(core: Node, body: Node, least: float) -> list[Node]:
+    """core and the siblings along its path whose density reaches least, in page order."""
+    path = _above(core, body)
     out = []
     for parent, child in zip(path[:0:-1], path[-2::-1]):  # from the body down; the core is the last child
         spot = next(i for i, k in enumerate(parent.kids) if k is child)
         for i, k in enumerate(parent.kids):
             if isinstance(k, Node) and k is not child and not k.drop and k.density >= least and k.chars:
-                out.append((parent, i < spot, k))
-    before = [k for _, first, k in out if first]
-    after = [k for _, first, k in reversed(out) if not first]
-    return [*before, core, *after]
+                out.append((i < spot, k))
+    return [*(k for first, k in out if first), core, *(k for first, k in reversed(out) if not first)]
 
 
 def _blocks(tops: list[Node]) -> list[str]:
