@@ -206,6 +206,18 @@ def test_main_text_is_chosen_by_density_inside_marks():
     assert html_extract.main_text(PAGE % f"<main></main><div>{part % 'only'}</div>") == "A long only paragraph of the text, with a number of words."
 
 
+@pytest.mark.parametrize("inside,text", [
+    ("<p>See the <a href='/wiki/Hidden_Markov_model'>model</a> here</p>", "See the model here"),
+    ("<p>See the <a href=/p?id=share title='The hidden one'>page</a> here</p>", "See the page here"),
+    ("<p data-hidden='false' data-overflow=hidden data-class=ad>Words</p>", "Words"),
+    ("<p hidden>No</p><p HIDDEN=''>No</p><p Class = 'ad'>No</p><p style='color:red;display: none'>No</p><p>Yes</p>", "Yes"),
+    ("<p>One <svg class='i' /> two</p><p><svg/>three <!-->four</p>", "One two\nthree four"),
+    ("<p>One <svg data-x='>'><text>no</text></svg> two</p><script src=/a/>no</script><title-bar>three</title-bar>", "One two\nthree"),
+])
+def test_attributes_are_whole_names(inside, text):
+    assert html_extract.main_text(PAGE % f"<article>{inside}</article>") == text
+
+
 def test_pages_of_the_tables(spark):
     for r in html_extract.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         x = r["html"]

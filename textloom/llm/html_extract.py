@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_map, read
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|object|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Comments, and elements whose content is no text; one that is closed by its own tag ends there.
+_RAW = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|template|iframe|svg|textarea|title|object|math|canvas)(?=[\s/>])(?:/>|(?:[^"'>]++|"[^"]*+"|'[^']*+')*+(?:(?<=[\s"']/)>|>.*?(?:</\1\s*>|\Z))|[^>]*>.*?(?:</\1\s*>|\Z))""", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
-_ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute: its whole name, and its value.
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 _SPACE = frozenset("br td th img".split())
