@@ -57,3 +57,12 @@ def test_entry(spark):
 
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["logistic_regression", "linear_svm", "naive_bayes", "tuned_threshold"])
+def test_classifiers_run_with_the_defaults_of_the_operator(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(catalog.features, "cross_validated", lambda rows, family, folds, **options: seen.append((rows, folds, options)) or rows.withColumns({"score": rows.label, "label": rows.label == 1}))
+    catalog.QUERIES[name](spark, SF)
+    [(rows, folds, options)] = seen
+    assert folds == [0, 1, 2, 3, 4] and not options and {r["fold"] for r in rows.select("fold").distinct().collect()} == set(folds)

@@ -325,17 +325,21 @@ query("standard_scaler", sql.SCALER)(lambda s, d: (tables(s, d), features.standa
 query("mean_pool", sql.MEAN_POOL)(lambda s, d: (tables(s, d), features.mean_pool(s.table("embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x", "label").select("label", "position", F.round("mean", 6).alias("mean")))[1])
 
 
+#: Outer folds of the classifiers.
+FOLDS = 5
+
+
 def _classifier(name: str, **options):
     def run(s, d):
-        rows = _grams(s, d).withColumn("label", F.col("label").cast("double"))
-        return features.cross_validated(rows, name, [0, 1], **{"vocabulary": 500, "iterations": 20} | options)
+        rows = _grams(s, d).withColumns({"label": F.col("label").cast("double"), "fold": F.pmod("id", F.lit(FOLDS)).cast("int")})
+        return features.cross_validated(rows, name, list(range(FOLDS)), **options)
 
     return run
 
 
 query("logistic_regression")(_classifier("logistic"))
 query("linear_svm")(_classifier("svm"))
-query("boosted_trees_on_components")(_classifier("gbt", dense=8, vocabulary=100))
+query("boosted_trees_on_components")(_classifier("gbt", dense=8, vocabulary=100, iterations=20))
 query("naive_bayes")(_classifier("complement_nb"))
 query("tuned_threshold")(lambda s, d: features.tuned_threshold(_classifier("logistic")(s, d)))
 
