@@ -329,6 +329,44 @@ def test_quality_odd_rows(spark):
     assert [r["score"] for r in co_training.score(rows, None).collect()] == [0.5] * 4
 
 
+def test_quality_pool_is_every_other_document(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(co_training, "SAMPLE", 200)
+    seen = []
+
+    def co_train(xt, xm, y, pool, scratch, run=co_training.co_train):
+        views, tie = {"text": None, "meta": None}, np.array([r["tie"] for r in pool.collect()])
+        for k, dim in (("text", co_training.TEXT_DIM), ("meta", co_training.META_DIM)):
+            views[k] = np.stack([np.frombuffer(r[k], np.float32) for r in pool.collect()]).reshape(-1, dim)
+        rounds, handed = [], co_training._newly_handed
+        monkeypatch.setattr(co_training, "_newly_handed", lambda r: (rounds.append(r), handed(r))[1])
+        model = run(xt, xm, y, pool, scratch)
+        seen.append((len(y), len(tie), y, xt, xm, views, tie, rounds, model))
+        return model
+
+    monkeypatch.setattr(co_training, "co_train", co_train)
+    co_training.train(docs, labels)
+    [(n, size, y, xt, xm, views, tie, rounds, model)] = seen
+    assert n <= 400 and n + size == docs.count()
+    assert len(rounds) == co_training.ROUNDS
+    fitted = np.arange(n) % 4 != 3
+    take, good = max(1, int(co_training.SHARE * size)), y[fitted].mean()
+    n_good = max(1, round(take * good))
+    given = {k: {} for k in views}  # brute force: the most confident of those not yet handed over
+    for bounds in rounds[-1]:
+        for k, other in co_training.OTHER.items():
+            key = co_training.keys(bounds[k][0], views[k], tie)
+            order = [i for i in np.argsort(key, kind="stable") if i not in given[other]]
+            given[other] |= {i: 1 for i in order[-n_good:]} | {i: 0 for i in order[: take - n_good]}
+    for k, own in (("text", xt), ("meta", xm)):
+        got = co_training.handed(rounds[-1], views, tie)[k]
+        assert {i: got[i] for i in np.flatnonzero(~np.isnan(got))} == given[k]
+        at = sorted(given[k])
+        whole = co_training.Logistic(3.0)
+        whole.fit(np.concatenate([own[fitted], views[k][at]]), np.concatenate([y[fitted], [given[k][i] for i in at]]))
+        assert np.abs(whole.w - getattr(model, k).w).max() < 1e-4
+
+
 # --- sharding -----------------------------------------------------------------------------------------------------
 def test_lookup_table():
     names = sharding.shard_names(7)

@@ -7,9 +7,11 @@ unlabelled pool of which it is most confident, in the shares of the labelled cla
 *other* one, which is trained again.  Both views are calibrated by a logistic curve on labelled documents kept out of the
 training, joined as the sum of their log-odds less the prior's, and score all documents.
 
-The sample for training has at most SAMPLE labelled and SAMPLE unlabelled documents, drawn by the hash of their
-doc_id; scoring reads every text, whole.  Features of a text are sums over fixed-size pieces of bytes, so a very long text
-needs no more memory than its own length.
+The labelled documents for training are at most SAMPLE, drawn by the hash of their doc_id.  The pool is every other
+document: its features are written once, each round's confident share is cut off at distributed quantiles of the scores
+(equal scores by the hash of the doc_id), and each Newton step adds sums over all documents handed over so far to those over the
+labelled ones.  The driver holds the labelled features and sums, whatever the pool.  Scoring reads every text, whole.
+Features of a text are sums over fixed-size pieces of bytes, so a very long text needs no more memory than its own length.
 
 Null and empty texts have a text view of zeros; null source, lang and n_chars are values of their own; a doc_id
 that labels hold several times has the rounded mean of its labels; null labels and ids are not learnt from.  Without
@@ -24,9 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bytehash
-from textloom.llm.common import arrow_map, read
+from textloom.llm.common import Scratch, arrow_map, read
 
 SAMPLE, ROUNDS, SHARE, SEED = 6000, 5, 0.05, 23
+#: Relative error in rank of the quantiles of scores is one in ACCURACY; a Newton step's sums come from PARTS tasks at most.
+ACCURACY, PARTS = 100_000, 64
+#: Which view labels for which.
+OTHER = {"text": "meta", "meta": "text"}
 _CLASS = np.full(256, 7, np.uint8)
 for _k, _range in enumerate([[0x20], [0x09, 0x0A, 0x0B, 0x0C, 0x0D], range(97, 123), range(65, 91), range(48, 58), b".,;:!?'\"-()", b"#$%&*+/<=>@[\\]^_`{|}~"]):
     _CLASS[list(_range)] = _k
@@ -103,17 +109,7 @@ class Logistic:
         self.penalty, self.w, self.a, self.b = penalty, None, 1.0, 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        x = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
-        w = np.zeros(x.shape[1])
-        ridge = np.full(len(w), self.penalty)
-        ridge[-1] = 1e-6
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
-            w -= step
-            if np.abs(step).max() < 1e-6:
-                break
-        self.w = w
+        fit({"": self}, {"": (x, y)})
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return x @ self.w[:-1] + self.w[-1]
@@ -127,6 +123,35 @@ class Logistic:
         return np.clip(self.a * self.raw(x) + self.b, -30, 30)
 
 
+def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the loss over rows, without the penalty."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (p - y), (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+
+
+def fit(models: dict[str, Logistic], own: dict, more=None) -> None:
+    """Fits models by name on rows own (x, y) and on those that more(weights) has sums of: name to gradient and Hessian."""
+    at = {k: np.zeros(own[k][0].shape[1] + 1) if m.w is None or more is None else m.w for k, m in models.items()}
+    todo = set(at)
+    for _ in range(25):
+        far = more({k: at[k] for k in todo}) if more else {}
+        for k in sorted(todo):
+            ridge = np.full(len(at[k]), models[k].penalty)
+            ridge[-1] = 1e-6
+            g, h = newton_sums(at[k], *own[k])
+            if k in far:
+                g, h = g + far[k][0], h + far[k][1]
+            step = np.linalg.solve(h + np.diag(ridge), g + ridge * at[k])
+            at[k] = at[k] - step
+            if np.abs(step).max() < 1e-6:
+                todo.discard(k)
+        if not todo:
+            break
+    for k, m in models.items():
+        m.w = at[k]
+
+
 class CoTrained:
     def __init__(self, text: Logistic, meta: Logistic, prior: float):
         self.text, self.meta, self.prior = text, meta, prior
@@ -136,65 +161,153 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-z)) for z in (a, b, a + b - self.prior))
 
 
-def co_train(xt, xm, y, ut, um) -> CoTrained | None:
-    """xt, xm, y: views and labels of the labelled; ut, um: views of the pool."""
+def keys(w: np.ndarray, x: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Log-odds, told apart by tie where they are equal."""
+    return x @ w[:-1] + w[-1] + 1e-6 * tie
+
+
+def handed(rounds: list, views: dict, tie: np.ndarray) -> dict:
+    """For each view the label that the other one has given each row in these rounds, NaN for none; a round has w, low and high for each view."""
+    out = {k: np.full(len(tie), np.nan) for k in OTHER}
+    for bounds in rounds:
+        for k, other in OTHER.items():
+            w, low, high = bounds[k]
+            key, free = keys(w, views[k], tie), np.isnan(out[other])
+            out[other][free & (key >= high)] = 1
+            out[other][free & (key <= low)] = 0
+    return out
+
+
+def _rows(batch, *names) -> list:
+    dims = {"text": TEXT_DIM, "meta": META_DIM}
+    return [np.frombuffer(b"".join(batch.column(n).to_pylist()), np.float32).reshape(-1, dims[n]) for n in names]
+
+
+def _free_keys(rounds: list, weights: dict):
+    """A column for each view: the keys of rows that it may still hand over."""
+
+    def run(batches):
+        for batch in batches:
+            views, tie = dict(zip(OTHER, _rows(batch, *OTHER))), batch.column("tie").to_numpy()
+            taken = handed(rounds, views, tie)
+            yield pa.RecordBatch.from_arrays([pa.array(keys(weights[k], views[k], tie), mask=~np.isnan(taken[other])) for k, other in OTHER.items()], list(OTHER))
+
+    return run
+
+
+def _newly_handed(rounds: list):
+    def run(batches):
+        for batch in batches:
+            views, tie = dict(zip(OTHER, _rows(batch, *OTHER))), batch.column("tie").to_numpy()
+            before, now = handed(rounds[:-1], views, tie), handed(rounds, views, tie)
+            for k in OTHER:
+                at = np.flatnonzero(np.isnan(before[k]) & ~np.isnan(now[k]))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(now[k][at], pa.float64()), pa.array([views[k][i].tobytes() for i in at], pa.binary())], ["view", "label", "x"])
+
+    return run
+
+
+def _partial_sums(weights: dict):
+    """One row for each view: rows, gradient and Hessian of a task."""
+
+    def run(batches):
+        sums = {k: [0, np.zeros(len(w)), np.zeros((len(w), len(w)))] for k, w in weights.items()}
+        for batch in batches:
+            view, y = np.array(batch.column("view").to_pylist()), batch.column("label").to_numpy()
+            x = batch.column("x").to_pylist()
+            for k, total in sums.items():
+                at = np.flatnonzero(view == k)
+                if len(at):
+                    rows = np.frombuffer(b"".join(x[i] for i in at), np.float32).reshape(len(at), -1)
+                    for i, part in enumerate((len(at), *newton_sums(weights[k], rows, y[at]))):
+                        total[i] += part
+        for k, (n, g, h) in sums.items():
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n], pa.int64()), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], ["view", "n", "g", "h"])
+
+    return run
+
+
+def co_train(xt, xm, y, pool: DataFrame, scratch: Scratch) -> CoTrained | None:
+    """xt, xm, y: views and labels of the labelled; pool: text, meta (views as float32 bytes) and tie of all others."""
     kept_out = np.arange(len(y)) % 4 == 3
     if len(set(y[~kept_out].tolist())) < 2 or len(set(y[kept_out].tolist())) < 2:
         return None
-    views = {"text": (Logistic(3.0), xt[~kept_out], ut), "meta": (Logistic(3.0), xm[~kept_out], um)}
-    base = y[~kept_out]
-    given = {k: (np.zeros(0, np.int64), np.zeros(0)) for k in views}
-    take = max(1, int(SHARE * len(ut))) if len(ut) else 0
-    good = base.mean()
-    for _ in range(ROUNDS + 1):
-        for k, (model, x, pool) in views.items():
-            rows, labels = given[k]
-            model.fit(np.concatenate([x, pool[rows]]), np.concatenate([base, labels]))
-        if not take:
-            break
-        for k, other in (("text", "meta"), ("meta", "text")):
-            order = np.argsort(views[k][0].raw(views[k][2]), kind="stable")
-            rows, labels = given[other]
-            free = order[~np.isin(order, rows)]
-            n_good = min(max(1, round(take * good)), len(free) // 2)
-            n_bad = min(max(1, take - n_good), len(free) - n_good)
-            given[other] = (np.concatenate([rows, free[len(free) - n_good :], free[:n_bad]]), np.concatenate([labels, np.ones(n_good), np.zeros(n_bad)]))
-    text, meta = views["text"][0], views["meta"][0]
-    text.calibrate(xt[kept_out], y[kept_out])
-    meta.calibrate(xm[kept_out], y[kept_out])
-    return CoTrained(text, meta, float(np.log(good / (1 - good))))
+    models = {"text": Logistic(3.0), "meta": Logistic(3.0)}
+    own = {"text": (xt[~kept_out], y[~kept_out]), "meta": (xm[~kept_out], y[~kept_out])}
+    good, size = own["text"][1].mean(), pool.count()
+    take = max(1, int(SHARE * size))
+    rounds: list = []
+    tables: list = []
+    free = dict.fromkeys(OTHER, size)
+    fit(models, own)
+
+    def more(weights):
+        picked = tables[0]
+        for t in tables[1:]:
+            picked = picked.unionAll(t)
+        out = {}
+        for r in arrow_map(picked.coalesce(PARTS), _partial_sums(weights), "view string, n long, g binary, h binary").collect():
+            g, h = np.frombuffer(r["g"]), np.frombuffer(r["h"]).reshape(-1, len(weights[r["view"]]))
+            a, b = out.get(r["view"], (0, 0))
+            out[r["view"]] = (a + g, b + h)
+        return out
+
+    for _ in range(ROUNDS if size else 0):
+        weights, ask = {k: m.w for k, m in models.items()}, {}
+        for k, other in OTHER.items():
+            n_good = min(max(1, round(take * good)), free[other] // 2)
+            n_bad = min(max(1, take - n_good), free[other] - n_good)
+            ask[k] = (n_bad, n_good, max(free[other], 1))
+        at = [F.percentile_approx(k, [max(n_bad - 0.5, 0.0) / n, min(n - n_good + 0.5, n) / n], ACCURACY).alias(k) for k, (n_bad, n_good, n) in ask.items()]
+        cut = arrow_map(pool, _free_keys(rounds, weights), "text double, meta double").agg(*at).first()
+        rounds.append({k: (weights[k], cut[k][0] if cut[k] and ask[k][0] else -np.inf, cut[k][1] if cut[k] and ask[k][1] else np.inf) for k in OTHER})
+        tables.append(scratch.write(arrow_map(pool, _newly_handed(list(rounds)), "view string, label double, x binary"), "handed"))
+        for r in tables[-1].groupBy("view").count().collect():
+            free[r["view"]] -= r["count"]
+        fit(models, own, more)
+    scratch.drop(*tables)
+    models["text"].calibrate(xt[kept_out], y[kept_out])
+    models["meta"].calibrate(xm[kept_out], y[kept_out])
+    return CoTrained(models["text"], models["meta"], float(np.log(good / (1 - good))))
 
 
 def _features(batches):
     for batch in batches:
         xt = text_view(batch.column(1))
         xm = meta_view(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array([r.tobytes() for r in xt], pa.binary()), pa.array([r.tobytes() for r in xm], pa.binary())], ["doc_id", "label", "xt", "xm"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array([r.tobytes() for r in xt], pa.binary()), pa.array([r.tobytes() for r in xm], pa.binary())], ["doc_id", "label", "tie", "text", "meta"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
-    size = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     known = labels.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if not size or not known:
+    if not known:
         return None
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    # labelled documents by their share of the labels, the pool by its share of all; the labels' sample is at most SAMPLE rows
+    # labelled documents by their share of the labels, at most SAMPLE rows; all others are the pool
     labels = labels.where(draw < min(1.0, SAMPLE / known)).limit(2 * SAMPLE)
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     labelled = rows.join(F.broadcast(labels), "doc_id")
-    pool = rows.where("doc_id is not null").where(draw < min(1.0, SAMPLE / size)).join(F.broadcast(labels.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
+    pool = rows.where("doc_id is not null").join(F.broadcast(labels.select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
     kind = dict(rows.dtypes)["doc_id"]
-    both = labelled.unionByName(pool).select("doc_id", "text", "source", "lang", "n_chars", "label")
-    got = arrow_map(both, _features, f"doc_id {kind}, label int, xt binary, xm binary").collect()
+
+    def features(part: DataFrame) -> DataFrame:
+        part = part.select("doc_id", "text", "source", "lang", "n_chars", "label", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id").cast("string")), F.lit(1 << 30)).cast("double").alias("tie"))
+        return arrow_map(part.withColumn("tie", F.col("tie") / float(1 << 30)), _features, f"doc_id {kind}, label int, tie double, text binary, meta binary")
+
+    got = features(labelled).collect()
     got.sort(key=lambda r: str(r["doc_id"]))
-    if not any(r["label"] is not None for r in got):
+    if not got:
         return None
-    xt = np.stack([np.frombuffer(r["xt"], np.float32) for r in got])
-    xm = np.stack([np.frombuffer(r["xm"], np.float32) for r in got])
-    y = np.array([np.nan if r["label"] is None else min(max(r["label"], 0), 1) for r in got])
-    some = ~np.isnan(y)
-    return co_train(xt[some], xm[some], y[some], xt[~some], xm[~some])
+    xt = np.stack([np.frombuffer(r["text"], np.float32) for r in got])
+    xm = np.stack([np.frombuffer(r["meta"], np.float32) for r in got])
+    y = np.array([min(max(r["label"], 0), 1) for r in got], np.float64)
+    scratch = Scratch(docs.sparkSession)
+    pool = scratch.write(features(pool).select("tie", "text", "meta"), "pool")
+    model = co_train(xt, xm, y, pool, scratch)
+    scratch.drop(pool)
+    return model
 
 
 def _score(model: CoTrained | None):
