@@ -393,6 +393,13 @@ def test_placement(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/shards").count() == 502
 
 
+def test_sharding_query_returns_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sharding.query(spark, SF)
+    assert got.columns == [*docs.columns, "slot", "shard"]
+    assert sorted(got.drop("slot", "shard").collect()) == sorted(docs.collect())
+
+
 # --- chats --------------------------------------------------------------------------------------------------------
 def test_chat_collapse(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"),

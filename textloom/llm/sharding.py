@@ -64,4 +64,4 @@ def write_shards(docs: DataFrame, path: str) -> None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(spark, read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return place(spark, read(spark, sf_dir, "documents"))
