@@ -126,6 +126,16 @@ def test_decontamination_equals_brute_force(spark, tmp_path):
         assert cleaned[i] == texts[i] if not v[1] else brute_hits(cleaned[i], [])[0] == v[0] - v[1]
 
 
+def test_decontamination_of_capital_sigmas(spark, tmp_path):
+    greek = "ΟΔΟΣ ΛΟΓΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΒΙΟΣ ΦΩΣ ΔΗΜΟΣ ΚΟΣΜΟΣ ΧΡΟΝΟΣ ΑΝΘΡΩΠΟΣ"
+    rows = [(1, greek.replace(" ", ".") + ".A"), (2, greek.replace(" ", "'") + "'x"), (3, greek), (4, greek.lower())]
+    items = [(0, greek), (1, "Kelvin \u212a one two three four five six seven eight nine")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.query(spark, str(tmp_path)).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in rows} and [got[k][1] for k in (1, 2, 3, 4)] == [10, 10, 10, 0]
+
+
 def test_decontamination_empty_and_repeated(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, [(1, "a b"), (1, "a b"), (None, "c")])

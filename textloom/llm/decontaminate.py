@@ -6,8 +6,9 @@ functions only:
 
 1. Each window of m words holds a run of a = (m + 1) / 2 words (rounded down) that starts at a multiple
    of m - a + 1, wherever the window lies in a document.  So it is enough to look up the runs of a words at
-   every (m - a + 1)-th word of a document among all runs of a words of the windows.  Lower-casing is the
-   built-in one here, which joins more than the exact one and loses nothing.
+   every (m - a + 1)-th word of a document among all runs of a words of the windows.  Words are split first and
+   lower-cased one by one: the built-in lower-casing looks at the letters around a capital sigma, so on whole texts it
+   can tell equal words apart; word by word it joins more than the exact one and loses nothing.
 2. Documents with such a run are read again, and all their windows are joined as strings with the
    windows of the items: only equal texts count.
 3. Positions are merged into hit words.
@@ -29,6 +30,7 @@ WINDOW = 10
 #: Windows of about 100 bytes that may be broadcast.
 BROADCAST_WINDOWS = 100_000
 _SEP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_SEP_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
@@ -52,9 +54,9 @@ def _run(m: int) -> tuple[int, int]:
     return a, m - a + 1
 
 
-def windows(benchmark: DataFrame, lower=ascii_lower) -> DataFrame:
+def windows(benchmark: DataFrame) -> DataFrame:
     """One row for each distinct window: m (its words), gram, items (the ids of its items as strings)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), _words(lower(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), _words(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("gram", F.explode(F.when(F.size("w") >= WINDOW, _grams(F.col("w"), WINDOW)).otherwise(F.array(F.array_join("w", " ")))))
     items = items.withColumn("m", F.least(F.size("w"), F.lit(WINDOW)))
     return items.groupBy("m", "gram").agg(F.collect_set("item").alias("items"))
@@ -72,10 +74,10 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
     n_wins = wins.count()
     sizes = sorted(r["m"] for r in wins.select("m").distinct().collect())  # WINDOW values at most
 
-    loose = windows(benchmark, F.lower).select("m", F.split("gram", " ").alias("w"))
+    loose = wins.select("m", F.transform(F.split("gram", " "), F.lower).alias("w"))
     loose = loose.select(F.explode(F.concat(F.array().cast("array<bigint>"), *[F.when(F.col("m") == m, _hashes(F.col("w"), _run(m)[0], 1)).otherwise(F.array().cast("array<bigint>")) for m in sizes])).alias("h")).distinct()
     loose = loose.withColumn("hit", F.lit(True))
-    scan = docs.select("doc_id", "th", F.split(F.lower(F.coalesce("text", F.lit(""))), _SEP).alias("w"))
+    scan = docs.select("doc_id", "th", F.transform(F.split(F.coalesce("text", F.lit("")), _SEP_ANY_CASE), F.lower).alias("w"))
     n_words = F.size("w") - (F.get("w", F.lit(0)) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
     scan = scan.select("doc_id", "th", n_words.cast("long").alias("n_words"), F.concat(F.array().cast("array<bigint>"), *[_hashes(F.col("w"), *_run(m)) for m in sizes]).alias("h"))
     scan = scan.select("doc_id", "th", "n_words", F.posexplode_outer("h").alias("p", "h"))
