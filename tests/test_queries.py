@@ -66,3 +66,27 @@ def test_classifiers_run_with_the_defaults_of_the_operator(spark, monkeypatch, n
     catalog.QUERIES[name](spark, SF)
     [(rows, folds, options)] = seen
     assert folds == [0, 1, 2, 3, 4] and not options and {r["fold"] for r in rows.select("fold").distinct().collect()} == set(folds)
+
+
+def test_bootstrap_draws_two_thousand_resamples(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    rows = [(m, rng.randrange(9), rng.random() < 0.5, rng.random() < 0.6) for m in "ab" for _ in range(60)]
+    frame = spark.createDataFrame(rows, "row_id string, subject_id long, label boolean, predicted boolean")
+    cdf = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+    def weight(k, subject):
+        u = int(hashlib.md5(f"0:{k}:{subject}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        return sum(u >= c for c in cdf)
+
+    def accuracy(m, weights):
+        mine = [(weights[s], y == p) for x, s, y, p in rows if x == m]
+        return sum(w for w, right in mine if right) / sum(w for w, _ in mine)
+
+    drawn = [{s: weight(k, s) for s in range(9)} for k in range(1, 2001)]
+    diffs = sorted(accuracy("a", w) - accuracy("b", w) for w in drawn if any(w.values()))
+    got = catalog.evaluation.cluster_bootstrap(frame, "a", "b").first()
+    assert (got["low"], got["high"]) == tuple(pytest.approx(diffs[math.ceil(q * len(diffs)) - 1], abs=1e-6) for q in (0.025, 0.975))
+    assert got["low"] < got["difference"] < got["high"]

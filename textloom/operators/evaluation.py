@@ -168,7 +168,7 @@ class DecisionRule:
         return "non-inferior" if low > -self.margin else "inferior" if high < -self.margin else "inconclusive"
 
 
-def cluster_bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 200, seed: int = 0) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
     """One row: the difference of two models' accuracy, with the 2.5 and 97.5 percentile of resamples of patients.
 
     Each patient draws a Poisson(1) weight for each resample from a digest: patients are pre-aggregated to two sums, and the
