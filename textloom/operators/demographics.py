@@ -25,7 +25,7 @@ def demographic_notes(notes: DataFrame, patients: DataFrame, admissions: DataFra
         ladder([(F.col("insurance").isin("Medicare", "Medicaid", "Private"), F.lower("insurance")), (F.col("insurance").isNull(), "unknown")], "other").alias("insurance"),
         ladder([(F.col("language") == "ENGLISH", "english"), (F.col("language").isNull() | F.col("language").isin("?", ""), "unknown")], "other").alias("language"),
         ladder([(F.col("marital_status").isin("MARRIED", "SINGLE", "WIDOWED", "DIVORCED"), F.lower("marital_status"))], "unknown").alias("marital"),
-        ladder([(race.like("WHITE%"), "white"), (race.like("BLACK%"), "black"), (race.like("ASIAN%"), "asian"), (race.like("HISPANIC%"), "hispanic"), (race.isNull() | race.isin("UNKNOWN", "UNABLE TO OBTAIN", "PATIENT DECLINED TO ANSWER"), "unknown")], "other").alias("race"),
+        ladder([(race.like("WHITE%"), "white"), (race.like("BLACK%"), "black"), (race.like("ASIAN%"), "asian"), (race.like("HISPANIC%") | (race == "SOUTH AMERICAN"), "hispanic"), (race.isNull() | race.isin("UNKNOWN", "UNABLE TO OBTAIN", "PATIENT DECLINED TO ANSWER"), "unknown")], "other").alias("race"),
         age.cast("long").alias("age"),
         ladder([(age.isNull(), "unknown"), (age < 30, "<30"), (age >= 90, "90+")], F.concat((F.floor(age / 10) * 10).cast("string"), F.lit("s"))).alias("age_band"),
         (anchor == MASKED_AGE).alias("masked"), F.col("ps").isNull().alias("no_patient"), F.col("ah").isNull().alias("no_admission"))

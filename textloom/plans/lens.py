@@ -58,7 +58,7 @@ SELECT CAST(o_orderkey AS STRING) AS hadm_id, CAST(o_custkey AS STRING) AS subje
        CASE c_mktsegment WHEN 'BUILDING' THEN 'Medicare' WHEN 'MACHINERY' THEN 'Medicaid' WHEN 'HOUSEHOLD' THEN 'Private' WHEN 'FURNITURE' THEN 'Private' ELSE NULL END AS insurance,
        CASE n_regionkey WHEN 0 THEN 'ENGLISH' WHEN 1 THEN 'ENGLISH' WHEN 2 THEN 'SPANISH' ELSE '?' END AS language,
        CASE c_custkey % 5 WHEN 0 THEN 'MARRIED' WHEN 1 THEN 'SINGLE' WHEN 2 THEN 'WIDOWED' WHEN 3 THEN 'DIVORCED' ELSE '' END AS marital_status,
-       CASE n_regionkey WHEN 0 THEN 'BLACK/AFRICAN' WHEN 1 THEN 'WHITE - OTHER EUROPEAN' WHEN 2 THEN 'ASIAN - CHINESE' WHEN 3 THEN 'WHITE' ELSE 'UNABLE TO OBTAIN' END AS race
+       CASE WHEN c_custkey % 13 = 0 THEN 'SOUTH AMERICAN' WHEN c_custkey % 13 = 1 THEN 'HISPANIC/LATINO - CUBAN' ELSE CASE n_regionkey WHEN 0 THEN 'BLACK/AFRICAN' WHEN 1 THEN 'WHITE - OTHER EUROPEAN' WHEN 2 THEN 'ASIAN - CHINESE' WHEN 3 THEN 'WHITE' ELSE 'UNABLE TO OBTAIN' END END AS race
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     # notes with headed sections
     "sectioned": """

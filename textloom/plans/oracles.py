@@ -68,7 +68,7 @@ _DEMO = """demo AS (SELECT note_id, n.subject_id, CASE gender WHEN 'F' THEN 'fem
   CASE WHEN insurance IN ('Medicare', 'Medicaid', 'Private') THEN lower(insurance) WHEN insurance IS NULL THEN 'unknown' ELSE 'other' END AS insurance,
   CASE WHEN language = 'ENGLISH' THEN 'english' WHEN language IS NULL OR language IN ('?', '') THEN 'unknown' ELSE 'other' END AS language,
   CASE WHEN marital_status IN ('MARRIED', 'SINGLE', 'WIDOWED', 'DIVORCED') THEN lower(marital_status) ELSE 'unknown' END AS marital,
-  CASE WHEN race LIKE 'WHITE%' THEN 'white' WHEN race LIKE 'BLACK%' THEN 'black' WHEN race LIKE 'ASIAN%' THEN 'asian' WHEN race LIKE 'HISPANIC%' THEN 'hispanic' WHEN race IS NULL OR race IN ('UNKNOWN', 'UNABLE TO OBTAIN', 'PATIENT DECLINED TO ANSWER') THEN 'unknown' ELSE 'other' END AS race,
+  CASE WHEN race LIKE 'WHITE%' THEN 'white' WHEN race LIKE 'BLACK%' THEN 'black' WHEN race LIKE 'ASIAN%' THEN 'asian' WHEN race LIKE 'HISPANIC%' OR race = 'SOUTH AMERICAN' THEN 'hispanic' WHEN race IS NULL OR race IN ('UNKNOWN', 'UNABLE TO OBTAIN', 'PATIENT DECLINED TO ANSWER') THEN 'unknown' ELSE 'other' END AS race,
   CAST(CASE WHEN anchor = 91 THEN 90 WHEN anchor IS NOT NULL AND TRY_CAST(admit_year AS INT) IS NOT NULL AND TRY_CAST(anchor_year AS INT) IS NOT NULL THEN least(anchor + TRY_CAST(admit_year AS INT) - TRY_CAST(anchor_year AS INT), 90) END AS BIGINT) AS age,
   anchor = 91 AS masked, p.subject_id IS NULL AS no_patient, a.hadm_id IS NULL AS no_admission
   FROM order_notes n LEFT JOIN (SELECT *, TRY_CAST(anchor_age AS INT) AS anchor FROM patients) p ON n.subject_id = p.subject_id LEFT JOIN admissions a ON n.hadm_id = a.hadm_id)"""
