@@ -63,11 +63,11 @@ def test_empty_tables(spark):
     assert codes.era_summary(notes, c).first()["neither"] == 0
     assert {r["n_both"] for r in codes.cooccurrence(c).collect()} == {0}
     flags = mentions.mention_flags(notes)
-    assert {r["result"] for r in mentions.rubric(mentions.mention_agreement(flags, c)).collect()} == {"nelze"}
+    assert {r["result"] for r in mentions.rubric(mentions.mention_agreement(flags, c)).collect()} == {"undecidable"}
     spans = sections.section_spans(notes)
     assert sections.section_skeleton(notes, spans).where("in_skeleton").count() == 0
     assert sections.strip_share(spans).first()["share"] is None
-    assert corpus.coverage_verdict(0, 0) == "nelze"
+    assert corpus.coverage_verdict(0, 0) == "undecidable"
 
 
 def test_masked_age_maps_to_the_cap(spark):

@@ -106,7 +106,7 @@ def preselection(prevalence: DataFrame) -> DataFrame:
     share = ratio("n", "total")
     r9, r10 = ratio("n9", "total9"), ratio("n10", "total10")
     gap = F.try_divide(F.greatest(r9, r10), F.least(r9, r10)) >= ERA_RATIO
-    return prevalence.select("candidate", F.round(share, 6).alias("share"), ladder([(share.isNull(), "nelze"), (share.between(*BAND), "yes")], "no").alias("in_band"), gap.alias("era_gap"))
+    return prevalence.select("candidate", F.round(share, 6).alias("share"), ladder([(share.isNull(), "undecidable"), (share.between(*BAND), "yes")], "no").alias("in_band"), gap.alias("era_gap"))
 
 
 def redundant_pairs(cells: DataFrame) -> DataFrame:

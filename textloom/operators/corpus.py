@@ -89,8 +89,8 @@ def hadm_coverage(corpora: dict[str, DataFrame], diagnoses: DataFrame) -> DataFr
 
 
 def coverage_verdict(notes: int, with_code: int, least: float = 0.9) -> str:
-    """`nelze` for what cannot be decided."""
-    return "nelze" if not notes else "yes" if with_code / notes >= least else "no"
+    """`undecidable` for what cannot be decided."""
+    return "undecidable" if not notes else "yes" if with_code / notes >= least else "no"
 
 
 def icd_era(notes: DataFrame, diagnoses: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def pair_phi(rows: DataFrame, a: str, b: str) -> DataFrame:
 def error_correlation(phi: DataFrame) -> DataFrame:
     """One row: the mean of the defined cells, how many there are, and whether errors are alike enough to do without an ensemble."""
     m = F.avg("phi")
-    return phi.agg(F.round(m, 9).alias("mean_phi"), F.count("phi").alias("defined"), F.count(F.lit(1)).alias("cells"), ladder([(m.isNull(), "nelze"), (m < BAND_PHI, "yes")], "no").alias("ensemble"))
+    return phi.agg(F.round(m, 9).alias("mean_phi"), F.count("phi").alias("defined"), F.count(F.lit(1)).alias("cells"), ladder([(m.isNull(), "undecidable"), (m < BAND_PHI, "yes")], "no").alias("ensemble"))
 
 
 def screening_grid_faults(results: DataFrame, axes: dict[str, list]) -> DataFrame:

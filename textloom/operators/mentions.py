@@ -74,9 +74,9 @@ def symptom_mentions(notes: DataFrame, symptoms: dict[str, tuple[str, ...]] = SY
 
 
 def rubric(agreement: DataFrame) -> DataFrame:
-    """Prevalence and agreement of each candidate, and pass, fail or `nelze`, which wins over fail."""
+    """Prevalence and agreement of each candidate, and pass, fail or `undecidable`, which wins over fail."""
     share, agree = ratio("icd", "total"), ratio("icd_assertion", "icd")
-    result = ladder([(share.isNull() | agree.isNull(), "nelze"), (share.between(*BAND) & (agree >= LEAST_AGREEMENT), "pass")], "fail")
+    result = ladder([(share.isNull() | agree.isNull(), "undecidable"), (share.between(*BAND) & (agree >= LEAST_AGREEMENT), "pass")], "fail")
     return agreement.select("position", "candidate", "chapter", F.round(share, 6).alias("share"), F.round(agree, 6).alias("agreement"), result.alias("result"))
 
 

@@ -72,7 +72,7 @@ def age_masks(metrics: DataFrame) -> DataFrame:
 
 
 def marker_verdict(markers: int, notes: int) -> str:
-    return "nelze" if not notes else "yes" if abs(markers / notes - REFERENCE_MARKERS) <= TOLERANCE * REFERENCE_MARKERS else "no"
+    return "undecidable" if not notes else "yes" if abs(markers / notes - REFERENCE_MARKERS) <= TOLERANCE * REFERENCE_MARKERS else "no"
 
 
 def exact_duplicates(notes: DataFrame) -> DataFrame:

@@ -140,4 +140,4 @@ def parallel_ratio(pairs: DataFrame) -> DataFrame:
 
 
 def encoder_verdict(fit: int, notes: int, least: float = 0.95) -> str:
-    return "nelze" if not notes else "whole" if fit / notes >= least else "windows"
+    return "undecidable" if not notes else "whole" if fit / notes >= least else "windows"

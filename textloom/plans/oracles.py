@@ -163,7 +163,7 @@ _CELLS = """cells AS (SELECT a.candidate AS a, b.candidate AS b, (SELECT count(*
 PREVALENCE = _w(_D, *_BASE, _CAND, _POOL, _PREV, select="SELECT * FROM prev")
 COOCCURRENCE = _w(_D, *_BASE, _CAND, _POOL, _CELLS, select="SELECT a, b, n_both, n_a, n_b, round(n_both::DOUBLE / nullif(n_a, 0), 6) AS share FROM cells")
 PRESELECTION = _w(_D, *_BASE, _CAND, _POOL, _PREV, "r AS (SELECT *, n::DOUBLE / nullif(total, 0) AS s, n9::DOUBLE / nullif(total9, 0) AS r9, n10::DOUBLE / nullif(total10, 0) AS r10 FROM prev)",
-    select="SELECT candidate, round(s, 6) AS share, CASE WHEN s IS NULL THEN 'nelze' WHEN s BETWEEN 0.05 AND 0.60 THEN 'yes' ELSE 'no' END AS in_band, greatest(r9, r10) / nullif(least(r9, r10), 0) >= 1.5 AS era_gap FROM r")
+    select="SELECT candidate, round(s, 6) AS share, CASE WHEN s IS NULL THEN 'undecidable' WHEN s BETWEEN 0.05 AND 0.60 THEN 'yes' ELSE 'no' END AS in_band, greatest(r9, r10) / nullif(least(r9, r10), 0) >= 1.5 AS era_gap FROM r")
 REDUNDANT_PAIRS = _w(_D, *_BASE, _CAND, _POOL, _CELLS, select="SELECT a, b, n_both FROM cells WHERE a < b AND n_both >= 0.5 * least(n_a, n_b) AND least(n_a, n_b) > 0")
 LABEL_CODES = _w("diagnoses_icd", "r AS (SELECT DISTINCT icd_code, icd_version FROM diagnoses_icd)", "n AS (SELECT *, CASE WHEN regexp_full_match(upper(trim(icd_code)), '[0-9A-Z]+') THEN upper(trim(icd_code)) END AS code, CASE trim(icd_version) WHEN '9' THEN 9 WHEN '10' THEN 10 END AS version FROM r)",
     select=f"SELECT icd_code, icd_version, {_DIAG} AS diagnosis, code IS NULL OR version IS NULL AS invalid FROM n")
@@ -217,7 +217,7 @@ def mention_agreement() -> str:
     return _agreement(select="SELECT * FROM agree")
 
 
-_RUBRIC = """rub AS (SELECT position, candidate, chapter, round(s, 6) AS share, round(g, 6) AS agreement, CASE WHEN s IS NULL OR g IS NULL THEN 'nelze' WHEN s BETWEEN 0.05 AND 0.60 AND g >= 0.5 THEN 'pass' ELSE 'fail' END AS result
+_RUBRIC = """rub AS (SELECT position, candidate, chapter, round(s, 6) AS share, round(g, 6) AS agreement, CASE WHEN s IS NULL OR g IS NULL THEN 'undecidable' WHEN s BETWEEN 0.05 AND 0.60 AND g >= 0.5 THEN 'pass' ELSE 'fail' END AS result
   FROM (SELECT *, icd::DOUBLE / nullif(total, 0) AS s, icd_assertion::DOUBLE / nullif(icd, 0) AS g FROM agree))"""
 
 
@@ -457,7 +457,7 @@ _PHI = """phi AS (SELECT fold, diagnosis, round(CASE WHEN (n11 + n10) * (n01 + n
   (count(*) FILTER (WHERE NOT a.e AND NOT b.e))::DOUBLE AS n00, count(*) FILTER (WHERE a.e IS NULL OR b.e IS NULL) AS alone FROM (SELECT *, label <> predicted AS e FROM predictions WHERE row_id = 'r1') a FULL JOIN (SELECT *, label <> predicted AS e FROM predictions WHERE row_id = 'r2') b
   ON a.fold = b.fold AND a.diagnosis = b.diagnosis AND a.note_id = b.note_id GROUP BY 1, 2))"""
 PHI = _w("predictions", _PHI, select="SELECT * FROM phi")
-ERROR_CORRELATION = _w("predictions", _PHI, select="SELECT round(avg(phi), 9) AS mean_phi, count(phi) AS defined, count(*) AS cells, CASE WHEN avg(phi) IS NULL THEN 'nelze' WHEN avg(phi) < 0.5 THEN 'yes' ELSE 'no' END AS ensemble FROM phi")
+ERROR_CORRELATION = _w("predictions", _PHI, select="SELECT round(avg(phi), 9) AS mean_phi, count(phi) AS defined, count(*) AS cells, CASE WHEN avg(phi) IS NULL THEN 'undecidable' WHEN avg(phi) < 0.5 THEN 'yes' ELSE 'no' END AS ensemble FROM phi")
 SCREENING = """SELECT o_orderstatus AS family, substring(o_orderpriority, 1, 1) AS vectorizer, CAST(o_orderkey % 5 AS INT) AS fold, CASE o_custkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS diagnosis, CAST(max(o_orderkey % 1000) AS DOUBLE) / 1000 AS f1
 FROM orders GROUP BY o_orderstatus, substring(o_orderpriority, 1, 1), o_orderkey % 5, o_custkey % 2"""
 _SC = f"sc AS ({SCREENING})"
