@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import notetext
 from textloom.functions.icd import Candidate, check_disjoint
-from textloom.functions.sections import LEXICON, OTHER, check_lexicon, lookup, normal_header, split_sections, strip_sections
-from textloom.operators import audit, features, mentions, preprocessing, sections, synthetic, tokens
+from textloom.functions.sections import LEXICON, MIN_HEADER, OTHER, check_lexicon, lookup, normal_header, split_sections, strip_sections
+from textloom.operators import audit, features, mentions, preprocessing, sections, synthetic, textmetrics, tokens
 
 LINES = st.lists(st.sampled_from(["Name: ___", "Allergies:", "  Chief Complaint: pain", "CHIEF COMPLAINT:", "Discharge Diagnosis:", "plain text", "", "Sex: F", "Hospital Course: é x", "no header:", "A:"]), max_size=12)
 
@@ -34,7 +34,10 @@ def test_first_header_wins_and_stripping_is_not_idempotent():
 
 @pytest.mark.parametrize("text,found", [
     ("Allergies: none", ["Allergies"]), ("  \tChief Complaint:", ["Chief Complaint"]), ("x Allergies:", []), ("allergies:", []), ("A:", []), ("Ab:", ["Ab"]),
-    ("One:\nTwo: Three:", ["One", "Two"]), ("One:\x85Two:", ["One"]), ("One:\rTwo:", ["One"]), ("A" * 49 + "a:", []), ("A" + "b" * 48 + ":", ["A" + "b" * 48]), ("H. & P. (a/b):", [])])
+    ("One:\nTwo: Three:", ["One", "Two"]), ("One:\x85Two:", ["One"]), ("One:\rTwo:", ["One"]), ("A" * 49 + "a:", []), ("A" + "b" * 48 + ":", ["A" + "b" * 48]), ("H. & P. (a/b):", []),
+    # fixed values: cases of the header rule
+    ("Time 10:30", []), ("# CHF: yes", []), ("see Chief Complaint: x", []), ("  Chief Complaint:\n\tAllergies: none", ["Chief Complaint", "Allergies"]), ("Allergies:\r\nPenicillin\r\nSocial History:\r\nnone", ["Allergies", "Social History"]),
+    ("Service: MEDICINE", ["Service"]), ("text\nFamily History:", ["Family History"]), ("Patient's Name & Unit (A/B):", ["Patient's Name & Unit (A/B)"]), ("ab:", []), ("A1:", [])])
 def test_header_pattern(spark, text, found):
     got = spark.createDataFrame([("1", text)], "note_id string, text string")
     assert [r["header"] for r in sections.note_headers(got).collect() if len(r["norm"]) >= 2] == [f for f in found if len(normal_header(f)) >= 3] or found == ["Ab"]
@@ -43,6 +46,8 @@ def test_header_pattern(spark, text, found):
 def test_lexicon():
     check_lexicon()
     assert normal_header("Social \t History . ") == "social history"
+    assert [normal_header(x) for x in ("CHIEF  COMPLAINT ", "Chief Complaint.", "Chief\tComplaint . ")] == ["chief complaint"] * 3
+    assert [len(normal_header(x)) >= MIN_HEADER for x in ("Ab", "Ab.", "Ab ", "Abc", "Ab c")] == [False, False, False, True, True]
     with pytest.raises(ValueError):
         check_lexicon(LEXICON + LEXICON[:1])
     with pytest.raises(ValueError):
@@ -54,13 +59,31 @@ def one(spark, text, f):
 
 
 @pytest.mark.parametrize("text,out", [
-    ("a ___ year old", "a  __age__  year old"), ("Dr. ___ said", "Dr.  __deid__  said"), ("____ stays", "____ stays"), ("gave 4,5 mg", "gave  __num__  mg"), ("the 3rd", "the  __num__ "),
-    ("B12 stays", "B12 stays"), ("x.5 stays", "x.5 stays"), ("___-year-old", " __age__ -year-old")])
+    ("a ___ year old", "a  __age__ "), ("Dr. ___ said", "Dr.  __deid__  said"), ("____ stays", "____ stays"), ("gave 4,5 mg", "gave  __num__  mg"), ("the 3rd", "the  __num__ "),
+    ("B12 stays", "B12 stays"), ("K3.5 stays", "K3.5 stays"), ("x.5 goes", "x. __num__  goes"), ("___-year-old", " __age__ "), ("gave 500mg", "gave  __num__ mg"), ("3.5mg", " __num__ mg"),
+    ("dose,5", "dose, __num__ "), (".5", ". __num__ "), ("1st2nd", " __num__ st2nd"), ("___pm", " __deid__ pm"), ("1.2.3", " __num__ ")])
 def test_normal_form(spark, text, out):
     assert one(spark, text, notetext.normalize_clinical_text) == out
     assert one(spark, out, notetext.normalize_clinical_text) == out
 
 
+#: Texts and the number of masked ages that they hold.
+AGES = [
+    ("___ yo", 1), ("___ y/oF", 1), ("___yoM", 1), ("___ y/om", 1), ("___-year-old", 1), ("___ yearold", 1), ("___ yearsold", 1), ("___ y.o.", 1), ("A ___ Year Old woman", 1), ("a___ yo", 1),
+    ("___ yo2", 1), ("___ yo,___ yo", 2), ("___ yo ___ y/o", 2), ("___young", 0), ("____ yo", 0), ("__ yo", 0), ("___ years ago", 0), ("___ yearly", 0), ("___ yoyo", 0), ("___ yogurt", 0),
+    ("___ year-older", 0), ("___ yoMF", 0), ("___ yoK", 0)]
+
+
+def test_ages(spark):
+    frame = spark.createDataFrame([(str(k), t) for k, (t, _) in enumerate(AGES)], "note_id string, text string")
+    got = {int(r["note_id"]): r["age_masks"] for r in textmetrics.note_metrics(frame).collect()}
+    assert [got[k] for k in range(len(AGES))] == [n for _, n in AGES]
+    out = [r["x"] for r in frame.orderBy(F.col("note_id").cast("int")).select(notetext.normalize_clinical_text(F.col("text")).alias("x")).collect()]
+    assert [x.count("__age__") for x in out] == [n for _, n in AGES]
+    anchors = spark.createDataFrame([("1", "is a ___ yo man"), ("2", "a ___ yo man"), ("3", "IS AN ___ year-old"), ("4", "is a 45 y.o. man")], "note_id string, text string")
+    assert [(r["age_anchor"], r["numeric_ages"]) for r in textmetrics.note_metrics(anchors).orderBy("note_id").collect()] == [(True, 0), (False, 0), (True, 0), (False, 1)]
+
+
 def test_rewrites(spark):
     assert one(spark, "AF and COPD, not AFib", notetext.expand_acronyms) == "atrial fibrillation and copd, not AFib"
     assert one(spark, "Type  2\nDiabetes!", notetext.rewrite_variants) == "diabetes!"

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.columns import quantile_disc
+from textloom.functions.notetext import AGE, AGE_SUFFIX
 
 PERCENTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 SHORT, MEDIUM, LONG = 100, 500, 50_000
 REFERENCE_MARKERS, TOLERANCE = 60.6, 0.05
 RESIDUAL = {"bracketed": r"\[\*\*[^\]]*\*\*\]", "tag": r"</?[A-Za-z][^<>]*>", "crossed": r"X{3,}"}
-#: A masked age: the mark before a unit of age, or after the word.
-AGE_MASK = r"(?i:___[ \-]?(?:year|yr|y)s?[ \-]?(?:old|o)?(?![A-Za-z0-9_]))"
-NUMERIC_AGE = r"(?i:(?<![A-Za-z0-9_])[0-9]{1,3}[ \-]?(?:year|yr)s?[ \-]?old(?![A-Za-z0-9_]))"
+#: A masked age after the words that introduce it, and one in digits.
+ANCHOR = rf"(?i)is an? ___{AGE_SUFFIX}[mf]?(?![a-z])"
+NUMERIC_AGE = rf"(?i)(?<![A-Za-z0-9_])[0-9]{{1,3}}{AGE_SUFFIX}[mf]?(?![a-z])"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -31,7 +32,7 @@ def note_metrics(notes: DataFrame) -> DataFrame:
         F.size(F.filter("runs", lambda x: F.length(x) == 3)).cast("long").alias("markers"),
         F.size(F.filter("runs", lambda x: F.length(x) > 3)).cast("long").alias("longer_runs"),
         *[_count(t, p).alias(k) for k, p in RESIDUAL.items()],
-        _count(t, AGE_MASK).alias("age_masks"), _count(t, NUMERIC_AGE).alias("numeric_ages"),
+        _count(t, AGE).alias("age_masks"), t.rlike(ANCHOR).alias("age_anchor"), _count(t, NUMERIC_AGE).alias("numeric_ages"),
         F.when(F.length("t") > 0, F.sha2("t", 256)).alias("fingerprint"))
 
 
@@ -68,7 +69,7 @@ def note_quality(metrics: DataFrame) -> DataFrame:
 
 def age_masks(metrics: DataFrame) -> DataFrame:
     a = F.col("age_masks")
-    return metrics.agg(F.count(F.lit(1)).alias("notes"), F.count_if(a == 0).alias("none"), F.count_if(a == 1).alias("one"), F.count_if(a > 1).alias("many"), F.count_if(F.col("numeric_ages") > 0).alias("numeric"))
+    return metrics.agg(F.count(F.lit(1)).alias("notes"), F.count_if(a == 0).alias("none"), F.count_if(a == 1).alias("one"), F.count_if(a > 1).alias("many"), F.count_if("age_anchor").alias("anchored"), F.count_if(F.col("numeric_ages") > 0).alias("numeric"))
 
 
 def marker_verdict(markers: int, notes: int) -> str:

@@ -218,10 +218,10 @@ def _parts(s, d):
     return rows.select("note_id", "section", F.substring(F.col("text"), F.col("body_start").cast("int") + 1, F.col("body_chars").cast("int")).alias("body"))
 
 
-query("normalized_text")(lambda s, d: preprocessing.normalized(_acronym_notes(s, d)))
-query("classifier_text")(lambda s, d: _acronym_notes(s, d).select("note_id", notetext.classifier_text(F.col("text")).alias("text")))
+query("normalized_text", sql.NORMALIZED)(lambda s, d: preprocessing.normalized(_acronym_notes(s, d)))
+query("classifier_text", sql.CLASSIFIER_TEXT)(lambda s, d: _acronym_notes(s, d).select("note_id", notetext.classifier_text(F.col("text")).alias("text")))
 query("note_preprocessing", sql.NOTE_PREPROCESSING)(lambda s, d: _vocabulary(s, d).select("note_id", "tokens_raw", F.size("vocabulary_raw").cast("long").alias("vocabulary"), F.sha2(F.array_join("vocabulary_raw", " "), 256).alias("digest")))
-query("preprocessing_summary")(lambda s, d: preprocessing.preprocessing_summary(_vocabulary(s, d)))
+query("preprocessing_summary", sql.PREPROCESSING_SUMMARY)(lambda s, d: preprocessing.preprocessing_summary(_vocabulary(s, d)))
 query("acronym_occurrences", sql.acronym_occurrences())(lambda s, d: preprocessing.occurrences(_acronym_notes(s, d)))
 query("variant_occurrences", sql.variant_occurrences())(lambda s, d: preprocessing.occurrences(_acronym_notes(s, d), "variant"))
 query("term_cells", sql.term_cells())(lambda s, d: preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d)), _codes(s, d)))
@@ -320,8 +320,8 @@ def _grams(s, d):
 query("tfidf_weights", sql.TFIDF)(lambda s, d: features.tfidf(_grams(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("grams"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most")))
 query("nb_log_ratio", sql.NB_RATIO)(lambda s, d: features.nb_log_ratio(_grams(s, d)).select("gram", F.round("r", 6).alias("r")))
 query("complement_nb", sql.COMPLEMENT_NB)(lambda s, d: features.linear_scores(_grams(s, d), features.complement_nb(_grams(s, d)), "log_odds").select("id", F.round("score", 4).alias("score")))
-query("char_wb", sql.CHAR_WB)(lambda s, d: (tables(s, d), s.sql(sql.LABELLED).select("id", features.char_wb(F.substring("text", 1, 200), 3, 4).alias("g")).select("id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("distinct_grams")))[1])
-query("standard_scaler", sql.SCALER)(lambda s, d: (tables(s, d), features.standard_scale(s.table("embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x")), "x").select("id", "position", F.round("value", 5).alias("value")))[1])
+query("char_wb", sql.CHAR_WB)(lambda s, d: (tables(s, d), s.sql(sql.LABELLED).select("id", features.char_wb(F.col("text"), 3, 4).alias("g")).select("id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("distinct_grams")))[1])
+query("standard_scaler", sql.SCALER)(lambda s, d: (tables(s, d), features.standard_scale(s.table("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x").select("id", "position", F.round("value", 5).alias("value")))[1])
 query("mean_pool", sql.MEAN_POOL)(lambda s, d: (tables(s, d), features.mean_pool(s.table("embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x", "label").select("label", "position", F.round("mean", 6).alias("mean")))[1])
 
 

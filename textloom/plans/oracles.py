@@ -90,13 +90,14 @@ def majority(attribute: str) -> str:
 
 # --- text metrics -------------------------------------------------------------------------------------------------
 MARKED_NOTES = """SELECT CAST(doc_id + 1 AS STRING) AS note_id, CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN '' ELSE concat('Seen ___ today',
-  CASE doc_id % 4 WHEN 0 THEN ', a ___ year old man.' WHEN 1 THEN ', ___-year-old, then ___ yo.' WHEN 2 THEN ' aged 45 years old [**Name**] <b>x</b>' ELSE ' _____ and XXXX' END, ' ', substring(text, 1, 300)) END AS text FROM documents"""
+  CASE doc_id % 4 WHEN 0 THEN ', is a ___ year old man.' WHEN 1 THEN ', ___-year-old, then ___ yo,___ y/oF.' WHEN 2 THEN ' aged 45 years old [**Name**] <b>x</b>' ELSE ' _____ and XXXX' END, ' ', text) END AS text FROM documents"""
 _M = f"m AS ({MARKED_NOTES})"
 _MET = r"""met AS (SELECT note_id, CAST(length(t) AS BIGINT) AS chars, CAST(len(regexp_extract_all(t, '\S+')) AS BIGINT) AS words,
   CAST(len(list_filter(runs, lambda x: length(x) = 3)) AS BIGINT) AS markers, CAST(len(list_filter(runs, lambda x: length(x) > 3)) AS BIGINT) AS longer_runs,
   CAST(len(regexp_extract_all(t, '\[\*\*[^\]]*\*\*\]')) AS BIGINT) AS bracketed, CAST(len(regexp_extract_all(t, '</?[A-Za-z][^<>]*>')) AS BIGINT) AS tag, CAST(len(regexp_extract_all(t, 'X{3,}')) AS BIGINT) AS crossed,
-  CAST(len(regexp_extract_all(t, '(?i)___[ -]?(?:year|yr|y)s?[ -]?(?:old|o)?(?:[^A-Za-z0-9_]|$)')) AS BIGINT) AS age_masks,
-  CAST(len(regexp_extract_all(t, '(?i)(?:^|[^A-Za-z0-9_])[0-9]{1,3}[ -]?(?:year|yr)s?[ -]?old(?:[^A-Za-z0-9_]|$)')) AS BIGINT) AS numeric_ages,
+  CAST(len(list_filter(regexp_extract_all(t, '(?i)_+[ -]?(?:years?[ -]?old|yo|y/o|y\.o\.)[a-z]*'), lambda x: regexp_full_match(x, '(?i)___[ -]?(?:years?[ -]?old|yo|y/o|y\.o\.)[mf]?'))) AS BIGINT) AS age_masks,
+  regexp_matches(t, '(?i)is an? ___[ -]?(?:years?[ -]?old|yo|y/o|y\.o\.)[mf]?($|[^a-z])') AS age_anchor,
+  CAST(len(list_filter(regexp_extract_all(t, '(?i)\b[0-9]{1,3}[ -]?(?:years?[ -]?old|yo|y/o|y\.o\.)[a-z]*'), lambda x: regexp_full_match(x, '(?i)[0-9]+[ -]?(?:years?[ -]?old|yo|y/o|y\.o\.)[mf]?'))) AS BIGINT) AS numeric_ages,
   CASE WHEN length(t) > 0 THEN sha256(t) END AS fingerprint FROM (SELECT note_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '_{3,}') AS runs FROM m))"""
 
 
@@ -113,7 +114,7 @@ HISTOGRAM_SHARES = _met("SELECT bin, n, round(n::DOUBLE / (sum(n) OVER ())::DOUB
 MARKER_SUMMARY = _met("SELECT count(*) AS notes, CAST(sum(markers) AS BIGINT) AS markers, count(*) FILTER (WHERE markers > 0) AS with_marker, CAST(sum(longer_runs) AS BIGINT) AS longer_runs FROM met")
 RESIDUAL_MASKS = _met(" UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) FILTER (WHERE {k} > 0) AS notes, CAST(sum({k}) AS BIGINT) AS occurrences FROM met" for k in ("bracketed", "tag", "crossed")))
 NOTE_QUALITY = _met("SELECT count(*) FILTER (WHERE chars = 0) AS empty, count(*) FILTER (WHERE chars > 0 AND chars < 100) AS short, count(*) FILTER (WHERE chars >= 100 AND chars < 500) AS medium, count(*) FILTER (WHERE chars > 50000) AS long, count(fingerprint) - count(DISTINCT fingerprint) AS duplicates FROM met")
-AGE_MASKS = _met("SELECT count(*) AS notes, count(*) FILTER (WHERE age_masks = 0) AS none, count(*) FILTER (WHERE age_masks = 1) AS one, count(*) FILTER (WHERE age_masks > 1) AS many, count(*) FILTER (WHERE numeric_ages > 0) AS numeric FROM met")
+AGE_MASKS = _met("SELECT count(*) AS notes, count(*) FILTER (WHERE age_masks = 0) AS none, count(*) FILTER (WHERE age_masks = 1) AS one, count(*) FILTER (WHERE age_masks > 1) AS many, count(*) FILTER (WHERE age_anchor) AS anchored, count(*) FILTER (WHERE numeric_ages > 0) AS numeric FROM met")
 EXACT_DUPLICATES = _w("discharge", select="SELECT min(note_id) AS note_id, count(*) AS copies FROM discharge WHERE length(text) > 0 GROUP BY text HAVING count(*) > 1")
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -323,7 +324,7 @@ CUT_CAUSES = _w(*_P, _CUT, select="SELECT 'category' AS property, category AS va
 
 # --- vocabularies -------------------------------------------------------------------------------------------------
 ACRONYM_NOTES = """SELECT concat(CAST(doc_id % 400 + 1 AS STRING), '-DS-', CAST(doc_id + 1 AS STRING)) AS note_id, concat('Seen ___ today. ',
-  CASE doc_id % 5 WHEN 0 THEN 'Known COPD, DM. ' WHEN 1 THEN 'AF and CKD, AF again. ' WHEN 2 THEN 'Type 2 diabetes; PNA. ' WHEN 3 THEN 'type 2  Diabetes and pneumonitis ' ELSE 'gave 12 pills on the 3rd day, 4,5 mg ' END, substring(text, 1, 400)) AS text FROM documents"""
+  CASE doc_id % 5 WHEN 0 THEN 'Known COPD, DM. ' WHEN 1 THEN 'AF and CKD, AF again. ' WHEN 2 THEN 'Type 2 diabetes; PNA. ' WHEN 3 THEN 'type 2  Diabetes and pneumonitis ' ELSE 'gave 12 pills on the 3rd day, 4,5 mg, 500mg at K3.5 ___ yo ' END, text) AS text FROM documents"""
 _AN = f"an AS ({ACRONYM_NOTES})"
 _AC = {a: c.key for c in POOL for a in c.acronyms}
 _VA = {v: c.key for c in POOL for v in c.variants}
@@ -355,8 +356,39 @@ def term_summary() -> str:
     return _w(_D, *_BASE, _CAND, _AN, _terms(_AC), _AOCC, _TC, select="SELECT term, occurrences, \"both\" + term_only AS notes, round(term_only::DOUBLE / nullif(\"both\" + term_only, 0), 6) AS without_code FROM tc")
 
 
+#: RE2 cannot look around: matches take a character before and one behind, and a second pass finds those that touch.
+_TWICE = {
+    "__age__": r"(?i)(^|[^_])___[ -]?(?:years?[ -]?old|yo|y/o|y\.o\.)[mf]?([^a-z]|$)",
+    "__deid__": r"(^|[^_])___([^_]|$)",
+    "__num__": r"(^|[^A-Za-z0-9_.,]|(?:^|[^0-9])[.,])[0-9]+(?:[.,][0-9]+)*(?:(?i:st|nd|rd|th)([^A-Za-z0-9_]|$))?",
+}
+
+
+def _normal_text(text: str) -> str:
+    for word, p in _TWICE.items():
+        for _ in range(2):
+            text = f"regexp_replace({text}, '{p}', '\\1 {word} \\2', 'g')"
+    return text
+
+
+def _classifier_text(text: str) -> str:
+    """Terms one after another, longest first; the given vocabulary has no term that another one's result holds."""
+    text = _normal_text(text)
+    for a in sorted(_AC, key=lambda x: (-len(x), x)):
+        text = f"regexp_replace({text}, '\\b{a}\\b', '{_AC[a].replace('_', ' ')}', 'g')"
+    for v in sorted(_VA, key=lambda x: (-len(x), x)):
+        text = rf"regexp_replace({text}, '(?i)\b" + r"\s+".join(v.split()) + rf"\b', '{_VA[v].replace('_', ' ')}', 'g')"
+    return f"lower({text})"
+
+
+NORMALIZED = f"WITH {_AN} SELECT note_id, {_normal_text('text')} AS text FROM an"
+CLASSIFIER_TEXT = f"WITH {_AN} SELECT note_id, {_classifier_text('text')} AS text FROM an"
 _VOC = r"voc AS (SELECT note_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda w: length(w) >= 2) AS t FROM an)"
 NOTE_PREPROCESSING = f"WITH {_AN}, {_VOC} SELECT note_id, CAST(len(t) AS BIGINT) AS tokens_raw, CAST(len(list_distinct(t)) AS BIGINT) AS vocabulary, sha256(array_to_string(list_sort(list_distinct(t)), ' ')) AS digest FROM voc"
+_PRE = r"pre AS (SELECT note_id, list_filter(regexp_extract_all(" + _classifier_text("text") + r", '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda w: length(w) >= 2) AS t FROM an)"
+PREPROCESSING_SUMMARY = f"WITH {_AN}, {_VOC}, {_PRE}, u AS (SELECT 'raw' AS kind, t FROM voc UNION ALL SELECT 'preprocessed', t FROM pre)" + """
+SELECT kind, CAST(quantile_disc(len(t), 0.5) AS BIGINT) AS p50, CAST(quantile_disc(len(t), 0.95) AS BIGINT) AS p95, CAST(max(len(t)) AS BIGINT) AS most,
+  (SELECT count(DISTINCT w) FROM (SELECT unnest(t) AS w FROM u x WHERE x.kind = u.kind)) AS vocabulary FROM u GROUP BY kind"""
 TOKEN_FREQUENCY = f"WITH {_AN}, {_VOC} SELECT token, count(*) AS df FROM (SELECT note_id, unnest(list_distinct(t)) AS token FROM voc) GROUP BY token"
 _NG = f"""pt AS (SELECT note_id, section, list_filter(regexp_extract_all(lower(text[body_start + 1 : body_end]), '[a-z]{{2,}}'), lambda w: NOT list_contains([{_list(STOP)}], w)) AS w FROM spans WHERE section <> 'OTHER'),
 ix AS (SELECT note_id, section, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM pt, (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n),
@@ -477,9 +509,9 @@ wt AS (SELECT id, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw
 _PQ = "pq AS (SELECT gram, (count(*) FILTER (WHERE label))::DOUBLE AS p, (count(*) FILTER (WHERE NOT label))::DOUBLE AS q FROM (SELECT label, unnest({}) AS gram FROM lt) GROUP BY gram)"
 NB_RATIO = f"WITH {_LT}, {_PQ.format('list_distinct(t)')} SELECT gram, round(ln(((p + 1) / (sum(p + 1) OVER ())) / ((q + 1) / (sum(q + 1) OVER ()))), 6) AS r FROM pq"
 COMPLEMENT_NB = f"WITH {_LT}, {_PQ.format('t')}, lo AS (SELECT gram, ln((p + 1) / (sum(p + 1) OVER ())) - ln((q + 1) / (sum(q + 1) OVER ())) AS o FROM pq), s AS (SELECT id, sum(o) AS s FROM (SELECT id, unnest(t) AS gram FROM lt) JOIN lo USING (gram) GROUP BY id) SELECT lt.id, round(coalesce(s, 0), 4) AS score FROM lt LEFT JOIN s USING (id)"
-CHAR_WB = rf"""WITH w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text[1:200]), '\s+'), lambda x: x <> '')) AS x FROM ({LABELLED})), g AS (SELECT id, unnest(CASE WHEN length(x) + 2 >= 3 THEN list_transform(range(1, length(x) + 1), lambda i: (' ' || x || ' ')[i : i + 2]) ELSE [] END || CASE WHEN length(x) + 2 >= 4 THEN list_transform(range(1, length(x)), lambda i: (' ' || x || ' ')[i : i + 3]) ELSE [] END) AS g FROM w)
+CHAR_WB = rf"""WITH w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS x FROM ({LABELLED})), g AS (SELECT id, unnest(CASE WHEN length(x) + 2 >= 3 THEN list_transform(range(1, length(x) + 1), lambda i: (' ' || x || ' ')[i : i + 2]) ELSE [] END || CASE WHEN length(x) + 2 >= 4 THEN list_transform(range(1, length(x)), lambda i: (' ' || x || ' ')[i : i + 3]) ELSE [] END) AS g FROM w)
 SELECT d.id, count(g) AS grams, count(DISTINCT g) AS distinct_grams FROM ({LABELLED}) d LEFT JOIN g ON d.id = g.id GROUP BY d.id"""
-SCALER = """WITH l AS (SELECT vec_id AS id, unnest(range(0, 8)) AS position, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings), s AS (SELECT position, avg(x) AS m, stddev_pop(x) AS sd FROM l GROUP BY position) SELECT id, position, round(coalesce((x - m) / nullif(sd, 0), 0), 5) AS value FROM l JOIN s USING (position)"""
+SCALER = """WITH l AS (SELECT vec_id AS id, unnest(range(0, len(embedding))) AS position, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT position, avg(x) AS m, stddev_pop(x) AS sd FROM l GROUP BY position) SELECT id, position, round(coalesce((x - m) / nullif(sd, 0), 0), 5) AS value FROM l JOIN s USING (position)"""
 MEAN_POOL = "SELECT label, position, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(0, len(embedding))) AS position, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL"
 
 # --- audits -------------------------------------------------------------------------------------------------------
@@ -494,8 +526,8 @@ _ST = r"""st AS (SELECT count(*) AS notes, quantile_cont(words, 0.5)::DOUBLE AS
   SELECT len(regexp_extract_all(text, '\S+')) AS words, CASE WHEN length(text) > 0 THEN ln(length(text)::DOUBLE) END AS lc, len(list_filter(regexp_extract_all(text, '_{3,}'), lambda x: length(x) = 3)) AS marks FROM m))"""
 STATISTICS = f"WITH {_M}, {_ST} SELECT * FROM st"
 STATISTICS_VIOLATIONS = f"WITH {_M}, {_ST}, u AS (SELECT 'median_words' AS name, median_words AS value, 180.0::DOUBLE AS target FROM st UNION ALL SELECT 'log_deviation', log_deviation, 1.0::DOUBLE FROM st UNION ALL SELECT 'marks_per_thousand', marks_per_thousand, 1000.0::DOUBLE FROM st) SELECT * FROM u WHERE value IS NULL OR abs(value - target) > 0.1 * abs(target)"
-TRANSLATION_SOURCE = "SELECT doc_id AS pair_id, concat('a ___ ', substring(text, 1, 100)) AS text FROM documents WHERE doc_id % 9 <> 0"
-TRANSLATION_TARGET = "SELECT doc_id AS pair_id, CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN concat('b ___ ', substring(text, 1, 100)) WHEN 2 THEN concat('b ', substring(text, 1, 100)) WHEN 3 THEN '___' ELSE concat('b ___ ', substring(text, 1, 130)) END AS text FROM documents WHERE doc_id % 7 <> 0"
+TRANSLATION_SOURCE = "SELECT doc_id AS pair_id, concat('a ___ ', text) AS text FROM documents WHERE doc_id % 9 <> 0"
+TRANSLATION_TARGET = "SELECT doc_id AS pair_id, CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN concat('b ___ ', text) WHEN 2 THEN concat('b ', text) WHEN 3 THEN '___' ELSE concat('b ___ ', text, ' and thirty more characters at its end') END AS text FROM documents WHERE doc_id % 7 <> 0"
 _K = "len(list_filter(regexp_extract_all({}, '_{{3,}}'), lambda x: length(x) = 3))"
 TRANSLATION_CHECKS = f"""WITH s AS ({TRANSLATION_SOURCE}), t AS ({TRANSLATION_TARGET}), j AS (SELECT coalesce(s.pair_id, t.pair_id) AS pair_id, s.pair_id IS NOT NULL AS ha, t.pair_id IS NOT NULL AS hb, s.text AS a, t.text AS b FROM s FULL JOIN t ON s.pair_id = t.pair_id)
 SELECT pair_id, 'no source' AS reason FROM j WHERE NOT ha UNION ALL SELECT pair_id, 'no translation' FROM j WHERE NOT hb UNION ALL SELECT pair_id, 'empty' FROM j WHERE ha AND hb AND trim(b) = ''
