@@ -7,10 +7,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import byte_cnn, chat_format, co_training, decontaminate, html_extract, lattice_dedup, mixing, ngram_jaccard, pii, sharding
+from textloom.llm import byte_cnn, bytehash, chat_format, co_training, decontaminate, html_extract, lattice_dedup, mixing, ngram_jaccard, pii, sharding
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{k}" for k in range(400)]
@@ -66,7 +67,9 @@ def near_copies(seed, groups=12, size=9):
     return list(enumerate(rows))
 
 
-def test_jaccard_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("few", [64, 0.01])  # with and without rounds of hubs
+def test_jaccard_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_jaccard, "FEW", few)
     rows = near_copies(1) + [(1000, None), (1001, ""), (1002, " \t"), (1003, "one two"), (1004, "One TWO"), (1005, "é É"), (1006, "é é"), (1007, "w1 " * 5000), (1008, "w1 " * 6000)]
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)  # tiles of several blocks
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(spark, docs_of(spark, rows)).collect()}
@@ -79,6 +82,36 @@ def test_jaccard_odd_rows(spark):
     assert ngram_jaccard.jaccard_components(spark, docs_of(spark, [])).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    one, two = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    rows = [(1, one), (5, one), (5, two), (6, two + " more"), (None, two), (8, two), (9, ""), (9, ""), (4, "x"), (4, "x")]
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(spark, docs_of(spark, rows)).collect())
+    assert got == collections.Counter([(1, 56, 1), (5, 56, 1), (5, 56, 5), (6, 57, 5), (None, 56, None), (8, 56, 5), (9, 0, 9), (9, 0, 9), (4, 1, 4), (4, 1, 4)])
+    docs = docs_of(spark, rows)
+    kept = ngram_jaccard.distinct_documents(spark, docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(1, one), (5, two), (9, ""), (9, ""), (4, "x")])
+
+
+def test_a_row_without_id_links_others(spark):
+    rows = [(7, " ".join(WORDS[:100])), (None, " ".join(WORDS[8:108])), (3, " ".join(WORDS[16:116]))]
+    sets = [shingles(t) for _, t in rows]
+    assert len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8 <= min(len(sets[k] & sets[1]) / len(sets[k] | sets[1]) for k in (0, 2))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(spark, docs_of(spark, rows)).collect()}
+    assert got == {7: 3, 3: 3, None: None}
+
+
+def test_words_are_hashed_alike_in_pieces_of_any_size(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abé \t\n", k=rng.choice([0, 3, 50, 2000]))) for _ in range(60)] + ["x" * 9000 + " y"]
+    column = pa.array([*texts, None])
+    want = [s.tolist() for s in bytehash.shingle_sets(column)]
+    assert [len(s) for s in want] == [len(shingles(t)) for t in texts] + [0]
+    monkeypatch.setattr(bytehash, "PIECE", 64)
+    monkeypatch.setattr(bytehash, "_POWERS", [])
+    assert [s.tolist() for s in bytehash.shingle_sets(column)] == want
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 def brute_hits(text, items):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are hashed in one go, but for a longer document, which is one piece by itself.
-PIECE = 1 << 20
+#: Bytes that are hashed in one go, but for a longer word.
+PIECE = 1 << 18
 #: Words of a shingle.
 WIDTH = 5
 
@@ -19,18 +19,23 @@ _BYTE[65:91] = _BYTE[97:123]
 _MUL = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, r, np.uint64), dtype=np.uint64)]) for r in (_R, _RINV))
+
+
+_POWERS: list = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, PIECE + 1)
-        with np.errstate(over="ignore"):
-            _POW = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _R, np.uint64), dtype=np.uint64)])
-            _INV = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _RINV, np.uint64), dtype=np.uint64)])
-    return _POW, _INV
+    """Powers up to n; those of a piece are kept."""
+    if n > PIECE + 1:
+        return _power_table(n)
+    if not _POWERS:
+        _POWERS.append(_power_table(PIECE + 1))
+    return _POWERS[0]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -63,17 +68,28 @@ def pieces(offsets: np.ndarray, size: int = PIECE):
 
 
 def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of the rows, and the first word of each row; offsets are those of one piece."""
-    base = int(offsets[0])
-    b = data[base : int(offsets[-1])]
-    at = offsets - base
+    """Hashes of the words of the rows, and the first word of each row.  Bytes are read in pieces that end where words do."""
+    a, last = int(offsets[0]), int(offsets[-1])
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    while a < last:
+        z = min(a + PIECE, last)
+        while z < last and not sep[data[z]]:
+            gap = np.flatnonzero(sep[data[z : min(z + 4096, last)]])
+            z = z + int(gap[0]) if len(gap) else min(z + 4096, last)
+        h, start = _words(data[a:z], offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, z)] - a, sep)
+        hashes.append(h)
+        starts.append(start + a)
+        a = z
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _words(b: np.ndarray, borders: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of one piece, in which rows begin at borders."""
     n = len(b)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     power, inverse = _powers(n + 1)
     inside = ~sep[b]
     first = np.zeros(n + 1, bool)
-    first[at] = True
+    first[borders] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | first[1:n]
     end = inside.copy()
@@ -82,8 +98,7 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP) -> tupl
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[b] * power[:n], out=total[1:])
-        h = mix((total[end] - total[start]) * inverse[start])
-    return h, np.searchsorted(start, at)
+        return mix((total[end] - total[start]) * inverse[start]), start
 
 
 def grams(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
