@@ -1,61 +1,5 @@
-"""Five stages from raw documents to placed training documents.
+"""The stages from raw documents to placed training documents; they are written in textloom.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next stage's
-docs.  All but the last return the columns of documents; the last adds slot and shard.
-"""
+from textloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from textloom.llm import byte_cnn, decontaminate, mixing, ngram_jaccard, sharding
-from textloom.llm.common import Scratch, keep_ids, read
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose best language has a mean probability below byte_cnn.MIN_SCORE."""
-    return byte_cnn.recognised(docs, byte_cnn.train(docs))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest doc_id; documents without words stay."""
-    found = ngram_jaccard.jaccard_components(spark, docs).where("component_id <> doc_id").select("doc_id").distinct()
-    found = Scratch(spark).write(found, "copies")
-    return keep_ids(docs, "doc_id", found, found.count(), "left_anti").select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    return decontaminate.decontaminate(spark, docs, read(spark, sf_dir, "benchmark"))
-
-
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources get their target shares, in a globally shuffled order."""
-    return mixing.mix(spark, docs).select(*docs.columns)
-
-
-def shard_placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds slot and shard."""
-    return sharding.place(spark, docs)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("mixing", mixing_sources),
-    ("sharding", shard_placement),
-]
-
-#: The first stage is a trained network, which SQL cannot express; the stages are tested one by one.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.write(docs, name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
