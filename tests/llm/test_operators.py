@@ -221,6 +221,55 @@ def test_bootstrapping_finds_what_patterns_miss(spark, tmp_path):
     assert pii.personal_data(spark, docs_of(spark, [])).count() == 0
 
 
+def brute_discovered(texts):
+    """The rounds of the docstring in plain Python: (document, kind, start, end) of all added spans."""
+    cells = [(i, c) for i, t in texts.items() for c in pii.slots(t, pii.base_spans(t))]
+    edges, known = collections.defaultdict(set), {}
+    for _, c in cells:
+        for p in c["patterns"]:
+            edges[p].add(c["value"])
+    seeds = [(c["value"], c["kind"]) for _, c in cells if c["kind"] is not None and c["patterns"]]
+    for v, k in seeds:
+        known[v] = min(k, known.get(v, 9))
+    added = {}
+    for _ in range(pii.ROUNDS):
+        best = collections.defaultdict(lambda: collections.defaultdict(lambda: 1.0))
+        for values in edges.values():
+            kinds = collections.Counter(known[v] for v in values if v in known)
+            u = sum(v not in known for v in values)
+            for k, n in kinds.items():
+                conf = n / (sum(kinds.values()) + pii.UNKNOWN * u)
+                if n >= pii.MIN_KNOWN and conf >= pii.MIN_CONFIDENCE:
+                    for v in values:
+                        if v not in known:
+                            best[v][k] *= max(1 - conf, 1e-9)
+        new = {v: max((round(1 - x, 9), -k) for k, x in ks.items()) for v, ks in best.items()}
+        new = {v: -k for v, (x, k) in new.items() if x >= pii.MIN_CONFIDENCE}
+        if not new:
+            break
+        added |= new
+        known |= new
+    out = {(i, c["kind"], c["start"], c["end"]) for i, c in cells if c["kind"] == len(pii.BASE)}
+    return out | {(i, added[c["value"]], c["start"], c["end"]) for i, c in cells if c["kind"] is None and c["value"] in added}
+
+
+def test_rounds_equal_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    token = lambda n=40: "".join(rng.choices("0123456789abcdef", k=n))
+    frames = [lambda: f'the token = "{token()}" of', lambda: f"ring me on +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} today", lambda: f"write to u{rng.randint(0, 10**6)}@mail.org now", lambda: f"host {rng.randint(0, 255)}.1.2.{rng.randint(0, 255)} up"]
+    odd = ['the token = "hunter-two" of', 'the token = "swordfish" of', "ring me on 5550123456 today", "ring me on 555-01-99999 please", "call him on 555-01-99999 soon", "write to nobody now", "paid 1234567 in", 'TOKEN: "other" x', "the year 2020-03-11/news_story_of_the_day"]
+    odd += [f"call him on +1 ({k}11) 555-0000 soon" for k in range(1, 6)] + ["call him on 777777777 soon"]
+    texts = {k: " ".join(rng.choices(WORDS, k=5)) + " " + rng.choice(frames)() + " " + " ".join(rng.choices(WORDS, k=3)) for k in range(200)}
+    texts |= {1000 + k: t for k, t in enumerate(odd * 2)}
+    got = pii.personal_data(spark, docs_of(spark, list(texts.items()))).collect()
+    found = {(r["doc_id"], x["kind"], x["start"], x["end"]) for r in got for x in r["added"]}
+    assert found == brute_discovered(texts)
+    names = collections.Counter((pii.KINDS[k], texts[i][a:z]) for i, k, a, z in found)
+    assert names["secret", "hunter-two"] == names["secret", "swordfish"] == 2 and names["phone", "5550123456"] == 2
+    assert not any(x in ("1234567", "2020-03-11/news_story_of_the_day") for _, x in names)
+    assert sum(n for (k, _), n in names.items() if k == "secret") >= 40
+
+
 # --- pages --------------------------------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="home">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
