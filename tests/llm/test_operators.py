@@ -298,6 +298,33 @@ def test_main_text_is_chosen_by_density_inside_marks():
     assert html_extract.main_text(PAGE % f"<main></main><div>{part % 'only'}</div>") == "A long only paragraph of the text, with a number of words."
 
 
+def paragraph(k, tag="p"):
+    return f"<{tag}>A long paragraph number {k} of the text, with a good number of words.</{tag}>"
+
+
+@pytest.mark.parametrize("body,want", [
+    ("<div>" + "".join(paragraph(k) for k in range(12)) + "</div>" + paragraph("X", "div") + paragraph("Y", "div"), [*range(12), "X", "Y"]),
+    ("".join(paragraph(k, "div") for k in "abc") + "<div>" + "".join(paragraph(k) for k in range(8)) + "</div>" + "".join(paragraph(k, "div") for k in "def"), [*"abc", *range(8), *"def"]),
+    ("<article>" + paragraph(1) + "<section id='discussion'>" + paragraph(2) + "</section><section class='related work'>" + paragraph(3) + "</section></article>", [1, 2, 3]),
+    ("<main><article>" + paragraph(1) + paragraph(2) + "</article><section id='discussion'>" + paragraph(3) + "</section></main>", [1, 2]),
+    ("<div id='wrap'><div>" + paragraph(1) + paragraph(2) + "</div><div><ul>" + "<li><a href='x'>Go to that page</a></li>" * 9 + "</ul></div></div>", [1, 2]),
+])
+def test_siblings_go_by_density_and_keep_their_order(body, want):
+    assert re.findall(r"number (\w+) of", html_extract.main_text(f"<html><body>{body}</body></html>")) == [str(k) for k in want]
+
+
+def test_short_flow_text_around_the_core_stays():
+    page = "<body><nav><a href=x>y</a></nav><div><h1>Head</h1><p>Short.</p>%s<p>See <a href=x>it</a>.</p>Bare <b>bold</b> end</div><footer>f</footer></body>"
+    assert html_extract.main_text(page % paragraph(1)) == "Head\nShort.\nA long paragraph number 1 of the text, with a good number of words.\nSee it.\nBare bold end"
+
+
+def test_pages_without_marks_give_the_same_text(spark):
+    """The article of each page in a plain element: density alone finds it."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert plain != r["html"] and html_extract.main_text(plain) == html_extract.main_text(r["html"])
+
+
 @pytest.mark.parametrize("inside,text", [
     ("<p>See the <a href='/wiki/Hidden_Markov_model'>model</a> here</p>", "See the model here"),
     ("<p>See the <a href=/p?id=share title='The hidden one'>page</a> here</p>", "See the page here"),
@@ -317,6 +344,14 @@ def test_pages_of_the_tables(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_extraction_of_odd_rows(spark):
+    rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>a"), (2, "u", "<p>a"), (3, "u", "<p>" + "a b" * 400_000)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    got = collections.Counter((r["page_id"], r["url"], r["n_chars"]) for r in html_extract.extract(frame).collect())
+    assert got == collections.Counter([(1, None, 0), (None, "u", 0), (2, "u", 1), (2, "u", 1), (3, "u", 1_200_000)])
+    assert html_extract.extract(frame.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "</p></div>", "<body>", "<script>x", "<!-- x", "<a href='x>y", "<div>" * 3000 + "deep", "plain & text"])
 def test_odd_pages(page):
     assert html_extract.main_text(page) == {"<div>" * 3000 + "deep": "deep", "plain & text": "plain & text", "<": "<", "<p": "<p", "<a href='x>y": "y"}.get(page, "")

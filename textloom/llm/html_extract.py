@@ -4,19 +4,23 @@ A page is parsed into a tree of elements.  Elements that are never part of an ar
 navigation, forms, adverts, notices, comments by readers and the like, by tag, role, class or id) are taken
 out first.  Each remaining node gets its composite density: characters per tag, adjusted by the share of
 linked characters and tags.  A node's density sum adds up its children's densities.  The node with the
-largest sum is the core; the smallest density on the path from the body to the core is the threshold, and
-siblings along that path whose density reaches it belong to the text.  A page that marks its article
+largest sum is the core; the smallest density on the path from the body to the core is the threshold.  A composite
+density grows with the size of an element, so for the threshold all are scaled to what they would be without links:
+siblings along the path belong to the text if they reach the threshold and a share of the core's density.  Text in the
+line of the core's own does too, however short: siblings of a paragraph, list or table, or of any element below the body,
+that are such elements or bare text and hardly linked, and headings right before what belongs to the text.  A page that marks its article
 (`article`, `main`, role=main, itemprop=articleBody) is searched inside the outermost of these elements that hold
-characters: the core and the threshold are found in the same way, parts without links are kept whatever their
-density, and further marked elements whose density reaches the threshold add their own cores, in page order.
+characters: the core and the threshold are found in the same way, all siblings that are hardly linked are kept,
+and further marked elements that reach the threshold add their own cores, in page order.  Classes and ids that mark
+comments or notices elsewhere, but also name sections of articles (_MAYBE_NAME), count outside `article` only.
 
 Inside the text, character references are decoded, runs of white space become one space, blocks are trimmed
 and joined by a newline in page order; empty blocks are left out.  A line break inside a block is white space.
 A null or empty page gives an empty text; a page without a body element is taken as a body.  Broken markup
 never fails: unclosed elements end with their parent, stray end tags are ignored.  A page whose classes and
-ids leave no text is read again without looking at them.  Rows come back one for
-one, with repeated and null ids as they are; other columns are ignored.  One page is one unit of work and
-memory.
+ids leave no text is read again without looking at them.  Of equal density sums the first in page order is the core.
+Rows come back one for one, with repeated and null ids as they are; other columns are ignored; an empty table gives an
+empty result.  One page, however long, is one unit of work and memory.
 """
 
 from __future__ import annotations
@@ -43,30 +47,37 @@ _SPACE = frozenset("br td th img".split())
 _DROP = frozenset("nav footer aside form button select menu dialog head".split())
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 #: Words in class or id that mark what is not the article.
-_DROP_NAME = re.compile(r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ads?|advert\w*|adsense|alert|announcement|banner|breadcrumbs?|comment\w*|cookies?|consent|discussion|disqus|feedback|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|related|replies|respond|responses|share|sharing|side-?bar|signup|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
+_DROP_NAME = re.compile(r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ads?|advert\w*|adsense|alert|announcement|banner|breadcrumbs?|comment\w*|cookies?|consent|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notification|pager|pagination|popup|promo\w*|respond|sharing|side-?bar|signup|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
+#: The same outside `article`: sections of articles may have these names.
+_MAYBE_NAME = re.compile(r"(?:^|[\s_-])(?:discussion|feedback|notices?|related|replies|responses|share)(?:$|[\s_-])", re.I)
 #: The same outside a marked article: heads of pages.
 _DROP_HEAD = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-]?)?header(?:$|\s)", re.I)
+#: Elements that hold running text, and marks inside it.
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_FLOW = _HEADS | frozenset("p pre blockquote ul ol dl table figure hr br b i em strong a span u s q code sub sup small abbr cite mark time del ins font tt kbd var samp img".split())
+#: A sibling's density as a share of the core's, if it has LARGE of its characters or more and if not; the share of linked characters of what is hardly linked.
+CORE_SHARE, SMALL_SHARE, LARGE, LINKED = 0.5, 0.8, 0.25, 0.3
 #: Start tags that end an open element of the second set, up to a border.
 _P_ENDS = _BLOCK - {"body", "html", "caption", "legend", "option", "summary", "tbody", "thead", "tfoot", "tr", "dd", "dt", "li"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tr", "td", "th", "tbody"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "marked", "drop", "chars", "tags", "lchars", "ltags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "marked", "drop", "chars", "tags", "lchars", "ltags", "density", "even", "total")
 
     def __init__(self, tag, parent, drop=False, marked=False):
         self.tag, self.parent, self.drop, self.marked = tag, parent, drop, marked
         self.kids: list = []
 
 
-def _attributes(tag: str, text: str, in_marked: bool, names: bool = True) -> tuple[bool, bool]:
+def _attributes(tag: str, text: str, in_marked: bool, in_article: bool = False, names: bool = True) -> tuple[bool, bool]:
     """Whether the element is taken out, and whether it marks the article; names=False looks at no class and id."""
     drop, marked = tag in _DROP or (tag == "header" and not in_marked), tag in ("article", "main")
     if text and not text.isspace():
         for name, value in _ATTR.findall(text):
             name, value = name.lower(), value.strip("\"' ").lower()
             if name in ("class", "id"):
-                if names and tag not in ("body", "html") and (_DROP_NAME.search(value) or not in_marked and _DROP_HEAD.search(value)):
+                if names and tag not in ("body", "html") and (_DROP_NAME.search(value) or not in_article and _MAYBE_NAME.search(value) or not in_marked and _DROP_HEAD.search(value)):
                     drop = True
             elif name == "role":
                 drop = drop or value in _DROP_ROLE
@@ -119,11 +130,11 @@ def parse(html: str, names: bool = True) -> Node:
                 x = x.parent
             if last is not None:
                 node = last.parent
-        x, in_marked = node, False
-        if tag == "header" or "header" in rest.lower():
-            while x is not None and not in_marked:
-                in_marked, x = x.marked, x.parent
-        drop, marked = _attributes(tag, rest, in_marked, names)
+        x, in_marked, in_article = node, False, False
+        if tag == "header" or "class" in (lowered := rest.lower()) or "id" in lowered:
+            while x is not None and not in_article:
+                in_marked, in_article, x = in_marked or x.marked, x.tag == "article", x.parent
+        drop, marked = _attributes(tag, rest, in_marked, in_article, names)
         new = Node(tag, node, drop, marked)
         node.kids.append(new)
         if tag not in _VOID and not rest.rstrip().endswith("/"):
@@ -165,6 +176,7 @@ def _measure(nodes: list[Node]) -> None:
         lc, lt = max(x.lchars, 1), max(x.ltags, 1)
         base = math.log(c / max(c - x.lchars, 1) * x.lchars + share * c + math.e)
         x.density = c / t * math.log1p(c / lc * t / lt) / math.log1p(base) if c else 0.0
+        x.even = c / t * math.log1p(c / lc * t / lt) / math.log1p(c * t) if c else 0.0
     for x in nodes:
         kids = [k.density for k in x.kids if isinstance(k, Node) and not k.drop]
         x.total = sum(kids) if kids else x.density
@@ -180,7 +192,7 @@ def _above(x: Node, top: Node) -> list[Node]:
 
 
 def _core(nodes: list[Node]) -> list[Node]:
-    """The subtrees that are the text, in page order; parts of marked elements that are not are taken out."""
+    """The subtrees that are the text, in page order; parts of them that are not are taken out."""
     body, inside, best = nodes[0], {}, {}  # the outermost marked element of each node that has one, and its core
     for x in nodes:
         top = inside.get(id(x.parent)) or (x if x.marked and x.chars else None)
@@ -189,29 +201,37 @@ def _core(nodes: list[Node]) -> list[Node]:
             if id(top) not in best or x.total > best[id(top)][1].total:
                 best[id(top)] = (top, x)
     core = max([x for _, x in best.values()] or nodes, key=lambda x: x.total)
-    least = min(p.density for p in _above(core, body))
-    if not best:
-        return _around(core, body, least)
-    tops = [(top, x) for top, x in best.values() if x is core or top.density >= least]
+    least = min(p.even for p in _above(core, body))
+    tops = [(top, x) for top, x in best.values() if x is core or top.even >= least] or [(body, core)]
     for top, x in tops:
         path = _above(x, top)
         for parent, child in zip(path[1:], path):
-            for k in parent.kids:
-                if isinstance(k, Node) and k is not child and not k.drop:
-                    k.drop = k.density < least and k.lchars > 0
+            _prune(parent, child, core, least, top is not body)
     return [top for top, _ in tops]
 
 
-def _around(core: Node, body: Node, least: float) -> list[Node]:
-    """core and the siblings along its path whose density reaches least, in page order."""
-    path = _above(core, body)
-    out = []
-    for parent, child in zip(path[:0:-1], path[-2::-1]):  # from the body down; the core is the last child
-        spot = next(i for i, k in enumerate(parent.kids) if k is child)
-        for i, k in enumerate(parent.kids):
-            if isinstance(k, Node) and k is not child and not k.drop and k.density >= least and k.chars:
-                out.append((i < spot, k))
-    return [*(k for first, k in out if first), core, *(k for first, k in reversed(out) if not first)]
+def _prune(parent: Node, child: Node, core: Node, least: float, marked: bool) -> None:
+    """Takes out what does not belong to the text around child, a node on the path to the core."""
+
+    def dense(size: int, even: float) -> bool:
+        return even >= least and (marked or even >= core.even * (CORE_SHARE if size >= LARGE * core.chars else SMALL_SHARE))
+
+    inline = marked or parent.tag not in ("body", "html") or child.tag in _FLOW
+    kids, after = [], False  # from the last to the first; whether the element after this one stays
+    for k in reversed(parent.kids):
+        if isinstance(k, str):
+            size = len(k) - k.count(" ")
+            if k.isspace() or inline or dense(size, size):
+                kids.append(k)
+            continue
+        if k is child:
+            after = True
+        elif not k.drop:
+            flow = inline and (marked or k.tag in _FLOW) and k.lchars <= LINKED * k.chars
+            k.drop = not (dense(k.chars, k.even) or flow or after and k.tag in _HEADS and not k.lchars)
+            after = not k.drop if k.chars else after
+        kids.append(k)
+    parent.kids = kids[::-1]
 
 
 def _blocks(tops: list[Node]) -> list[str]:
