@@ -5,19 +5,20 @@ TABLES tables BLOCKS random projections onto eight dimensions are decoded to poi
 the points together name its cell.  A vector is stored in its own cell and looked up in the cells of its
 PROBES nearest neighbouring lattice points.  All pairs that meet in a cell are verified by their cosine in
 double precision.  A pair that meets more than once is counted at its first meeting only, which both
-vectors' cells decide without any list of pairs: what leaves a cell are link counts and a spanning forest.
+vectors' cells decide without any list of pairs: what leaves a task are link counts and stars that connect what is linked.
 
 Vectors that are equal after scaling form a class first, and one vector stands for it.  A cell of more than BLOCK
 vectors is dealt out to pairs of blocks, so no cell is gathered in one task.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label, link with
 nothing.  Vectors of different length never link.  A null vec_id is returned with a null component; repeated rows
-are separate vectors, linked with each other.  Other columns are ignored.
+are separate vectors, linked with each other.  Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from itertools import combinations
 
 import numpy as np
@@ -26,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, components, read
+from textloom.llm.common import Scratch, arrow_map, components, join_heavy, keep_ids, read
 
 THRESHOLD = 0.93
 #: Lattice tables, eight-dimensional blocks of each, probed neighbours, the size of a cell, and the seed.
 TABLES, BLOCKS, PROBES, CELL, SEED = 8, 2, 16, 2.0, 7
-#: Vectors of a block of a large cell.
-BLOCK = 2000
+#: Vectors of a block of a large cell, vectors of cells that are verified all at once by their size, and pairs of one step.
+BLOCK, SMALL, STEP = 2000, 16, 1 << 14
 
 
 def _roots() -> np.ndarray:
@@ -106,166 +107,205 @@ def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, probed
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    """Unit vectors in double precision from the stored bytes: a letter for the type, then the components."""
-    x = np.stack([np.frombuffer(r, np.float32 if r[:4] == b"f   " else np.float64, offset=8).astype(np.float64) for r in raw])
+def _units(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision from rows of stored bytes: a letter for the type, then the components."""
+    kind = np.float32 if raw[0, 0] == ord("f") else np.float64
+    x = np.ascontiguousarray(raw[:, 8:]).view(kind).astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rows of a binary column begin and end, and the bytes."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1], np.frombuffer(data, np.uint8)
+
+
+def _by_kind(column: pa.Array):
+    """Rows of stored vectors that are alike in type and length: where they are, and their bytes as a matrix."""
+    at, data = _bytes(column)
+    size, letter = np.diff(at), data[at[:-1]]
+    for n, c in sorted(set(zip(size.tolist(), letter.tolist()))):
+        rows = np.flatnonzero((size == n) & (letter == c))
+        yield rows, data[at[rows][:, None] + np.arange(n)]
+
+
 def _prepare(batches):
     """rid, vec_id, label, the vector as bytes and its key; the last two are null for what links with nothing."""
     next_id = TaskContext.get().partitionId() << 40
     for batch in batches:
         n = batch.num_rows
-        units, keys = [], []
+        units, keys = [None] * n, [None] * n
         kind, mark = (np.float64, b"d       ") if pa.types.is_float64(batch.column(1).type.value_type) else (np.float32, b"f       ")
-        for v, label in zip(batch.column(1).to_pylist(), batch.column(2)):
-            unit = None
-            if v and label.is_valid and None not in v:
-                x = np.asarray(v, kind)
+        for k, (v, label) in enumerate(zip(batch.column(1), batch.column(2))):
+            if v.is_valid and label.is_valid and len(v) and not v.values.null_count:
+                x = v.values.to_numpy().astype(kind)
                 if np.isfinite(x).all() and x.any():
-                    unit = mark + x.tobytes()
-            units.append(unit)
-            keys.append(None if unit is None else hashlib.blake2b((np.round(_units([unit]), 12) + 0.0).tobytes(), digest_size=16).digest())
+                    units[k] = mark + x.tobytes()
+                    unit = _units(np.frombuffer(units[k], np.uint8)[None])
+                    keys[k] = hashlib.blake2b((np.round(unit, 12) + 0.0).tobytes(), digest_size=16).digest()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), batch.column(0), batch.column(2).cast(pa.string()), pa.array(units, pa.binary()), pa.array(keys, pa.binary())], ["rid", "vec_id", "label", "unit", "key"])
         next_id += n
 
 
+def _key(label: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """One number for label (its hash), table and cell of an array vectors x TABLES x any: 24, 8 and 32 bits."""
+    table = np.arange(TABLES, dtype=np.int64)[None, :, None] << 32
+    return ((label >> 40) << 40)[:, None, None] | table | (cells.astype(np.int64) & 0xFFFFFFFF)
+
+
 def _post(batches):
-    """Rows for the cells: of a class (id, label, copies, unit) its own cell and the probed ones of each table, with all its cells."""
+    """Rows for the cells: of a class (id, label as a hash, copies, unit) its own cell and the probed ones of each table, with all its codes."""
     for batch in batches:
-        ids, label, copies, unit = (batch.column(k).to_pylist() for k in range(4))
-        by_dim: dict = {}
-        for k, u in enumerate(unit):
-            by_dim.setdefault((u[:1], len(u)), []).append(k)
-        for rows in by_dim.values():
-            own, probed = cells(_units([unit[k] for k in rows]))
+        for rows, raw in _by_kind(batch.column(3)):
+            own, probed = cells(_units(raw))
             every = np.concatenate([own[:, :, None], probed], 2)  # vectors x TABLES x (1 + PROBES)
-            codes = [every[i].tobytes() for i in range(len(rows))]
+            at = pa.array(rows)
+            label = batch.column(1).take(at)
+            keys = _key(label.to_numpy(), every).reshape(len(rows), -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k] for k in rows], pa.int64()), pa.array([label[k] for k in rows], pa.string()), pa.array([copies[k] for k in rows], pa.int64()), pa.array([unit[k] for k in rows], pa.binary()), pa.array(codes, pa.binary()), pa.array(list(every.reshape(len(rows), -1)), pa.list_(pa.int32()))],
+                [batch.column(0).take(at), label, batch.column(2).take(at), batch.column(3).take(at), pa.array([x.tobytes() for x in every], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
                 ["id", "label", "copies", "unit", "codes", "cells"],
             )
 
 
-def _met(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
-    """For codes (m x TABLES x (1 + PROBES)) of two lists of vectors: whether the pairs meet in x's own cell, and in y's."""
-    in_x = (cy == cx[:, :, :1]).any(2)  # y is stored or looked up in x's own cell
-    in_y = (cx == cy[:, :, :1]).any(2)
-    return in_x, in_y
-
-
-def _verify(rows: list, cell: int, table: int, i: int, j: int, out: dict) -> None:
-    """All pairs of one cell, or of blocks i and j of it."""
-    ids = np.array([r[1] for r in rows])
-    block = np.array([r[0] for r in rows])
-    weight = np.array([r[2] for r in rows])
-    unit = _units([r[3] for r in rows])
-    codes = np.stack([np.frombuffer(r[4], np.int32) for r in rows]).reshape(len(rows), TABLES, 1 + PROBES)
-    left = np.flatnonzero(block == i)
-    right = np.flatnonzero(block == j) if i != j else left
-    for a in range(0, len(left), 512):
-        part = left[a : a + 512]
-        x, y = np.nonzero(unit[part] @ unit[right].T >= THRESHOLD - 1e-9)
-        x, y = part[x], right[y]
-        if i == j:
-            x, y = x[ids[x] < ids[y]], y[ids[x] < ids[y]]
-        else:
-            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
-        if not len(x):
-            continue
-        # the first meeting: no earlier table, and in this one the smaller id's own cell where they meet there, else the other's
-        in_x, in_y = _met(codes[x], codes[y])
-        either = in_x | in_y
-        ours = ~either[:, :table].any(1)
-        here = np.where(in_x[:, table], codes[x, table, 0], codes[y, table, 0])
-        ours &= either[:, table] & (here == cell)
-        x, y = x[ours], y[ours]
-        exact = (unit[x] * unit[y]).sum(1) >= THRESHOLD
-        x, y = x[exact], y[exact]
-        np.add.at(out["links"], x, weight[y])
-        np.add.at(out["links"], y, weight[x])
-        out["edges"].append((ids[x], ids[y]))
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    root: dict = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+def _first_meeting(cx: np.ndarray, cy: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether pairs, x with the smaller id, meet first in the cell of this key, for their codes (m x TABLES x (1 + PROBES)).
+
+    The first meeting is in the first table where they meet: in x's own cell if y is stored or looked up there, else in y's.
+    """
+    in_x = (cy == cx[:, :, :1]).any(2)
+    either = in_x | (cx == cy[:, :, :1]).any(2)
+    table, row = (key >> 32) & 0xFF, np.arange(len(key))
+    here = np.where(in_x[row, table], cx[row, table, 0], cy[row, table, 0])
+    return (either.argmax(1) == table) & either[row, table] & (here.astype(np.int64) & 0xFFFFFFFF == key & 0xFFFFFFFF)
+
+
+class _Links:
+    """Pairs that were found: a count for each vector, and stars that connect what is linked."""
+
+    def __init__(self):
+        self.pairs: list = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> None:
+        if len(a):
+            self.pairs.append((a, b, wa, wb))
+            self.size += len(a)
+
+    def flush(self) -> pa.RecordBatch:
+        a, b, wa, wb = (np.concatenate([p[k] for p in self.pairs]) for k in range(4))
+        self.pairs, self.size = [], 0
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        links = np.bincount(at, np.concatenate([wb, wa]), len(ids)).astype(np.int64)
+        x, y = at[: len(a)], at[len(a) :]
+        low = np.arange(len(ids))
+        while True:
+            least = np.minimum(low[x], low[y])
+            new = low.copy()
+            np.minimum.at(new, x, least)
+            np.minimum.at(new, y, least)
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        star = np.flatnonzero(low != np.arange(len(ids)))
+        none = pa.nulls(len(star), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(ids), pa.array(ids[low[star]])]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids[star])]), pa.concat_arrays([pa.array(links), none])], ["a", "b", "links"])
 
 
 def _cells(batches):
-    """Reads rows sorted by (label, table, cell, i, j), a cell at a time; gives links of each vector and edges of a forest."""
-    head, rows = None, []
-
-    def done():
-        if len(rows) < 2:
-            return None
-        out = {"links": np.zeros(len(rows), np.int64), "edges": []}
-        _verify(rows, head[2], head[1], head[3], head[4], out)
-        if not out["edges"]:
-            return None
-        some = np.flatnonzero(out["links"])
-        edges = _forest(np.concatenate([e[0] for e in out["edges"]]), np.concatenate([e[1] for e in out["edges"]]))
-        a = [rows[k][1] for k in some] + [e[0] for e in edges]
-        b = [None] * len(some) + [e[1] for e in edges]
-        n = [int(out["links"][k]) for k in some] + [None] * len(edges)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
-
-    for batch in batches:
-        c = [batch.column(k).to_pylist() for k in range(5)]
-        rest = [batch.column(k).to_pylist() for k in range(5, 10)]
-        for k in range(batch.num_rows):
-            key = (c[0][k], c[1][k], c[2][k], c[3][k], c[4][k])
-            if key != head:
-                if head is not None and (found := done()) is not None:
-                    yield found
-                head, rows = key, []
-            rows.append(tuple(x[k] for x in rest))
-    if head is not None and (found := done()) is not None:
-        yield found
+    """Reads rows sorted by (cell, i, j), all cells of a batch at once; gives links of each vector and edges that connect what is linked."""
+    links = _Links()
+
+    def verify(m, unit, codes, x, y):
+        cell, i, j, block, ids, copies, label = m.T
+        ok = (label[x] == label[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+        x, y = x[ok], y[ok]
+        ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= THRESHOLD
+        x, y = x[ok], y[ok]
+        x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        ok = _first_meeting(codes[x], codes[y], cell[x])
+        x, y = x[ok], y[ok]
+        links.add(ids[x], ids[y], copies[x], copies[y])
+
+    def tiles(m, raw, codes):
+        cut = np.flatnonzero((m[1:, :3] != m[:-1, :3]).any(1)) + 1
+        starts, ends = np.append(0, cut), np.append(cut, len(m))
+        size, unit = ends - starts, _units(raw)
+        for s in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+            at, (left, right) = starts[size == s][:, None], np.triu_indices(s, 1)
+            step = 1 + STEP // len(left)
+            for k in range(0, len(at), step):
+                yield verify(m, unit, codes, (at[k : k + step] + left).ravel(), (at[k : k + step] + right).ravel())
+        for a, z in zip(starts[size > SMALL].tolist(), ends[size > SMALL].tolist()):
+            for k in range(a, z, 512):  # the product of blocks first: few of a large cell's pairs are close
+                x, y = np.nonzero(unit[k : min(k + 512, z)] @ unit[a:z].T >= THRESHOLD - 1e-9)
+                x, y = x + k, y + a
+                x, y = x[y > x], y[y > x]
+                for c in range(0, len(x), STEP):
+                    yield verify(m, unit, codes, x[c : c + STEP], y[c : c + STEP])
+
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            cell = np.stack([rest.column(k).to_numpy() for k in range(3)], 1)
+            last = np.flatnonzero((cell[1:] != cell[:-1]).any(1))
+            n = int(last[-1]) + 1 if len(last) else 0
+            now, rest = rest.slice(0, n), rest.slice(n)
+        else:
+            now = rest
+        if now is None or not now.num_rows:
+            continue
+        for rows, raw in _by_kind(now.column(7)):
+            at = pa.array(rows)
+            m = np.stack([now.column(k).take(at).to_numpy().astype(np.int64) for k in range(7)], 1)
+            where, data = _bytes(now.column(8).take(at))
+            codes = data[where[0] : where[-1]].view(np.int32).reshape(len(rows), TABLES, 1 + PROBES)
+            for _ in tiles(m, raw, codes):
+                if links.size > 1_000_000:
+                    yield links.flush()
+    if links.size:
+        yield links.flush()
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     """For each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     scratch = Scratch(spark)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    rows = scratch.write(vectors.mapInArrow(_prepare, "rid long, vec_id long, label string, unit binary, key binary"), "units")
+    rows = scratch.write(arrow_map(vectors, _prepare, "rid long, vec_id long, label string, unit binary, key binary"), "units")
+    total = rows.count()
     # the class is named by its smallest row; rows of a class are counted, and the smallest vec_id is kept for the component
-    classes = rows.where("key is not null").groupBy("key", "label").agg(F.min("rid").alias("id"), F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
-    classes = scratch.write(classes, "classes")
-    posts = classes.select("id", "label", "copies", "unit").mapInArrow(_post, "id long, label string, copies long, unit binary, codes binary, cells array<int>")
-    posts = scratch.write(posts, "posts")
-    wide = 1 + PROBES
-    keys = posts.select("id", "label", F.posexplode("cells").alias("p", "cell")).select("id", "label", F.floor(F.col("p") / wide).cast("int").alias("t"), "cell", (F.col("p") % wide == 0).alias("stored"))
-    size = keys.groupBy("label", "t", "cell").agg(F.count(F.lit(1)).alias("size"), F.bool_or("stored").alias("stored")).where("stored and size > 1").drop("stored")
-    tiles = keys.drop("stored").join(size, ["label", "t", "cell"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    good = rows.where("key is not null")
+    classes = good.groupBy("key", "label").agg(F.min("rid").alias("id"), F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.write(classes, "classes", narrow=True)
+    again = join_heavy(good.select("rid", "key", "label"), classes.where("copies > 1").select("key", "label", "id", "copies"), ["key", "label"], "copies", total)
+    again = scratch.write(again.where("rid <> id").select("rid"), "again", narrow=True)
+    heads = keep_ids(good.select("rid", F.xxhash64("label").alias("label"), "unit"), "rid", again, again.count(), "left_anti").withColumnRenamed("rid", "id")
+    heads = heads.join(classes.where("copies > 1").select("id", "copies"), "id", "left").select("id", "label", F.coalesce("copies", F.lit(1)).alias("copies"), "unit")
+    posts = scratch.write(arrow_map(heads, _post, "id long, label long, copies long, unit binary, codes binary, cells array<long>"), "posts")
+    keys = posts.select("id", F.posexplode("cells").alias("p", "cell")).select("id", "cell", (F.col("p") % (1 + PROBES) == 0).alias("stored"))
+    size = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.bool_or("stored").alias("stored")).where("stored and size > 1").drop("stored")
+    tiles = keys.drop("stored").join(size, "cell").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("label", "t", "cell", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id")
-    tiles = tiles.join(posts.select("id", "copies", "unit", "codes"), "id").select("label", "t", "cell", "i", "j", "block", "id", "copies", "unit", "codes")
-    tiles = tiles.repartition("label", "t", "cell", "i", "j").sortWithinPartitions("label", "t", "cell", "i", "j")
-    met = scratch.write(tiles.mapInArrow(_cells, "a long, b long, links long"), "met")
+    tiles = tiles.select("cell", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id")
+    tiles = tiles.join(posts.drop("cells"), "id").select("cell", "i", "j", "block", "id", "copies", "label", "unit", "codes")
+    tiles = tiles.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    met = scratch.write(arrow_map(tiles, _cells, "a long, b long, links long"), "met", narrow=True)
+    scratch.drop(posts, again)
 
     links = met.where("links is not null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comp = components(scratch, met.where("b is not null").select("a", "b"))
-    named = classes.select("id", "label", "key", "low", "copies").join(links, "id", "left").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named = scratch.write(named, "named")
+    named = classes.join(links, "id", "left").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = scratch.write(named, "named", narrow=True)
     low = named.groupBy("comp").agg(F.min("low").alias("low"))
-    named = named.drop("low").join(low, "comp").select("key", "label", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low")
-    out = rows.where("key is not null").drop("unit").join(named, ["key", "label"]).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("low")).alias("component_id"))
+    named = named.drop("low").join(low, "comp").select("key", "label", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low")
+    named = scratch.write(named, "results", narrow=True)
+    out = join_heavy(good.select("vec_id", "key", "label"), named, ["key", "label"], "copies", total).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("low")).alias("component_id"))
     out = out.unionAll(rows.where("key is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
