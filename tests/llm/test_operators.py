@@ -417,6 +417,28 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_scores_are_those_of_the_plain_network(spark):
+    """Tables of byte pairs against the convolutions as they are defined, over whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = byte_cnn.train(docs)
+    w, reach = byte_cnn.WINDOW, max(byte_cnn.WIDTHS)
+    for r in byte_cnn.identify(docs, net).join(docs.select("doc_id", "text"), "doc_id").collect()[:40]:
+        raw = (r["text"] or "").encode()
+        total, weight = np.zeros(len(net.langs)), 0
+        for a in range(0, len(raw), w):
+            part = np.frombuffer(raw[a : a + w], np.uint8)
+            x = np.concatenate([part, np.zeros(w + reach - 1 - len(part), np.uint8)])
+            top = [max(sum(net.p[f"f{n}"][k, x[i + k], f] for k in range(n)) for i in range(w)) for n in byte_cnn.WIDTHS for f in range(byte_cnn.FILTERS)]
+            z = np.maximum(np.array(top) + net.p["bias"], 0) @ net.p["out"] + net.p["out_bias"]
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(part)
+            weight += len(part)
+            if a > 600:
+                break
+        else:
+            if any(c.isalpha() for c in r["text"] or ""):
+                assert r["lang_pred"] == net.langs[int(total.argmax())] and abs(r["score"] - total.max() / weight) < 1e-4
+
+
 def test_language_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = byte_cnn.train(docs)
@@ -446,6 +468,23 @@ def test_quality(spark):
     assert np.mean((s > 0.5) == good) >= 0.95 and s[good].mean() > s[~good].mean() + 0.5
 
 
+def test_quality_of_documents_whose_labels_are_kept_away(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    away = F.expr("crc32(cast(doc_id as string)) % 4 = 1")
+    model = co_training.train(docs, labels.where(~away))
+    got = co_training.score(docs, model).join(labels.where(away), "doc_id").collect()
+    right = [(r["score"] > 0.5) == (r["quality"] == 1) for r in got]
+    assert len(got) > 50 and np.mean(right) >= 0.9
+
+
+def test_quality_with_repeated_ids(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = co_training.train(docs.unionByName(docs.where("doc_id % 2 = 0")), labels.unionByName(labels.withColumn("quality", F.lit(1))))
+    assert co_training.score(docs.unionByName(docs.limit(3)), model).count() == docs.count() + 3
+    assert co_training.score(docs.where("false"), model).count() == 0
+
+
 def test_quality_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = co_training.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
@@ -498,6 +537,16 @@ def test_quality_pool_is_every_other_document(spark, monkeypatch):
 def test_lookup_table():
     names = sharding.shard_names(7)
     table = sharding.lookup_table(names, 211)
+    taken, orders = {}, []  # brute force: turns in which each shard takes the first free place of its whole order
+    for n in names:
+        start, step = sharding._hash("start", n) % 211, sharding._hash("step", n) % 210 + 1
+        orders.append([(start + k * step) % 211 for k in range(211)])
+        assert sorted(orders[-1]) == list(range(211))
+    while len(taken) < 211:
+        for k in range(7):
+            if len(taken) < 211:
+                taken[next(x for x in orders[k] if x not in taken)] = k
+    assert table == [taken[x] for x in range(211)]
     sizes = collections.Counter(table)
     assert len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
     fewer = sharding.lookup_table(names[:-1], 211)
@@ -509,12 +558,12 @@ def test_lookup_table():
 
 
 def test_placement(spark, tmp_path):
-    docs = docs_of(spark, [(k, "t") for k in range(500)] + [(None, None), (7, "t")]).withColumn("slot", F.lit("clash"))
+    docs = docs_of(spark, [(k, "t") for k in range(500)] + [(None, None), (7, "t")]).withColumns({"Slot": F.lit("clash"), "__shard": F.lit("kept")})
     got = sharding.place(spark, docs).collect()
     table = sharding.lookup_table(sharding.shard_names())
     for r in got:
         slot = int(hashlib.md5(str("" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest()[:8], 16) % sharding.SLOTS
-        assert (r["slot"], r["shard"]) == (slot, table[slot])
+        assert (r["slot"], r["shard"], r["__shard"]) == (slot, table[slot], "kept")
     assert len(got) == 502
     sharding.write_shards(sharding.place(spark, docs), f"{tmp_path}/shards")
     assert spark.read.parquet(f"{tmp_path}/shards").count() == 502
@@ -534,10 +583,24 @@ def test_chat_collapse(spark):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, pos string")
     got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chat_format.render(spark, frame).collect()}
     assert set(got) == {2, 4, 5, 6, 7, None}
+    assert got[None] == (1, "<|im_start|>user\nz<|im_end|>\n")
     assert got[4] == (2, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n") and got[5] == (1, "<|im_start|>unknown\n<|im_end|>\n")
     assert chat_format.render(spark, frame.where("false")).count() == 0
 
 
+def test_rows_without_conversation_and_long_conversations(spark, monkeypatch):
+    rows = [(None, k % 3, "user", "abcd"[k % 4]) for k in range(24)] + [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "d")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((str(r["conv_id"]), r["n_turns"], r["part"], r["text"].count("im_start"), r["text"].split("\n")[1][0]) for r in chat_format.render(spark, frame).collect())
+    # a is a prefix of 1, d equals 2; each of b and c stays once, whatever its turn
+    assert got == [("1", 2, 0, 2, "a"), ("2", 1, 0, 1, "d"), ("None", 1, 0, 1, "b"), ("None", 1, 0, 1, "c")]
+    monkeypatch.setattr(chat_format, "PART", 100)
+    long = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(250)] + [(2, k, "user", f"t{k}") for k in range(180)], frame.schema)
+    got = sorted((r["conv_id"], r["n_turns"], r["part"], r["text"]) for r in chat_format.render(spark, long).collect())
+    assert [x[:3] for x in got] == [(1, 250, 0), (1, 250, 1), (1, 250, 2)]
+    assert "".join(x[3] for x in got) == "".join(f"<|im_start|>user\nt{k}<|im_end|>\n" for k in range(250))
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 def test_mixing_reaches_the_weights(spark):
     rows = [(k, "t", "en", "abc"[min(k % 10, 2)], 1) for k in range(20_000)]
@@ -550,9 +613,10 @@ def test_mixing_reaches_the_weights(spark):
 
 
 def test_mixing_odd_rows(spark):
-    docs = docs_of(spark, [(1, "a"), (1, "a"), (None, None)]).withColumn("source", F.lit(None).cast("string")).withColumn("rate", F.lit("x"))
+    docs = docs_of(spark, [(1, "a"), (1, "a"), (None, None)]).withColumn("source", F.lit(None).cast("string")).withColumns({"rate": F.lit("x"), "__n": F.lit("kept"), "__u": F.lit("kept"), "Copy": F.lit("gone")})
     got = mixing.mix(spark, docs)
-    assert got.columns == [*docs.columns, "copy", "shuffle_key"]
+    assert got.columns == [*[c for c in docs.columns if c != "Copy"], "copy", "shuffle_key"]
+    assert {(r["__n"], r["__u"]) for r in got.collect()} <= {("kept", "kept")}
     again = mixing.mix(spark, docs)
     assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
     counts = collections.Counter(r["doc_id"] for r in got.collect())

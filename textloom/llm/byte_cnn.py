@@ -13,7 +13,7 @@ looked up in tables that are made from the trained filters.
 
 Null texts, and texts without a letter, are `und` with score 0, and so is everything when there is nothing to learn from.
 Rows come back one for one, with repeated and null ids as they are (a null doc_id counts as held out); other columns are
-ignored.  At most MAX_LANGS languages are learnt, the most frequent ones.
+ignored.  All languages are learnt: the network has an output for each.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from textloom.llm import bytehash
 from textloom.llm.common import arrow_map, read
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
-PER_LANG, SPOTS, MAX_LANGS = 1500, 3, 256
+PER_LANG, SPOTS = 1500, 3
 EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 11
 #: A document whose best mean probability is below this is rejected by the pipeline.
 MIN_SCORE = 0.3
@@ -114,7 +114,7 @@ def _windows(texts: list[bytes]) -> np.ndarray:
 def train(docs: DataFrame) -> ByteCnn | None:
     """A network for the languages of docs (doc_id, text, lang), or None if no document has a language."""
     learn = docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # the classes of the network
     if not counts:
         return None
     langs = sorted(counts)

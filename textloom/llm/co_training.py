@@ -7,7 +7,7 @@ unlabelled pool of which it is most confident, in the shares of the labelled cla
 *other* one, which is trained again.  Both views are calibrated by a logistic curve on labelled documents kept out of the
 training, joined as the sum of their log-odds less the prior's, and score all documents.
 
-The labelled documents for training are at most SAMPLE, drawn by the hash of their doc_id.  The pool is every other
+The labelled documents for training are about SAMPLE, drawn by the hash of their doc_id, and never more than four times that.  The pool is every other
 document: its features are written once, each round's confident share is cut off at distributed quantiles of the scores
 (equal scores by the hash of the doc_id), and each Newton step adds sums over all documents handed over so far to those over the
 labelled ones.  The driver holds the labelled features and sums, whatever the pool.  Scoring reads every text, whole.
@@ -15,7 +15,7 @@ Features of a text are sums over fixed-size pieces of bytes, so a very long text
 
 Null and empty texts have a text view of zeros; null source, lang and n_chars are values of their own; a doc_id
 that labels hold several times has the rounded mean of its labels; null labels and ids are not learnt from.  Without
-labels of both classes every score is 0.5.  Rows come back one for one; other columns are ignored.
+labels of both classes every score is 0.5.  Rows come back one for one; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -296,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
         part = part.select("doc_id", "text", "source", "lang", "n_chars", "label", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id").cast("string")), F.lit(1 << 30)).cast("double").alias("tie"))
         return arrow_map(part.withColumn("tie", F.col("tie") / float(1 << 30)), _features, f"doc_id {kind}, label int, tie double, text binary, meta binary")
 
-    got = features(labelled).collect()
+    got = features(labelled.limit(4 * SAMPLE)).collect()  # more only where a doc_id has very many rows
     got.sort(key=lambda r: str(r["doc_id"]))
     if not got:
         return None

@@ -15,7 +15,8 @@ functions only:
 
 The windows are broadcast while there are at most BROADCAST_WINDOWS of them, else they are joined by a
 shuffle.  Null and empty texts have no words; an item without id hits words but is not counted as an item;
-repeated rows are returned as often as they come; a null doc_id is returned; other columns are ignored.
+repeated rows are returned as often as they come; a null doc_id is returned; other columns are ignored.  Empty
+tables give an empty result, or rows without hits.  The words of one text, however long, are one array of one row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BROADCAST_IDS, Scratch, ascii_lower, read
+from textloom.llm.common import BROADCAST_IDS, Scratch, ascii_lower, fresh, read
 
 #: Words of a window.
 WINDOW = 10
@@ -110,18 +111,19 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
     """docs without the documents that hold a window, or (remove="spans") without the words that are hit; columns as in docs."""
     scratch = Scratch(spark)
-    hit = contamination(spark, docs, benchmark, scratch).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("spans").alias("__spans")).distinct()
+    d, t, spans, th = (fresh(x) for x in ("id", "text", "spans", "th"))
+    hit = contamination(spark, docs, benchmark, scratch).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("spans").alias(spans)).distinct()
     hit = scratch.write(hit, "hit")
     side = F.broadcast(hit) if remove == "documents" and hit.count() <= BROADCAST_IDS // 2 else hit
     if remove == "documents":
-        same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-        return docs.join(side.drop("__spans"), same, "left_anti")
-    out = docs.withColumn("__th", F.xxhash64("text")).join(side, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
+        same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t))
+        return docs.join(side.drop(spans), same, "left_anti")
+    out = docs.withColumn(th, F.xxhash64("text")).join(side, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t)), "left")
     gaps = F.split("text", _WORD_ANY_CASE)
     words = F.regexp_extract_all("text", F.lit("(" + _WORD_ANY_CASE + ")"))
-    left = F.transform(words, lambda w, i: F.when(F.exists("__spans", lambda x: (i >= x["start"]) & (i < x["end"])), F.lit("")).otherwise(w))
+    left = F.transform(words, lambda w, i: F.when(F.exists(spans, lambda x: (i >= x["start"]) & (i < x["end"])), F.lit("")).otherwise(w))
     text = F.array_join(F.zip_with(gaps, left, lambda g, w: F.concat(F.coalesce(g, F.lit("")), F.coalesce(w, F.lit("")))), "")
-    return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    return out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ Without given weights a source's share is in proportion to its rows to the power
 number of input rows.  A null source is a source; sources without a given weight get none and vanish, as do
 rows that draw 0.  A null doc_id draws as the empty text; repeated rows draw alike.  The rates are broadcast
 while there are at most 100,000 sources, else joined; a source that holds a third of all rows is one row of
-that table.  An empty table gives an empty result.  Columns of the input that are named copy or shuffle_key are replaced.
+that table.  An empty table gives an empty result.  Columns of the input that are named copy
+or shuffle_key, in any case, are replaced; all others are carried along.  Texts, however long, are only carried.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, read
+from textloom.llm.common import Scratch, fresh, read
 
 ALPHA, PIECE, SEED = 0.5, 16.0, 17
 _BROADCAST_SOURCES = 100_000
@@ -43,8 +44,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None
     if weights is None:
         n = n.withColumn("w", F.pow("n", F.lit(ALPHA)))
     else:
-        w = weights.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
-        n = n.join(w, F.col("src").eqNullSafe(F.col("__s"))).drop("__s").where("w > 0")
+        w = weights.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
+        n = n.join(w, F.col("src").eqNullSafe(F.col("of"))).drop("of").where("w > 0")
     sums = n.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))  # one row
     n = n.crossJoin(F.broadcast(sums)).withColumn("rate", (F.lit(float(total)) if total else F.col("all_n")) * F.col("w") / F.col("all_w") / F.col("n"))
     n = n.withColumn("draws", F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int"))
@@ -55,16 +56,17 @@ def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None,
     """The columns of docs, with copy (from 1) and shuffle_key (the place in the global order)."""
     table = Scratch(spark).write(rates(docs, weights, total), "rates")
     n_sources = table.count()
-    table = table.toDF("__src", "__rate", "__draws", "__cdf")
+    src, rate, draws, cdf, u, copies = (fresh(x) for x in ("src", "rate", "draws", "cdf", "u", "copies"))
+    table = table.toDF(src, rate, draws, cdf)
     side = F.broadcast(table) if n_sources <= _BROADCAST_SOURCES else table
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
-    one = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    many = F.aggregate(F.sequence(F.lit(2), F.greatest(F.col("__draws"), F.lit(2))), F.lit(0), lambda s, j: s + draw(j))
-    out = docs.join(side, F.col("source").eqNullSafe(F.col("__src"))).withColumn("__u", uniform(F.lit(str(seed)), key, F.lit("1")))
-    out = out.withColumn("__n", one + F.when(F.col("__draws") > 1, many).otherwise(0)).where("__n > 0")
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "__n")))
+    draw = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
+    one = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    many = F.aggregate(F.sequence(F.lit(2), F.greatest(F.col(draws), F.lit(2))), F.lit(0), lambda s, j: s + draw(j))
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    out = docs.select(*names).join(side, F.col("source").eqNullSafe(F.col(src))).withColumn(u, uniform(F.lit(str(seed)), key, F.lit("1")))
+    out = out.withColumn(copies, one + F.when(F.col(draws) > 1, many).otherwise(0)).where(F.col(copies) > 0)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("copy").cast("string"))))
     return out.select(*names, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

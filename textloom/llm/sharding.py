@@ -7,17 +7,19 @@ shard that is added or taken away moves little else.  A document's place is its
 table - SLOTS rows, whatever the input - gives its shard.
 
 A null doc_id is placed as the empty text; repeated ids come to the same shard; an empty table gives an empty
-result.  Columns of the input that are named slot or shard are replaced.
+result.  Columns of the input that are named slot or shard, in any case, are replaced; all others, and texts
+of any length, are only carried.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import read
+from textloom.llm.common import fresh, read
 
 SLOTS, SHARDS = 65537, 64
 
@@ -50,12 +52,14 @@ def shard_names(n: int = SHARDS) -> list[str]:
 def place(spark: SparkSession, docs: DataFrame, names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """docs with slot and shard."""
     names = names or shard_names()
-    table = spark.createDataFrame(list(enumerate(lookup_table(names, slots))), "__slot int, __shard int")
-    docs = docs.drop("slot", "shard")
+    mine, shard = fresh("slot"), fresh("shard")
+    filled = lookup_table(names, slots)
+    table = spark.createDataFrame(pa.table({mine: pa.array(range(slots), pa.int32()), shard: pa.array(filled, pa.int64())}))
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     slot = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % slots).cast("int")
-    out = docs.withColumn("slot", slot).join(F.broadcast(table), F.col("slot") == F.col("__slot"))
-    return out.select(*docs.columns, F.col("slot").cast("long").alias("slot"), F.col("__shard").cast("long").alias("shard"))
+    out = docs.select(*kept, slot.alias("slot")).join(F.broadcast(table), F.col("slot") == F.col(mine))
+    return out.select(*kept, F.col("slot").cast("long").alias("slot"), F.col(shard).alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str) -> None:
