@@ -325,23 +325,34 @@ query("standard_scaler", sql.SCALER)(lambda s, d: (tables(s, d), features.standa
 query("mean_pool", sql.MEAN_POOL)(lambda s, d: (tables(s, d), features.mean_pool(s.table("embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x", "label").select("label", "position", F.round("mean", 6).alias("mean")))[1])
 
 
-#: Outer folds of the classifiers.
-FOLDS = 5
+#: Outer folds of the classifiers, and what their grid is made of.
+FOLDS = list(range(5))
+VECTORIZERS = {"word-1-2": lambda t: features.word_grams(t, 1, 2), "char_wb-3-5": lambda t: features.char_wb(t, 3, 5)}
+SCREENED = ["logistic", "svm", "nb_svm", "complement_nb"]
 
 
-def _classifier(name: str, **options):
-    def run(s, d):
-        rows = _grams(s, d).withColumns({"label": F.col("label").cast("double"), "fold": F.pmod("id", F.lit(FOLDS)).cast("int")})
-        return features.cross_validated(rows, name, list(range(FOLDS)), **options)
+def _folded(s, d):
+    return _grams(s, d).withColumn("fold", F.pmod("id", F.lit(len(FOLDS))).cast("int"))
 
-    return run
+
+def _classifier(name: str):
+    return lambda s, d: features.cross_validated(_folded(s, d), name, FOLDS)
+
+
+def _screening_results(s, d):
+    tables(s, d)
+    rows = s.sql(sql.LABELLED_BOTH).withColumn("fold", F.pmod("id", F.lit(len(FOLDS))).cast("int"))
+    return features.screening(rows, VECTORIZERS, SCREENED, ["quality", "toxic"], FOLDS)
 
 
 query("logistic_regression")(_classifier("logistic"))
 query("linear_svm")(_classifier("svm"))
-query("boosted_trees_on_components")(_classifier("gbt", dense=8, vocabulary=100, iterations=20))
+query("nb_svm")(_classifier("nb_svm"))
 query("naive_bayes")(_classifier("complement_nb"))
-query("tuned_threshold")(lambda s, d: features.tuned_threshold(_classifier("logistic")(s, d)))
+query("boosted_trees_on_components")(_classifier("gbt"))
+query("tuned_threshold")(lambda s, d: features.tuned_threshold(_folded(s, d), "logistic", FOLDS))
+query("screening_results")(_screening_results)
+query("screening_selection")(lambda s, d: evaluation.screening_summary(_screening_results(s, d)))
 
 # --- audits and synthetic corpora ---------------------------------------------------------------------------------
 

@@ -502,6 +502,7 @@ BEST_TRIAL = f"WITH {_SC}, t AS (SELECT family AS diagnosis, fold AS trial, max(
 
 # --- features -----------------------------------------------------------------------------------------------------
 LABELLED = "SELECT d.doc_id AS id, CAST(d.doc_id % 2 AS INT) AS fold, l.quality = 1 AS label, d.text AS text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL"
+LABELLED_BOTH = "SELECT d.doc_id AS id, array(l.quality = 1, l.toxic = 1) AS labels, d.text AS text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL"
 _LT = rf"lt AS (SELECT id, label, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'), lambda w: length(w) >= 2 AND regexp_full_match(w, '[a-z]+')) AS t FROM ({LABELLED}))"
 _TF = "tf AS (SELECT id, gram, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(t) AS gram FROM lt) GROUP BY ALL)"
 TFIDF = f"""WITH {_LT}, {_TF}, df AS (SELECT gram, count(*)::DOUBLE AS df FROM tf GROUP BY gram HAVING count(*) >= 2), raw AS (SELECT id, gram, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM lt)::DOUBLE) / (1 + df)) + 1) AS w FROM tf JOIN df USING (gram)),

@@ -213,8 +213,12 @@ class Parts:
     def write(self, unit: int, df: DataFrame) -> None:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/unit={unit}")
 
+    def read(self) -> DataFrame:
+        """All units that are done."""
+        return self.spark.read.parquet(*[f"{self.folder}/unit={u}" for u in self.done()])
+
     def finish(self, target: str) -> DataFrame:
-        self.spark.read.parquet(*[f"{self.folder}/unit={u}" for u in self.done()]).write.mode("overwrite").parquet(target)
+        self.read().write.mode("overwrite").parquet(target)
         fs, p = _fs(self.spark, self.folder)
         fs.delete(p, True)
         return self.spark.read.parquet(target)
