@@ -31,7 +31,7 @@ from textloom.llm.common import Scratch, arrow_map, components, join_heavy, keep
 
 THRESHOLD = 0.93
 #: Lattice tables, eight-dimensional blocks of each, probed neighbours, the size of a cell, and the seed.
-TABLES, BLOCKS, PROBES, CELL, SEED = 8, 2, 16, 2.0, 7
+TABLES, BLOCKS, PROBES, CELL, SEED = 10, 2, 16, 1.8, 7
 #: Vectors of a block of a large cell, vectors of cells that are verified all at once by their size, and pairs of one step.
 BLOCK, SMALL, STEP = 2000, 16, 1 << 14
 
@@ -126,6 +126,9 @@ def _by_kind(column: pa.Array):
     """Rows of stored vectors that are alike in type and length: where they are, and their bytes as a matrix."""
     at, data = _bytes(column)
     size, letter = np.diff(at), data[at[:-1]]
+    if len(size) and (size == size[0]).all() and (letter == letter[0]).all():
+        yield np.arange(len(size)), data[at[0] : at[-1]].reshape(len(size), -1)
+        return
     for n, c in sorted(set(zip(size.tolist(), letter.tolist()))):
         rows = np.flatnonzero((size == n) & (letter == c))
         yield rows, data[at[rows][:, None] + np.arange(n)]
@@ -262,9 +265,9 @@ def _cells(batches):
         if now is None or not now.num_rows:
             continue
         for rows, raw in _by_kind(now.column(7)):
-            at = pa.array(rows)
-            m = np.stack([now.column(k).take(at).to_numpy().astype(np.int64) for k in range(7)], 1)
-            where, data = _bytes(now.column(8).take(at))
+            part = now if len(rows) == now.num_rows else now.take(pa.array(rows))
+            m = np.stack([part.column(k).to_numpy().astype(np.int64) for k in range(7)], 1)
+            where, data = _bytes(part.column(8))
             codes = data[where[0] : where[-1]].view(np.int32).reshape(len(rows), TABLES, 1 + PROBES)
             for _ in tiles(m, raw, codes):
                 if links.size > 1_000_000:
