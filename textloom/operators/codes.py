@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.columns import ladder, ratio
-from textloom.functions.icd import POOL, Candidate, code_group, diagnosis_of, matches, normal_code, version_number
+from textloom.functions.icd import POOL, Candidate, charlson, code_group, diagnosis_of, matches, normal_code, version_number
 
 MIN_LABEL, TOP = 10, 20
 BAND, REDUNDANT, ERA_RATIO = (0.05, 0.60), 0.5, 1.5
@@ -35,13 +35,23 @@ def group_counts(codes: DataFrame, categories: dict[str, tuple[tuple[str, ...],
     return grid.join(F.broadcast(found), "category", "left").select("category", F.coalesce("notes", F.lit(0)).cast("long").alias("notes"))
 
 
-#: Comorbidity groups of the published Charlson coding (Quan 2005), the parts that the tables can show.
-COMORBIDITIES = {
-    "diabetes": (("250",), ("E10", "E11", "E12", "E13", "E14")),
-    "renal": (("582", "583", "585", "586"), ("N18", "N19")),
-    "pulmonary": (("490", "491", "492", "493", "494", "495", "496"), ("J40", "J41", "J42", "J43", "J44", "J45", "J46", "J47")),
-    "heart failure": (("428",), ("I50",)),
-}
+#: All groups of the index; they do not exclude each other.
+COMORBIDITIES = charlson()
+
+
+def uncovered_groups(counts: DataFrame, notes: DataFrame, pool: tuple[Candidate, ...] = POOL) -> DataFrame:
+    """Groups (category, notes, share) whose share of all notes lies in the band, and that no candidate of the pool stands for."""
+    total = notes.agg(F.count(F.lit(1)).alias("total"))  # one row
+    rows = counts.crossJoin(F.broadcast(total)).withColumn("share", ratio("notes", "total"))
+    return rows.where(F.col("share").between(*BAND) & ~F.col("category").isin([g for c in pool for g in c.groups])).select("category", "notes", F.round("share", 6).alias("share"))
+
+
+def era_gaps(prevalence: DataFrame) -> DataFrame:
+    """Candidates whose shares of the notes of the two versions differ by more than ERA_RATIO; a share of 0 against another counts."""
+    nine, ten = ratio("n9", "total9"), ratio("n10", "total10")
+    rows = prevalence.select("candidate", nine.alias("share9"), ten.alias("share10")).where("share9 is not null and share10 is not null")
+    rows = rows.where(F.greatest("share9", "share10") > ERA_RATIO * F.least("share9", "share10"))
+    return rows.select("candidate", F.round("share9", 6).alias("share9"), F.round("share10", 6).alias("share10"))
 
 
 def code_ranking(codes: DataFrame, titles: DataFrame, min_label: int = MIN_LABEL, top: int = TOP) -> DataFrame:

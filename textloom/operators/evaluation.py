@@ -157,16 +157,47 @@ def best_trial(trials: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class DecisionRule:
-    """Non-inferior above -margin, inferior below it, else inconclusive."""
+    """Non-inferior above -margin, inferior below it, else inconclusive; and what a cheaper model may claim."""
 
     margin: float = 0.02
     least_notes: int = 25_000
+    latency_ratio: float = 10.0
+    energy_ratio: float = 10.0
+    seed_multiple: float = 2.0
 
     def verdict(self, low: float, high: float, notes: int) -> str:
         if notes < self.least_notes or not -1 <= low <= high <= 1:
             raise Refused("too few notes, or bounds that are none")
         return "non-inferior" if low > -self.margin else "inferior" if high < -self.margin else "inconclusive"
 
+    def is_cheaper(self, latency: float, energy: float) -> bool:
+        """Whether the other model costs enough times as much, in either."""
+        _costs(latency, energy)
+        return latency >= self.latency_ratio or energy >= self.energy_ratio
+
+    def is_seed_sensitive(self, difference: float, deviation: float) -> bool:
+        """Whether the difference is nearer to -margin than seeds alone make it vary."""
+        _costs(deviation)
+        if not -1 <= difference <= 1:
+            raise Refused("a difference that is none")
+        return abs(difference + self.margin) < self.seed_multiple * deviation
+
+    @staticmethod
+    def is_credible(f1: float, baseline: float) -> bool:
+        if not (0 <= f1 <= 1 and 0 <= baseline <= 1):
+            raise Refused("an F1 that is none")
+        return f1 > baseline
+
+    def dominates(self, low: float, high: float, notes: int, latency: float, energy: float) -> bool:
+        """Non-inferior, dearer in nothing and cheaper in something: latency and energy of the other model over this one's."""
+        _costs(latency, energy)
+        return self.verdict(low, high, notes) == "non-inferior" and min(latency, energy) >= 1 < max(latency, energy)
+
+
+def _costs(*values: float) -> None:
+    if not all(0 <= x < float("inf") for x in values):
+        raise Refused("a cost that is none")
+
 
 def cluster_bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
     """One row: the difference of two models' accuracy, with the 2.5 and 97.5 percentile of resamples of patients.

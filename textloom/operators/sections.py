@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions.columns import ladder, quantile_disc, ratio
 from textloom.functions.sections import HEADER_JAVA, LEXICON, MIN_HEADER, OTHER, PREAMBLE, check_lexicon, lookup, normal_header_column, split_sections, strip_sections
 from textloom.session import ship
+from textloom.sources.tables import feature_table
 
 MIN_LABEL, SHARE, TOP, CANDIDATE = 10, 0.01, 40, 0.5
 SKELETON = 0.5
@@ -187,3 +190,22 @@ def headerless_notes(spans: DataFrame) -> DataFrame:
 def headerless_histogram(spans: DataFrame) -> DataFrame:
     per = spans.groupBy("note_id").agg(F.bool_or(F.col("section") != OTHER).alias("sectioned"), F.sum("span_chars").alias("chars")).where("chars > 0")
     return per.groupBy("sectioned", (F.floor(F.log10(F.col("chars").cast("double")) * 10) / F.lit(10.0)).cast("double").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def literal_sections(notes: DataFrame, headers: dict[str, str]) -> DataFrame:
+    """note_id, position, section, body: the text cut at exact headers with a colon at the start of a line, each time one occurs.
+
+    Position 0 is what comes before the first header (section null); bodies and headers, put together, are the text.
+    """
+    names = sorted(headers, key=lambda h: (-len(h), h))
+    pattern = "(?md)^(" + "|".join(re.escape(h) for h in names) + "):"
+    text = F.coalesce("text", F.lit(""))
+    keys = F.create_map(*[F.lit(x) for kv in headers.items() for x in kv])
+    rows = notes.select("note_id", F.split(text, pattern).alias("bodies"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("found"))
+    rows = rows.select("note_id", "found", F.posexplode("bodies").alias("position", "body"))
+    return rows.select("note_id", F.col("position").cast("long").alias("position"), F.try_element_at(keys, F.get("found", F.col("position") - 1)).alias("section"), "body")
+
+
+def segment_corpus(spans: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The spans of the corpus; refused if a position is given twice or a note of the corpus has none."""
+    return feature_table(spans, corpus, ["note_id", "position"], complete=True)

@@ -72,8 +72,26 @@ def age_masks(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("notes"), F.count_if(a == 0).alias("none"), F.count_if(a == 1).alias("one"), F.count_if(a > 1).alias("many"), F.count_if("age_anchor").alias("anchored"), F.count_if(F.col("numeric_ages") > 0).alias("numeric"))
 
 
-def marker_verdict(markers: int, notes: int) -> str:
-    return "undecidable" if not notes else "yes" if abs(markers / notes - REFERENCE_MARKERS) <= TOLERANCE * REFERENCE_MARKERS else "no"
+def marker_means(metrics: DataFrame) -> DataFrame:
+    """One row: marks, longer runs and residual masks a note; null without notes."""
+    residual = sum((F.col(k) for k in RESIDUAL), F.lit(0))
+    return metrics.agg(F.round(F.avg("markers"), 9).alias("exact"), F.round(F.avg("longer_runs"), 9).alias("longer"), F.round(F.avg(residual), 9).alias("residual"))
+
+
+def marker_verdict(exact: float | None, residual: float | None) -> str:
+    """Whether the mean number of marks is that of the reference, alone or with residual masks."""
+    if exact is None or residual is None:
+        return "undecidable"
+    near = [abs(x - REFERENCE_MARKERS) <= TOLERANCE * REFERENCE_MARKERS for x in (exact, exact + residual)]
+    return "exact" if near[0] else "with residual" if near[1] else "different"
+
+
+def age_verdict(numeric: int) -> str:
+    return "numeric" if numeric else "masked"
+
+
+def residual_verdict(occurrences: int) -> str:
+    return "some" if occurrences else "none"
 
 
 def exact_duplicates(notes: DataFrame) -> DataFrame:

@@ -141,3 +141,18 @@ def parallel_ratio(pairs: DataFrame) -> DataFrame:
 
 def encoder_verdict(fit: int, notes: int, least: float = 0.95) -> str:
     return "undecidable" if not notes else "whole" if fit / notes >= least else "windows"
+
+
+def translation_verdict(divided: int, notes: int) -> str:
+    """Whether notes must be cut for translation."""
+    return "undecidable" if not notes else "cut" if divided else "whole"
+
+
+def other_language_verdict(share: float | None, other: float | None, tolerance: float = 0.05) -> str:
+    """Whether a smaller share of the other language's notes fits the window, beyond a tolerance."""
+    return "undecidable" if share is None or other is None else "less" if share - other > tolerance else "alike"
+
+
+def corpus_verdict(first: float | None, second: float | None) -> str:
+    """Which of two corpora has the shorter notes."""
+    return "undecidable" if first is None or second is None else "equal" if first == second else "first" if first < second else "second"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import notetext
+from textloom.functions import notetext, numbers
 from textloom.functions.icd import POOL
 from textloom.operators import agreement, audit, codes, cohort, corpus, demographics, evaluation, features, mentions, preprocessing, sections, synthetic, textmetrics, tokens
 from textloom.plans import oracles as sql
@@ -96,6 +96,8 @@ query("marker_summary", sql.MARKER_SUMMARY)(lambda s, d: textmetrics.marker_summ
 query("residual_masks", sql.RESIDUAL_MASKS)(lambda s, d: textmetrics.residual_masks(_metrics(s, d)))
 query("note_quality", sql.NOTE_QUALITY)(lambda s, d: textmetrics.note_quality(_metrics(s, d)))
 query("age_masks", sql.AGE_MASKS)(lambda s, d: textmetrics.age_masks(_metrics(s, d)))
+query("marker_means", sql.MARKER_MEANS)(lambda s, d: textmetrics.marker_means(_metrics(s, d)))
+query("share_table", sql.SHARE_TABLE)(lambda s, d: numbers.share_table(textmetrics.length_histogram(_metrics(s, d))))
 query("exact_duplicates", sql.EXACT_DUPLICATES)(lambda s, d: textmetrics.exact_duplicates(lens(s, d, "discharge")))
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -125,6 +127,8 @@ query("candidate_notes", sql.CANDIDATE_NOTES)(lambda s, d: codes.candidate_notes
 query("candidate_prevalence", sql.PREVALENCE)(lambda s, d: codes.candidate_prevalence(_corpus(s, d), _codes(s, d)))
 query("cooccurrence", sql.COOCCURRENCE)(lambda s, d: codes.cooccurrence(_codes(s, d)))
 query("preselection", sql.PRESELECTION)(lambda s, d: codes.preselection(codes.candidate_prevalence(_corpus(s, d), _codes(s, d))))
+query("uncovered_groups", sql.uncovered_groups(codes.COMORBIDITIES))(lambda s, d: codes.uncovered_groups(codes.group_counts(_codes(s, d), codes.COMORBIDITIES), _corpus(s, d)))
+query("era_gaps", sql.ERA_GAPS)(lambda s, d: codes.era_gaps(codes.candidate_prevalence(_corpus(s, d), _codes(s, d))))
 query("redundant_pairs", sql.REDUNDANT_PAIRS)(lambda s, d: codes.redundant_pairs(codes.cooccurrence(_codes(s, d))))
 query("label_codes", sql.LABEL_CODES)(lambda s, d: codes.label_codes(lens(s, d, "diagnoses_icd")))
 
@@ -184,6 +188,7 @@ query("strip_share", sql.STRIP_SHARE)(lambda s, d: sections.strip_share(_spans(s
 query("strip_residue", sql.STRIP_RESIDUE)(lambda s, d: sections.strip_residue(_sectioned(s, d), _spans(s, d)))
 query("headerless_notes", sql.HEADERLESS)(lambda s, d: sections.headerless_notes(_spans(s, d)))
 query("headerless_histogram", sql.HEADERLESS_HISTOGRAM)(lambda s, d: sections.headerless_histogram(_spans(s, d)))
+query("literal_sections", sql.LITERAL)(lambda s, d: sections.literal_sections(_sectioned(s, d), sql.LITERAL_HEADERS).withColumn("body", F.sha2("body", 256)))
 query("strip_diagnostic_sections", sql.STRIPPED)(lambda s, d: sections.strip_diagnostic_sections(_sectioned(s, d)))
 
 # --- agreement with a reference extract ---------------------------------------------------------------------------
@@ -226,6 +231,8 @@ query("acronym_occurrences", sql.acronym_occurrences())(lambda s, d: preprocessi
 query("variant_occurrences", sql.variant_occurrences())(lambda s, d: preprocessing.occurrences(_acronym_notes(s, d), "variant"))
 query("term_cells", sql.term_cells())(lambda s, d: preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d)), _codes(s, d)))
 query("acronym_summary", sql.term_summary())(lambda s, d: preprocessing.term_summary(preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d)), _codes(s, d))))
+query("variant_cells", sql.variant_cells())(lambda s, d: preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d), "variant"), _codes(s, d)))
+query("variant_summary", sql.variant_summary())(lambda s, d: preprocessing.term_summary(preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d), "variant"), _codes(s, d))))
 query("ngram_counts", sql.ngrams(False))(lambda s, d: preprocessing.ngram_counts(_parts(s, d)))
 query("ngram_counts_by_section", sql.ngrams(True))(lambda s, d: preprocessing.ngram_counts(_parts(s, d), by_section=True))
 query("ngram_ranking", sql.ngram_ranking())(lambda s, d: preprocessing.ngram_ranking(preprocessing.ngram_counts(_parts(s, d))))

@@ -114,6 +114,9 @@ HISTOGRAM_SHARES = _met("SELECT bin, n, round(n::DOUBLE / (sum(n) OVER ())::DOUB
 MARKER_SUMMARY = _met("SELECT count(*) AS notes, CAST(sum(markers) AS BIGINT) AS markers, count(*) FILTER (WHERE markers > 0) AS with_marker, CAST(sum(longer_runs) AS BIGINT) AS longer_runs FROM met")
 RESIDUAL_MASKS = _met(" UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) FILTER (WHERE {k} > 0) AS notes, CAST(sum({k}) AS BIGINT) AS occurrences FROM met" for k in ("bracketed", "tag", "crossed")))
 NOTE_QUALITY = _met("SELECT count(*) FILTER (WHERE chars = 0) AS empty, count(*) FILTER (WHERE chars > 0 AND chars < 100) AS short, count(*) FILTER (WHERE chars >= 100 AND chars < 500) AS medium, count(*) FILTER (WHERE chars > 50000) AS long, count(fingerprint) - count(DISTINCT fingerprint) AS duplicates FROM met")
+MARKER_MEANS = _met("SELECT round(avg(markers), 9) AS exact, round(avg(longer_runs), 9) AS longer, round(avg(bracketed + tag + crossed), 9) AS residual FROM met")
+SHARE_TABLE = _met("""SELECT bin, replace(format('{:,}', n), ',', chr(160)) AS n, CASE WHEN round_even(100.0::DOUBLE * n / t, 1) = 0 THEN '<' || chr(160) || '0,1' ELSE replace(format('{:.1f}', round_even(100.0::DOUBLE * n / t, 1)), '.', ',') END AS share
+FROM (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS t FROM h)""", _HIST)
 AGE_MASKS = _met("SELECT count(*) AS notes, count(*) FILTER (WHERE age_masks = 0) AS none, count(*) FILTER (WHERE age_masks = 1) AS one, count(*) FILTER (WHERE age_masks > 1) AS many, count(*) FILTER (WHERE age_anchor) AS anchored, count(*) FILTER (WHERE numeric_ages > 0) AS numeric FROM met")
 EXACT_DUPLICATES = _w("discharge", select="SELECT min(note_id) AS note_id, count(*) AS copies FROM discharge WHERE length(text) > 0 GROUP BY text HAVING count(*) > 1")
 
@@ -165,6 +168,16 @@ PREVALENCE = _w(_D, *_BASE, _CAND, _POOL, _PREV, select="SELECT * FROM prev")
 COOCCURRENCE = _w(_D, *_BASE, _CAND, _POOL, _CELLS, select="SELECT a, b, n_both, n_a, n_b, round(n_both::DOUBLE / nullif(n_a, 0), 6) AS share FROM cells")
 PRESELECTION = _w(_D, *_BASE, _CAND, _POOL, _PREV, "r AS (SELECT *, n::DOUBLE / nullif(total, 0) AS s, n9::DOUBLE / nullif(total9, 0) AS r9, n10::DOUBLE / nullif(total10, 0) AS r10 FROM prev)",
     select="SELECT candidate, round(s, 6) AS share, CASE WHEN s IS NULL THEN 'undecidable' WHEN s BETWEEN 0.05 AND 0.60 THEN 'yes' ELSE 'no' END AS in_band, greatest(r9, r10) / nullif(least(r9, r10), 0) >= 1.5 AS era_gap FROM r")
+
+
+def uncovered_groups(categories) -> str:
+    known = [g for c in POOL for g in c.groups]
+    parts = " UNION ALL ".join(f"SELECT '{k}' AS category, count(DISTINCT note_id) AS notes FROM codes WHERE {_match(*p)}" for k, p in categories.items())
+    return _w(_D, *_BASE, f"g AS ({parts})", select=f"SELECT category, notes, round(notes::DOUBLE / (SELECT count(*) FROM corpus), 6) AS share FROM g WHERE notes::DOUBLE / (SELECT count(*) FROM corpus) BETWEEN 0.05 AND 0.60 AND category NOT IN ({_list(known)})")
+
+
+ERA_GAPS = _w(_D, *_BASE, _CAND, _POOL, _PREV, "r AS (SELECT candidate, n9::DOUBLE / nullif(total9, 0) AS r9, n10::DOUBLE / nullif(total10, 0) AS r10 FROM prev)",
+    select="SELECT candidate, round(r9, 6) AS share9, round(r10, 6) AS share10 FROM r WHERE greatest(r9, r10) > 1.5 * least(r9, r10) AND r9 IS NOT NULL AND r10 IS NOT NULL")
 REDUNDANT_PAIRS = _w(_D, *_BASE, _CAND, _POOL, _CELLS, select="SELECT a, b, n_both FROM cells WHERE a < b AND n_both >= 0.5 * least(n_a, n_b) AND least(n_a, n_b) > 0")
 LABEL_CODES = _w("diagnoses_icd", "r AS (SELECT DISTINCT icd_code, icd_version FROM diagnoses_icd)", "n AS (SELECT *, CASE WHEN regexp_full_match(upper(trim(icd_code)), '[0-9A-Z]+') THEN upper(trim(icd_code)) END AS code, CASE trim(icd_version) WHEN '9' THEN 9 WHEN '10' THEN 10 END AS version FROM r)",
     select=f"SELECT icd_code, icd_version, {_DIAG} AS diagnosis, code IS NULL OR version IS NULL AS invalid FROM n")
@@ -301,6 +314,10 @@ STRIP_RESIDUE = _w("sectioned", *_S, f"r AS (SELECT note_id, list_filter(regexp_
 _HL = "p AS (SELECT note_id, bool_or(section <> 'OTHER') AS sectioned, CAST(sum(span_chars) AS BIGINT) AS chars FROM spans GROUP BY note_id)"
 HEADERLESS = _w("sectioned", *_S, _HL, select="SELECT sectioned, count(*) AS notes, CAST(quantile_disc(chars, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(chars, 0.95) AS BIGINT) AS p95 FROM p GROUP BY sectioned")
 HEADERLESS_HISTOGRAM = _w("sectioned", *_S, _HL, select="SELECT sectioned, floor(log10(chars::DOUBLE) * 10) / 10.0::DOUBLE AS bin, count(*) AS n FROM p WHERE chars > 0 GROUP BY ALL")
+LITERAL_HEADERS = {"Allergies": "allergies", "Chief Complaint": "chief_complaint", "CHIEF COMPLAINT": "chief_complaint", "Discharge Diagnosis": "discharge_diagnosis"}
+_LITERAL = "(?m)^(" + "|".join(sorted(LITERAL_HEADERS, key=lambda h: (-len(h), h))) + "):"
+LITERAL = _w("sectioned", f"""c AS (SELECT note_id, regexp_split_to_array(text, '{_LITERAL}') AS b, regexp_extract_all(text, '{_LITERAL}', 1) AS h FROM sectioned), p AS (SELECT note_id, b, h, unnest(range(0, len(b))) AS position FROM c)""",
+    select="SELECT note_id, position::BIGINT AS position, CASE h[position] " + " ".join(f"WHEN '{h}' THEN '{k}'" for h, k in LITERAL_HEADERS.items()) + " END AS section, sha256(b[position + 1]) AS body FROM p")
 STRIPPED = _w("sectioned", *_S, select="SELECT note_id, coalesce(string_agg(text[a + 1 : z], '' ORDER BY a) FILTER (WHERE section <> 'discharge_diagnosis'), '') AS text FROM spans GROUP BY note_id")
 
 # --- agreement ----------------------------------------------------------------------------------------------------
@@ -383,6 +400,14 @@ def _classifier_text(text: str) -> str:
 
 NORMALIZED = f"WITH {_AN} SELECT note_id, {_normal_text('text')} AS text FROM an"
 CLASSIFIER_TEXT = f"WITH {_AN} SELECT note_id, {_classifier_text('text')} AS text FROM an"
+def variant_cells() -> str:
+    return _w(_D, *_BASE, _CAND, _AN, _terms(_VA), _VOCC, _TC, select="SELECT * FROM tc")
+
+
+def variant_summary() -> str:
+    return _w(_D, *_BASE, _CAND, _AN, _terms(_VA), _VOCC, _TC, select="SELECT term, occurrences, \"both\" + term_only AS notes, round(term_only::DOUBLE / nullif(\"both\" + term_only, 0), 6) AS without_code FROM tc")
+
+
 _VOC = r"voc AS (SELECT note_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda w: length(w) >= 2) AS t FROM an)"
 NOTE_PREPROCESSING = f"WITH {_AN}, {_VOC} SELECT note_id, CAST(len(t) AS BIGINT) AS tokens_raw, CAST(len(list_distinct(t)) AS BIGINT) AS vocabulary, sha256(array_to_string(list_sort(list_distinct(t)), ' ')) AS digest FROM voc"
 _PRE = r"pre AS (SELECT note_id, list_filter(regexp_extract_all(" + _classifier_text("text") + r", '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda w: length(w) >= 2) AS t FROM an)"

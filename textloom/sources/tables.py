@@ -146,7 +146,7 @@ def check_contract(df: DataFrame, columns: dict[str, str]) -> None:
     wrong = [c for c in columns if c in have and have[c] != columns[c]]
     if missing or wrong:
         raise Refused(f"missing {missing}, of another type {wrong}")
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
+    nulls = columns and df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
     if any(nulls.values()):
         raise Refused(f"nulls in {[c for c, n in nulls.items() if n]}")
 
@@ -320,3 +320,58 @@ def corpus_folder(spark: SparkSession, root: str, languages: tuple[str, ...]) ->
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A declared schema; a line that does not fit it fails the query."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A line for each row; null fields are written, so that each line has all keys."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_table(df: DataFrame, path: str, schema: T.StructType) -> None:
+    """A typed table: columns in the order and of the types of the schema, or a refusal; an empty one keeps its types."""
+    have = {f.name: f.dataType for f in df.schema}
+    if have != {f.name: f.dataType for f in schema}:
+        raise Refused("the schema differs")
+    df.select(*schema.names).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def batches(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None, size: int = 10_000):
+    """Lists of up to size rows, a partition at a time, of a table whose schema is checked first."""
+    rows: list = []
+    for r in read_exact(spark, path, schema, columns).toLocalIterator():
+        rows.append(r)
+        if len(rows) == size:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in (c.split() for c in columns.split(", "))])
+
+
+#: The tables that runs exchange.
+NOTES = _schema("note_id string, subject_id string, hadm_id string, text string")
+PREDICTIONS = _schema("row_id string, fold bigint, note_id bigint, subject_id bigint, diagnosis string, label boolean, score double, predicted boolean")
+METRICS = _schema("row_id string, diagnosis string, n bigint, positives bigint, precision double, recall double, f1 double, accuracy double, roc_auc double, pr_auc double")
+SCREENING = _schema("fold int, vectorizer string, family string, diagnosis string, threshold double, n bigint, positives bigint, precision double, recall double, f1 double, accuracy double")
+TRIALS = _schema("diagnosis string, trial int, value double, params string")
+
+
+def notes_of(spark: SparkSession, path: str, patients: DataFrame | None = None) -> DataFrame:
+    """The typed note table, of some patients if they are given."""
+    notes = read_exact(spark, path, NOTES)
+    return notes if patients is None else notes.join(patients.select(F.col("subject_id").alias("__s")).distinct(), F.col("subject_id") == F.col("__s"), "left_semi")
+
+
+def write_parts(tables: dict[str, tuple[DataFrame, T.StructType]], folder: str) -> None:
+    """Several typed tables of one measurement, all checked before the first is written."""
+    for df, schema in tables.values():
+        if {f.name: f.dataType for f in df.schema} != {f.name: f.dataType for f in schema}:
+            raise Refused("the schema differs")
+    for name, (df, schema) in tables.items():
+        write_table(df, f"{folder}/{name}", schema)
