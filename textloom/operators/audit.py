@@ -44,10 +44,10 @@ def grams(rows: DataFrame, key: str, n: int = GRAM) -> DataFrame:
     return rows.select(key, audit_tokens(F.col("text")).alias("w")).select(key, F.posexplode(made).alias("position", "gram"))
 
 
-def gram_digests(rows: DataFrame, key: str, n: int = GRAM) -> DataFrame:
-    """key and a 64-bit digest for every run of n words."""
+def gram_digests(rows: DataFrame, key: str, n: int = GRAM, step: int = 1) -> DataFrame:
+    """key and a 64-bit digest for the run of n words at every step-th word."""
     w = F.col("w")
-    at = F.sequence(F.lit(1), F.size(w) - (n - 1))
+    at = F.sequence(F.lit(1), F.size(w) - (n - 1), F.lit(step))
     made = F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, n))))
     return rows.select(key, audit_tokens(F.col("text")).alias("w")).select(key, F.explode(made).alias("digest"))
 
@@ -56,11 +56,13 @@ def overlap_audit(corpus: DataFrame, reference: DataFrame, excluded: DataFrame |
     """note_id, shared grams and first position for corpus notes that share an n-gram with the reference.
 
     Only positions and counts come out.  excluded holds grams (of structural labels) that do not count on the corpus's side.
-    The reference's distinct grams are one side of a join on digests; the engine broadcasts them if they are small.
+    The reference's distinct runs are one side of a join on digests; the engine broadcasts them if they are small.
     """
-    # digests of all windows pick the notes that may share one; only these are compared by text
-    ref_digests = gram_digests(reference, "ref_id", n).select("digest").distinct()
-    some = gram_digests(corpus, "note_id", n).join(ref_digests, "digest", "left_semi").select(F.col("note_id").alias("sn")).distinct()
+    # wherever n words lie, a run of about half of them starts at a multiple of `step`: such runs pick the notes that may share
+    # a gram, and only these are compared by text
+    run = (n + 1) // 2
+    ref_digests = gram_digests(reference, "ref_id", run).select("digest").distinct()
+    some = gram_digests(corpus, "note_id", run, step=n - run + 1).join(ref_digests, "digest", "left_semi").select(F.col("note_id").alias("sn")).distinct()
     own = grams(corpus.join(some, F.col("note_id") == F.col("sn"), "left_semi"), "note_id", n)
     if excluded is not None:
         own = own.join(excluded.select(F.col("gram").alias("xg")).distinct(), F.col("gram") == F.col("xg"), "left_anti")

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.columns import ladder, quantile_disc, ratio
+from textloom.functions.columns import ladder, nearest_rank, ratio
 from textloom.operators.cohort import MIN_CELL, Refused
 
 KEYS = ("row_id", "diagnosis")
 TOLERANCE = 1e-9
 BAND_PHI = 0.5
+#: Pieces of a model's scores.
+PIECES = 256
 
 
 def _zero(c: Column) -> Column:
@@ -28,11 +30,22 @@ def binary_metrics(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 
 def score_groups(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row for each distinct score: positives and negatives there, above and in all.  Pre-aggregated before any window."""
+    """One row for each distinct score: positives and negatives there, above and in all.
+
+    Scores are counted first.  Running sums go over pieces between approximate quantiles of a model's scores, then within each piece, so
+    that no task sorts all scores of a model.
+    """
     g = rows.groupBy(*keys, "score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    return g.select(*keys, "score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("P"), F.sum("neg").over(every).alias("N"))
+    cuts = g.groupBy(*keys).agg(F.percentile_approx("score", [k / PIECES for k in range(1, PIECES)], 10 * PIECES).alias("cuts"))  # a row for each model
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    g = g.join(F.broadcast(cuts.toDF(*[f"__{k}" for k in keys], "__cuts")), same)
+    g = g.withColumn("__piece", F.when(F.col("score").isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda c: c <= F.col("score"))))).drop("__cuts", *[f"__{k}" for k in keys])
+    every, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("__piece")).rowsBetween(Window.unboundedPreceding, -1)
+    per = g.groupBy(*keys, "__piece").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # PIECES rows for each model
+    per = per.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__piece").alias("__at"), *[F.coalesce(F.sum(x).over(w), F.lit(0)).alias(name) for name, x, w in (("__tp", "p", above), ("__fp", "n", above), ("P", "p", every), ("N", "n", every))])
+    g = g.join(F.broadcast(per), [*same, F.col("__piece") == F.col("__at")])
+    down = Window.partitionBy(*keys, "__piece").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return g.select(*keys, "score", "pos", "neg", (F.col("__tp") + F.sum("pos").over(down)).alias("tp"), (F.col("__fp") + F.sum("neg").over(down)).alias("fp"), "P", "N")
 
 
 def roc_auc(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -91,7 +104,9 @@ def publishable_metrics(metrics: DataFrame, least: int = MIN_CELL) -> DataFrame:
 
 
 def latency_summary(values: DataFrame, column: str) -> DataFrame:
-    return values.agg(F.count(column).alias("n"), *[F.expr(f"percentile_disc({p}) within group (order by {column})").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))])
+    """One row: values, and the ranks of a half and of 95 % of them."""
+    n, (p50, p95) = nearest_rank(values, column, (0.5, 0.95))
+    return values.sparkSession.createDataFrame([(n, p50, p95)], "n long, p50 double, p95 double")
 
 
 def same_predictions(a: DataFrame, b: DataFrame) -> DataFrame:

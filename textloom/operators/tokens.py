@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.columns import quantile_disc
+from textloom.functions.columns import nearest_rank, quantile_disc
 from textloom.operators.textmetrics import PERCENTS
 from textloom.session import ship
 
@@ -136,7 +136,8 @@ def token_windows(tokens: Column, prefix: list[str], suffix: list[str], window:
 def parallel_ratio(pairs: DataFrame) -> DataFrame:
     """Median and 95th percentile (nearest rank) of the lengths' ratio, for pairs (a, b) of token counts."""
     rows = pairs.where("a > 0").select((F.col("b").cast("double") / F.col("a")).alias("r"))
-    return rows.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.expr("percentile_disc(0.5) within group (order by r)"), 9).alias("median"), F.round(F.expr("percentile_disc(0.95) within group (order by r)"), 9).alias("p95"))
+    n, (median, p95) = nearest_rank(rows, "r", (0.5, 0.95))
+    return pairs.sparkSession.createDataFrame([(n, median, p95)], "pairs long, m double, p double").select("pairs", F.round("m", 9).alias("median"), F.round("p", 9).alias("p95"))
 
 
 def encoder_verdict(fit: int, notes: int, least: float = 0.95) -> str:
