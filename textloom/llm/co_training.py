@@ -31,6 +31,8 @@ from textloom.llm.common import Scratch, arrow_map, read
 SAMPLE, ROUNDS, SHARE, SEED = 6000, 5, 0.05, 23
 #: Relative error in rank of the quantiles of scores is one in ACCURACY; a Newton step's sums come from PARTS tasks at most.
 ACCURACY, PARTS = 100_000, 64
+#: How far weights may still move when a round ends, and the last one.
+COARSE, FINE = 1e-3, 1e-6
 #: Which view labels for which.
 OTHER = {"text": "meta", "meta": "text"}
 _CLASS = np.full(256, 7, np.uint8)
@@ -130,8 +132,11 @@ def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
     return x.T @ (p - y), (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
 
 
-def fit(models: dict[str, Logistic], own: dict, more=None) -> None:
-    """Fits models by name on rows own (x, y) and on those that more(weights) has sums of: name to gradient and Hessian."""
+def fit(models: dict[str, Logistic], own: dict, more=None, tolerance: float = 1e-6) -> None:
+    """Fits models by name on rows own (x, y) and on those that more(weights) has sums of: name to gradient and Hessian.
+
+    A model is done when no weight moved by the tolerance.
+    """
     at = {k: np.zeros(own[k][0].shape[1] + 1) if m.w is None or more is None else m.w for k, m in models.items()}
     todo = set(at)
     for _ in range(25):
@@ -144,7 +149,7 @@ def fit(models: dict[str, Logistic], own: dict, more=None) -> None:
                 g, h = g + far[k][0], h + far[k][1]
             step = np.linalg.solve(h + np.diag(ridge), g + ridge * at[k])
             at[k] = at[k] - step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < tolerance:
                 todo.discard(k)
         if not todo:
             break
@@ -253,7 +258,7 @@ def co_train(xt, xm, y, pool: DataFrame, scratch: Scratch) -> CoTrained | None:
             out[r["view"]] = (a + g, b + h)
         return out
 
-    for _ in range(ROUNDS if size else 0):
+    for r in range(ROUNDS if size else 0):
         weights, ask = {k: m.w for k, m in models.items()}, {}
         for k, other in OTHER.items():
             n_good = min(max(1, round(take * good)), free[other] // 2)
@@ -262,10 +267,10 @@ def co_train(xt, xm, y, pool: DataFrame, scratch: Scratch) -> CoTrained | None:
         at = [F.percentile_approx(k, [max(n_bad - 0.5, 0.0) / n, min(n - n_good + 0.5, n) / n], ACCURACY).alias(k) for k, (n_bad, n_good, n) in ask.items()]
         cut = arrow_map(pool, _free_keys(rounds, weights), "text double, meta double").agg(*at).first()
         rounds.append({k: (weights[k], cut[k][0] if cut[k] and ask[k][0] else -np.inf, cut[k][1] if cut[k] and ask[k][1] else np.inf) for k in OTHER})
-        tables.append(scratch.write(arrow_map(pool, _newly_handed(list(rounds)), "view string, label double, x binary"), "handed"))
-        for r in tables[-1].groupBy("view").count().collect():
-            free[r["view"]] -= r["count"]
-        fit(models, own, more)
+        tables.append(scratch.write(arrow_map(pool, _newly_handed(list(rounds)), "view string, label double, x binary"), "handed", narrow=True))
+        for row in tables[-1].groupBy("view").count().collect():
+            free[row["view"]] -= row["count"]
+        fit(models, own, more, COARSE if r < ROUNDS - 1 else FINE)
     scratch.drop(*tables)
     models["text"].calibrate(xt[kept_out], y[kept_out])
     models["meta"].calibrate(xm[kept_out], y[kept_out])

@@ -19,7 +19,7 @@ BROADCAST_IDS = 200_000
 #: Bytes of an Arrow batch, for sessions that leave Spark's default: tasks then hold a few megabytes of texts at a time.
 BATCH_BYTES, _DEFAULT_BATCH = 4 << 20, 64 << 20
 #: Tasks a core that write a narrow table.
-WAVES = 4
+WAVES = 2
 #: A key that holds one row in HEAVY or more is heavy: there are at most HEAVY such keys.
 HEAVY = 1000
 
