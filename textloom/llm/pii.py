@@ -173,7 +173,7 @@ def slots(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     return out
 
 
-SCHEMA = "rid long, doc_id long, base array<struct<kind:int,start:int,end:int>>, slots array<struct<kind:int,start:int,end:int,value:long,patterns:array<long>>>"
+SCHEMA = "rid long, doc_id long, th long, base array<struct<kind:int,start:int,end:int>>, slots array<struct<kind:int,start:int,end:int,value:long,patterns:array<long>>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 _SLOTS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
 
@@ -196,7 +196,7 @@ def _scan(batches):
                 more[k] = s
         rid = np.arange(next_id, next_id + n)
         next_id += n
-        yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(0), pa.array(base, _SPAN), pa.array(more, _SLOTS)], ["rid", "doc_id", "base", "slots"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(0), batch.column(2), pa.array(base, _SPAN), pa.array(more, _SLOTS)], ["rid", "doc_id", "th", "base", "slots"])
 
 
 def confidences(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -230,20 +230,20 @@ def discovered(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, base and added (arrays of kind, start, end; kind is a position in KINDS)."""
+    """For each row of docs (doc_id, text): doc_id, th (the text's hash), base and added (arrays of kind, start, end; kind is a position in KINDS)."""
     scratch = Scratch(spark)
-    rows = scratch.write(arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), _scan, SCHEMA), "slots")
+    rows = scratch.write(arrow_map(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")), _scan, SCHEMA), "slots")
     added = discovered(scratch, rows).groupBy("rid").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.join(added, "rid", "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    return rows.join(added, "rid", "left").select("doc_id", "th", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "[{}]") -> DataFrame:
-    """docs with every span replaced by a mark that names its kind."""
+    """docs with every span replaced by a mark that names its kind; equal texts have equal spans, whatever their ids."""
     raise_kind = F.array(*[F.lit(mark.format(k.upper())) for k in KINDS])
-    mine, at = fresh("id"), fresh("spans")
-    spans = personal_data(spark, docs).select(F.col("doc_id").alias(mine), F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias(at)).where(F.size(at) > 0).distinct()
-    out = docs.join(spans, F.col("doc_id") == F.col(mine), "left")
+    mine, at = fresh("text"), fresh("spans")
+    spans = personal_data(spark, docs).select(F.col("th").alias(mine), F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias(at)).where(F.size(at) > 0).dropDuplicates([mine])
+    out = docs.join(spans, F.xxhash64("text") == F.col(mine), "left")
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
     merged = F.aggregate(at, start, lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(F.concat(s["t"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.get(raise_kind, x["kind"])).alias("t"), x["end"].alias("at"))))
     text = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.concat(merged["t"], F.substring(F.col("text"), merged["at"] + 1, F.length("text"))))
