@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,16 +139,20 @@ def _prepare(batches):
     """rid, vec_id, label, the vector as bytes and its key; the last two are null for what links with nothing."""
     next_id = TaskContext.get().partitionId() << 40
     for batch in batches:
-        n = batch.num_rows
+        n, column = batch.num_rows, batch.column(1)
         units, keys = [None] * n, [None] * n
-        kind, mark = (np.float64, b"d       ") if pa.types.is_float64(batch.column(1).type.value_type) else (np.float32, b"f       ")
-        for k, (v, label) in enumerate(zip(batch.column(1), batch.column(2))):
-            if v.is_valid and label.is_valid and len(v) and not v.values.null_count:
-                x = v.values.to_numpy().astype(kind)
-                if np.isfinite(x).all() and x.any():
-                    units[k] = mark + x.tobytes()
-                    unit = _units(np.frombuffer(units[k], np.uint8)[None])
-                    keys[k] = hashlib.blake2b((np.round(unit, 12) + 0.0).tobytes(), digest_size=16).digest()
+        kind, mark = (np.float64, b"d       ") if pa.types.is_float64(column.type.value_type) else (np.float32, b"f       ")
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        x = pc.fill_null(column.flatten().cast(pa.float64()), np.nan).to_numpy().astype(kind)
+        first, row = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(n), size)
+        good = (np.bincount(row, ~np.isfinite(x), n) == 0) & (np.bincount(row, x != 0, n) > 0) & batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        for d in np.unique(size[good]).tolist():
+            rows = np.flatnonzero(good & (size == d))
+            raw = np.ascontiguousarray(x[first[rows][:, None] + np.arange(d)]).view(np.uint8)
+            raw = np.concatenate([np.broadcast_to(np.frombuffer(mark, np.uint8), (len(rows), 8)), raw], 1)
+            near = np.round(_units(raw), 12) + 0.0
+            for k, u, v in zip(rows.tolist(), raw, near):
+                units[k], keys[k] = u.tobytes(), hashlib.blake2b(v.tobytes(), digest_size=16).digest()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), batch.column(0), batch.column(2).cast(pa.string()), pa.array(units, pa.binary()), pa.array(keys, pa.binary())], ["rid", "vec_id", "label", "unit", "key"])
         next_id += n
 
@@ -173,16 +178,24 @@ def _post(batches):
             )
 
 
-def _first_meeting(cx: np.ndarray, cy: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether pairs, x with the smaller id, meet first in the cell of this key, for their codes (m x TABLES x (1 + PROBES)).
+def _first_meeting(codes: np.ndarray, x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows, x with the smaller id, meet first in the cell of this key; codes are rows x TABLES x (1 + PROBES).
 
-    The first meeting is in the first table where they meet: in x's own cell if y is stored or looked up there, else in y's.
+    The first meeting is in the first table where they meet: in x's own cell if y is stored or looked up there, else in y's.  Tables are
+    read one by one, and only for pairs that have not met before.
     """
-    in_x = (cy == cx[:, :, :1]).any(2)
-    either = in_x | (cx == cy[:, :, :1]).any(2)
-    table, row = (key >> 32) & 0xFF, np.arange(len(key))
-    here = np.where(in_x[row, table], cx[row, table, 0], cy[row, table, 0])
-    return (either.argmax(1) == table) & either[row, table] & (here.astype(np.int64) & 0xFFFFFFFF == key & 0xFFFFFFFF)
+    table, cell, ours, left = (key >> 32) & 0xFF, (key & 0xFFFFFFFF).astype(np.uint32).view(np.int32), np.zeros(len(x), bool), np.arange(len(x))
+    for s in range(TABLES):
+        left = left[table[left] >= s]
+        if not len(left):
+            break
+        cx, cy = codes[x[left], s], codes[y[left], s]
+        in_x = (cy == cx[:, :1]).any(1)
+        met = in_x | (cx == cy[:, :1]).any(1)
+        last = table[left] == s
+        ours[left[last]] = (met & (np.where(in_x, cx[:, 0], cy[:, 0]) == cell[left]))[last]
+        left = left[~last & ~met]
+    return ours
 
 
 class _Links:
@@ -227,10 +240,10 @@ def _cells(batches):
         cell, i, j, block, ids, copies, label = m.T
         ok = (label[x] == label[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
         x, y = x[ok], y[ok]
-        ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= THRESHOLD
-        x, y = x[ok], y[ok]
         x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
-        ok = _first_meeting(codes[x], codes[y], cell[x])
+        ok = _first_meeting(codes, x, y, cell[x])
+        x, y = x[ok], y[ok]
+        ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= THRESHOLD
         x, y = x[ok], y[ok]
         links.add(ids[x], ids[y], copies[x], copies[y])
 
