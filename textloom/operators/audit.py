@@ -26,7 +26,7 @@ def nfkc(texts: DataFrame, column: str = "text") -> DataFrame:
         for x in batches:
             yield x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    form = F.pandas_udf(run, "string", functionType=F.PandasUDFType.SCALAR_ITER)
+    form = F.pandas_udf(run, "string")
     plain = texts.where(F.coalesce(~F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(True)))
     other = texts.where(F.col(column).rlike(r"[^\x00-\x7F]"))
     return plain.unionByName(other.withColumn(column, form(column)))

@@ -31,7 +31,7 @@ def tokenizer_lengths(notes: DataFrame, lengths: Callable[[list[str]], list[int]
         for texts in batches:
             yield pd.Series(lengths(texts.fillna("").tolist()), dtype="int64")
 
-    measured = F.pandas_udf(run, "long", functionType=F.PandasUDFType.SCALAR_ITER)
+    measured = F.pandas_udf(run, "long")
     return notes.select("note_id", measured("text").alias("tokens"))
 
 
@@ -113,7 +113,7 @@ def note_parts(notes: DataFrame, pattern: str = r"\S+", capacity: int = 64) -> D
                     rows.append((False, 0, True))
             yield pd.DataFrame(rows, columns=["fits", "parts", "unsplittable"])
 
-    cut = F.pandas_udf(run, "fits boolean, parts long, unsplittable boolean", functionType=F.PandasUDFType.SCALAR_ITER)
+    cut = F.pandas_udf(run, "fits boolean, parts long, unsplittable boolean")
     return notes.select("note_id", cut("text").alias("x")).select("note_id", "x.*")
 
 
