@@ -19,7 +19,8 @@ WORDS = [f"w{k}" for k in range(400)]
 
 def docs_of(spark, rows):
     """rows of (doc_id, text) with other columns, one of which clashes with names used inside."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, token string, n int")
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, token string, n int")
 
 
 def lower(t):
@@ -70,7 +71,8 @@ def near_copies(seed, groups=12, size=9):
 @pytest.mark.parametrize("few", [64, 0.01])  # with and without rounds of hubs
 def test_jaccard_equals_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(ngram_jaccard, "FEW", few)
-    rows = near_copies(1) + [(1000, None), (1001, ""), (1002, " \t"), (1003, "one two"), (1004, "One TWO"), (1005, "é É"), (1006, "é é"), (1007, "w1 " * 5000), (1008, "w1 " * 6000)]
+    rows = near_copies(1) + [(1000, None), (1001, ""), (1002, " \t"), (1003, "one two"), (1004, "One TWO"), (1005, "é É"), (1006, "é é"), (1007, "w1 " * 5000),
+        (1008, "w1 " * 6000)]
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)  # tiles of several blocks
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(spark, docs_of(spark, rows)).collect()}
     assert got == brute_components(rows)
@@ -187,14 +189,16 @@ def brute_spans(text):
         for m in re.finditer(p, text):
             digits = re.sub("[^0-9]", "", m[0])
             total = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits)))
-            if k == 0 or k == 1 and all(int(x) <= 255 for x in m[0].split(".")) or k == 2 and 13 <= len(digits) <= 19 and total % 10 == 0 or k == 3 and 9 <= len(digits) <= 15:
+            if k == 0 or k == 1 and all(int(x) <= 255
+                for x in m[0].split(".")) or k == 2 and 13 <= len(digits) <= 19 and total % 10 == 0 or k == 3 and 9 <= len(digits) <= 15:
                 out.append((k, *m.span()))
     return out
 
 
 def test_base_spans_equal_plain_patterns():
     rng = random.Random(5)
-    pieces = ["a@b.c", "x", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (202) 555-0143", "+", "1", " ", "-", "é", "..", "d.e", "\n", "٣"]
+    pieces = ["a@b.c", "x", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (202) 555-0143", "+", "1", " ", "-", "é", "..", "d.e",
+        "\n", "٣"]
     for _ in range(3000):
         t = "".join(rng.choices(pieces, k=rng.randint(0, 12)))
         assert pii.base_spans(t) == brute_spans(t), t
@@ -258,8 +262,10 @@ def brute_discovered(texts):
 def test_rounds_equal_brute_force(spark, tmp_path):
     rng = random.Random(9)
     token = lambda n=40: "".join(rng.choices("0123456789abcdef", k=n))
-    frames = [lambda: f'the token = "{token()}" of', lambda: f"ring me on +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} today", lambda: f"write to u{rng.randint(0, 10**6)}@mail.org now", lambda: f"host {rng.randint(0, 255)}.1.2.{rng.randint(0, 255)} up"]
-    odd = ['the token = "hunter-two" of', 'the token = "swordfish" of', "ring me on 5550123456 today", "ring me on 555-01-99999 please", "call him on 555-01-99999 soon", "write to nobody now", "paid 1234567 in", 'TOKEN: "other" x', "the year 2020-03-11/news_story_of_the_day"]
+    frames = [lambda: f'the token = "{token()}" of', lambda: f"ring me on +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} today",
+        lambda: f"write to u{rng.randint(0, 10**6)}@mail.org now", lambda: f"host {rng.randint(0, 255)}.1.2.{rng.randint(0, 255)} up"]
+    odd = ['the token = "hunter-two" of', 'the token = "swordfish" of', "ring me on 5550123456 today", "ring me on 555-01-99999 please", "call him on 555-01-99999 soon",
+        "write to nobody now", "paid 1234567 in", 'TOKEN: "other" x', "the year 2020-03-11/news_story_of_the_day"]
     odd += [f"call him on +1 ({k}11) 555-0000 soon" for k in range(1, 6)] + ["call him on 777777777 soon"]
     texts = {k: " ".join(rng.choices(WORDS, k=5)) + " " + rng.choice(frames)() + " " + " ".join(rng.choices(WORDS, k=3)) for k in range(200)}
     texts |= {1000 + k: t for k, t in enumerate(odd * 2)}
@@ -306,8 +312,10 @@ def paragraph(k, tag="p"):
 
 @pytest.mark.parametrize("body,want", [
     ("<div>" + "".join(paragraph(k) for k in range(12)) + "</div>" + paragraph("X", "div") + paragraph("Y", "div"), [*range(12), "X", "Y"]),
-    ("".join(paragraph(k, "div") for k in "abc") + "<div>" + "".join(paragraph(k) for k in range(8)) + "</div>" + "".join(paragraph(k, "div") for k in "def"), [*"abc", *range(8), *"def"]),
-    ("<article>" + paragraph(1) + "<section id='discussion'>" + paragraph(2) + "</section><section class='related work'>" + paragraph(3) + "</section></article>", [1, 2, 3]),
+    ("".join(paragraph(k, "div") for k in "abc") + "<div>" + "".join(paragraph(k) for k in range(8)) + "</div>" + "".join(paragraph(k, "div") for k in "def"),
+        [*"abc", *range(8), *"def"]),
+    ("<article>" + paragraph(1) + "<section id='discussion'>" + paragraph(2) + "</section><section class='related work'>" + paragraph(3) + "</section></article>",
+        [1, 2, 3]),
     ("<main><article>" + paragraph(1) + paragraph(2) + "</article><section id='discussion'>" + paragraph(3) + "</section></main>", [1, 2]),
     ("<div id='wrap'><div>" + paragraph(1) + paragraph(2) + "</div><div><ul>" + "<li><a href='x'>Go to that page</a></li>" * 9 + "</ul></div></div>", [1, 2]),
 ])
@@ -342,7 +350,8 @@ def test_attributes_are_whole_names(inside, text):
 def test_pages_of_the_tables(spark):
     for r in html_extract.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         x = r["html"]
-        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?p>|</?h1>", x[x.index("<article>") + 9 : x.index("</article>")])]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split())
+            for b in re.split("</?p>|</?h1>", x[x.index("<article>") + 9 : x.index("</article>")])]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
@@ -403,10 +412,12 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
 
 
 def test_odd_vectors(spark):
-    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [1.0, None], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], 2), (9, [1.0, 0.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (None, [0.0, 1.0], 1), (11, [], 1), (12, [float("inf"), 1.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [1.0, None], 1), (7, [1.0, 0.0], None),
+        (8, [1.0, 0.0], 2), (9, [1.0, 0.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (None, [0.0, 1.0], 1), (11, [], 1), (12, [float("inf"), 1.0], 1)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, cell string")
     got = collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in lattice_dedup.near_duplicates(spark, frame).collect())
-    want = collections.Counter([(1, 1, 1, True), (2, 1, 1, False), (9, 1, 9, True), (9, 1, 9, True), (None, 0, None, False)] + [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 11, 12)])
+    want = collections.Counter([(1, 1, 1, True), (2, 1, 1, False), (9, 1, 9, True), (9, 1, 9, True),
+        (None, 0, None, False)] + [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 11, 12)])
     assert got == want
     assert lattice_dedup.near_duplicates(spark, frame.where("false")).count() == 0
 
@@ -490,7 +501,8 @@ def test_quality_with_repeated_ids(spark):
 def test_quality_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = co_training.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    rows = spark.createDataFrame([(1, None, None, None, None), (None, "", "x", "y", -5), (2, "a " * 100_000, "s", "en", 10**15), (2, "a", "s", "en", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = spark.createDataFrame([(1, None, None, None, None), (None, "", "x", "y", -5), (2, "a " * 100_000, "s", "en", 10**15), (2, "a", "s", "en", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long")
     assert all(0 <= r["score"] <= 1 for r in co_training.score(rows, model).collect())
     none = spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int")
     assert co_training.train(docs, none) is None
@@ -580,7 +592,8 @@ def test_sharding_query_returns_whole_documents(spark):
 
 # --- chats --------------------------------------------------------------------------------------------------------
 def test_chat_collapse(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"),
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"),
+        (3, 1, "assistant", "b"), (3, 2, "user", "c"),
             (4, 0, "user", "a"), (4, 0, "user", "a"), (4, 1, "assistant", "x"), (5, None, None, None), (6, 0, "user", None), (7, 0, "user", ""), (None, 0, "user", "z")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, pos string")
     got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chat_format.render(spark, frame).collect()}
@@ -593,7 +606,8 @@ def test_chat_collapse(spark):
 def test_rows_without_conversation_and_long_conversations(spark, monkeypatch):
     rows = [(None, k % 3, "user", "abcd"[k % 4]) for k in range(24)] + [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "d")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = sorted((str(r["conv_id"]), r["n_turns"], r["part"], r["text"].count("im_start"), r["text"].split("\n")[1][0]) for r in chat_format.render(spark, frame).collect())
+    got = sorted((str(r["conv_id"]), r["n_turns"], r["part"], r["text"].count("im_start"), r["text"].split("\n")[1][0])
+        for r in chat_format.render(spark, frame).collect())
     # a is a prefix of 1, d equals 2; each of b and c stays once, whatever its turn
     assert got == [("1", 2, 0, 2, "a"), ("2", 1, 0, 1, "d"), ("None", 1, 0, 1, "b"), ("None", 1, 0, 1, "c")]
     monkeypatch.setattr(chat_format, "PART", 100)
@@ -615,7 +629,8 @@ def test_mixing_reaches_the_weights(spark):
 
 
 def test_mixing_odd_rows(spark):
-    docs = docs_of(spark, [(1, "a"), (1, "a"), (None, None)]).withColumn("source", F.lit(None).cast("string")).withColumns({"rate": F.lit("x"), "__n": F.lit("kept"), "__u": F.lit("kept"), "Copy": F.lit("gone")})
+    docs = docs_of(spark, [(1, "a"), (1, "a"), (None, None)]).withColumn("source",
+        F.lit(None).cast("string")).withColumns({"rate": F.lit("x"), "__n": F.lit("kept"), "__u": F.lit("kept"), "Copy": F.lit("gone")})
     got = mixing.mix(spark, docs)
     assert got.columns == [*[c for c in docs.columns if c != "Copy"], "copy", "shuffle_key"]
     assert {(r["__n"], r["__u"]) for r in got.collect()} <= {("kept", "kept")}

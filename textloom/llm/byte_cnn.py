@@ -120,8 +120,10 @@ def train(docs: DataFrame) -> ByteCnn | None:
     langs = sorted(counts)
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     chance = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, PER_LANG / n))])
-    spot = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64({k}, cast(doc_id as string)), greatest(length(text) - {WINDOW - 1}, 1)) as int), {WINDOW})") for k in range(SPOTS)]
-    sample = learn.where(F.col("lang").isin(langs) & (draw < F.try_element_at(chance, "lang"))).select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", F.array_distinct(F.array(*spot)).alias("spots"))
+    spot = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64({k}, cast(doc_id as string)), greatest(length(text) - {WINDOW - 1}, 1)) as int), {WINDOW})")
+        for k in range(SPOTS)]
+    sample = learn.where(F.col("lang").isin(langs) & (draw < F.try_element_at(chance, "lang"))).select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang",
+        F.array_distinct(F.array(*spot)).alias("spots"))
     rows = sample.limit(2 * PER_LANG * len(langs)).collect()
     rows.sort(key=lambda r: (r["h"], r["doc_id"]))
     text, lang = [], []
@@ -148,7 +150,8 @@ def _predict(net: ByteCnn | None):
             lettered = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             names = [net.langs[x] if ok and x >= 0 else "und" for x, ok in zip(lang.tolist(), lettered)]
             score = np.where(lettered & (lang >= 0), np.clip(score, 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score)],
+                ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 

@@ -207,7 +207,8 @@ def _newly_handed(rounds: list):
             before, now = handed(rounds[:-1], views, tie), handed(rounds, views, tie)
             for k in OTHER:
                 at = np.flatnonzero(np.isnan(before[k]) & ~np.isnan(now[k]))
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(now[k][at], pa.float64()), pa.array([views[k][i].tobytes() for i in at], pa.binary())], ["view", "label", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(now[k][at], pa.float64()),
+                    pa.array([views[k][i].tobytes() for i in at], pa.binary())], ["view", "label", "x"])
 
     return run
 
@@ -228,7 +229,8 @@ def _partial_sums(weights: dict):
                         total[i] += part
         for k, (n, g, h) in sums.items():
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n], pa.int64()), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], ["view", "n", "g", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n], pa.int64()), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())],
+                    ["view", "n", "g", "h"])
 
     return run
 
@@ -281,7 +283,8 @@ def _features(batches):
     for batch in batches:
         xt = text_view(batch.column(1))
         xm = meta_view(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array([r.tobytes() for r in xt], pa.binary()), pa.array([r.tobytes() for r in xm], pa.binary())], ["doc_id", "label", "tie", "text", "meta"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array([r.tobytes() for r in xt], pa.binary()),
+            pa.array([r.tobytes() for r in xm], pa.binary())], ["doc_id", "label", "tie", "text", "meta"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
@@ -298,7 +301,8 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     kind = dict(rows.dtypes)["doc_id"]
 
     def features(part: DataFrame) -> DataFrame:
-        part = part.select("doc_id", "text", "source", "lang", "n_chars", "label", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id").cast("string")), F.lit(1 << 30)).cast("double").alias("tie"))
+        part = part.select("doc_id", "text", "source", "lang", "n_chars", "label",
+            F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id").cast("string")), F.lit(1 << 30)).cast("double").alias("tie"))
         return arrow_map(part.withColumn("tie", F.col("tie") / float(1 << 30)), _features, f"doc_id {kind}, label int, tie double, text binary, meta binary")
 
     got = features(labelled.limit(4 * SAMPLE)).collect()  # more only where a doc_id has very many rows
@@ -322,7 +326,8 @@ def _score(model: CoTrained | None):
             a = b = c = np.full(n, 0.5)
             if model:
                 a, b, c = model.scores(text_view(batch.column(1)), meta_view(*(batch.column(k).to_pylist() for k in (2, 3, 4))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.asarray(x, np.float64)) for x in (a, b, c))], ["doc_id", "text_score", "meta_score", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.asarray(x, np.float64)) for x in (a, b, c))],
+                ["doc_id", "text_score", "meta_score", "score"])
 
     return run
 

@@ -47,7 +47,8 @@ def _grams(words: Column, m: int, step: int = 1) -> Column:
 
 def _hashes(words: Column, m: int, step: int) -> Column:
     at = F.sequence(F.lit(0), F.size(words) - m, F.lit(step))
-    return F.when(F.size(words) >= m, F.transform(at, lambda i: F.xxhash64(F.lit(m), *[F.get(words, i + k) for k in range(m)]))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= m, F.transform(at, lambda i: F.xxhash64(F.lit(m), *[F.get(words, i + k)
+        for k in range(m)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _run(m: int) -> tuple[int, int]:
@@ -76,20 +77,24 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
     sizes = sorted(r["m"] for r in wins.select("m").distinct().collect())  # WINDOW values at most
 
     loose = wins.select("m", F.transform(F.split("gram", " "), F.lower).alias("w"))
-    loose = loose.select(F.explode(F.concat(F.array().cast("array<bigint>"), *[F.when(F.col("m") == m, _hashes(F.col("w"), _run(m)[0], 1)).otherwise(F.array().cast("array<bigint>")) for m in sizes])).alias("h")).distinct()
+    loose = loose.select(F.explode(F.concat(F.array().cast("array<bigint>"), *[F.when(F.col("m") == m, _hashes(F.col("w"), _run(m)[0],
+        1)).otherwise(F.array().cast("array<bigint>")) for m in sizes])).alias("h")).distinct()
     loose = loose.withColumn("hit", F.lit(True))
     scan = docs.select("doc_id", "th", F.transform(F.split(F.coalesce("text", F.lit("")), _SEP_ANY_CASE), F.lower).alias("w"))
     n_words = F.size("w") - (F.get("w", F.lit(0)) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
-    scan = scan.select("doc_id", "th", n_words.cast("long").alias("n_words"), F.concat(F.array().cast("array<bigint>"), *[_hashes(F.col("w"), *_run(m)) for m in sizes]).alias("h"))
+    scan = scan.select("doc_id", "th", n_words.cast("long").alias("n_words"),
+        F.concat(F.array().cast("array<bigint>"), *[_hashes(F.col("w"), *_run(m)) for m in sizes]).alias("h"))
     scan = scan.select("doc_id", "th", "n_words", F.posexplode_outer("h").alias("p", "h"))
     scan = scan.join(_small(loose, WINDOW * n_wins // 2), "h", "left").where("hit or p is null or p = 0")
-    scan = scan.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.count_if(F.expr("p is null or p = 0")).alias("copies"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
+    scan = scan.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.count_if(F.expr("p is null or p = 0")).alias("copies"),
+        F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
     scan = scratch.write(scan, "scan")
 
     hit = scan.where("hit").select(F.col("doc_id").alias("d"), F.col("th").alias("t"))
     if hit.count() <= BROADCAST_IDS // 2:
         hit = F.broadcast(hit)
-    found = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("doc_id", "th", _words(ascii_lower(F.col("text"))).alias("w"))
+    found = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("doc_id", "th",
+        _words(ascii_lower(F.col("text"))).alias("w"))
     def placed(m: int) -> Column:
         return F.transform(_grams(F.col("w"), m), lambda g, i: F.struct(F.lit(m).alias("m"), i.alias("start"), g.alias("gram")))
 
@@ -97,22 +102,28 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
     if all_grams:
         found = found.select("doc_id", "th", F.inline(F.concat(*all_grams)))
         found = found.join(_small(wins, n_wins), ["m", "gram"])
-        found = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("m")).alias("end")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        merged = F.aggregate("s", F.array().cast("array<struct<start:int,end:int>>"), lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))))
+        found = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("m")).alias("end")))).alias("s"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        merged = F.aggregate("s", F.array().cast("array<struct<start:int,end:int>>"), lambda out,
+            x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]),
+            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"),
+            F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))))
         found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), merged.alias("spans"), "items")
         scan = scan.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")), "left")
     else:
         scan = scan.withColumn("spans", F.lit(None)).withColumn("items", F.lit(None))
     spans = F.coalesce(F.col("spans").cast("array<struct<start:int,end:int>>"), F.array().cast("array<struct<start:int,end:int>>"))
     items = F.coalesce(F.col("items").cast("array<string>"), F.array().cast("array<string>"))
-    return scan.select("doc_id", "th", "n_words", spans.alias("spans"), items.alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return scan.select("doc_id", "th", "n_words", spans.alias("spans"), items.alias("items"),
+        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
     """docs without the documents that hold a window, or (remove="spans") without the words that are hit; columns as in docs."""
     scratch = Scratch(spark)
     d, t, spans, th = (fresh(x) for x in ("id", "text", "spans", "th"))
-    hit = contamination(spark, docs, benchmark, scratch).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("spans").alias(spans)).distinct()
+    hit = contamination(spark, docs, benchmark, scratch).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("th").alias(t),
+        F.col("spans").alias(spans)).distinct()
     hit = scratch.write(hit, "hit")
     side = F.broadcast(hit) if remove == "documents" and hit.count() <= BROADCAST_IDS // 2 else hit
     if remove == "documents":
@@ -129,7 +140,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, re
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 ORACLE = r"""

@@ -59,7 +59,9 @@ _FLOW = _HEADS | frozenset("p pre blockquote ul ol dl table figure hr br b i em
 CORE_SHARE, SMALL_SHARE, LARGE, LINKED = 0.5, 0.8, 0.25, 0.3
 #: Start tags that end an open element of the second set, up to a border.
 _P_ENDS = _BLOCK - {"body", "html", "caption", "legend", "option", "summary", "tbody", "thead", "tfoot", "tr", "dd", "dt", "li"}
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tr", "td", "th", "tbody"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
+_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tr", "td", "th", "tbody"}, {"table"}),
+    "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
 
 
 class Node:
@@ -77,7 +79,8 @@ def _attributes(tag: str, text: str, in_marked: bool, in_article: bool = False,
         for name, value in _ATTR.findall(text):
             name, value = name.lower(), value.strip("\"' ").lower()
             if name in ("class", "id"):
-                if names and tag not in ("body", "html") and (_DROP_NAME.search(value) or not in_article and _MAYBE_NAME.search(value) or not in_marked and _DROP_HEAD.search(value)):
+                if names and tag not in ("body", "html") and (_DROP_NAME.search(value) or not in_article and _MAYBE_NAME.search(value) or not in_marked
+                    and _DROP_HEAD.search(value)):
                     drop = True
             elif name == "role":
                 drop = drop or value in _DROP_ROLE
@@ -285,7 +288,8 @@ def _main_text(html: str, names: bool) -> str:
 def _extract(batches):
     for batch in batches:
         text = [main_text(x.as_py()) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
+            ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:

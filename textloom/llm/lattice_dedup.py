@@ -153,7 +153,8 @@ def _prepare(batches):
             near = np.round(_units(raw), 12) + 0.0
             for k, u, v in zip(rows.tolist(), raw, near):
                 units[k], keys[k] = u.tobytes(), hashlib.blake2b(v.tobytes(), digest_size=16).digest()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), batch.column(0), batch.column(2).cast(pa.string()), pa.array(units, pa.binary()), pa.array(keys, pa.binary())], ["rid", "vec_id", "label", "unit", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(next_id, next_id + n)), batch.column(0), batch.column(2).cast(pa.string()), pa.array(units, pa.binary()),
+            pa.array(keys, pa.binary())], ["rid", "vec_id", "label", "unit", "key"])
         next_id += n
 
 
@@ -173,7 +174,8 @@ def _post(batches):
             label = batch.column(1).take(at)
             keys = _key(label.to_numpy(), every).reshape(len(rows), -1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), label, batch.column(2).take(at), batch.column(3).take(at), pa.array([x.tobytes() for x in every], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                [batch.column(0).take(at), label, batch.column(2).take(at), batch.column(3).take(at), pa.array([x.tobytes() for x in every], pa.binary()),
+                    pa.array(list(keys), pa.list_(pa.int64()))],
                 ["id", "label", "copies", "unit", "codes", "cells"],
             )
 
@@ -229,7 +231,8 @@ class _Links:
         star = np.flatnonzero(low != np.arange(len(ids)))
         none = pa.nulls(len(star), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(ids), pa.array(ids[low[star]])]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids[star])]), pa.concat_arrays([pa.array(links), none])], ["a", "b", "links"])
+            [pa.concat_arrays([pa.array(ids), pa.array(ids[low[star]])]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids[star])]),
+                pa.concat_arrays([pa.array(links), none])], ["a", "b", "links"])
 
 
 def _cells(batches):
@@ -321,7 +324,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     low = named.groupBy("comp").agg(F.min("low").alias("low"))
     named = named.drop("low").join(low, "comp").select("key", "label", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low")
     named = scratch.write(named, "results", narrow=True)
-    out = join_heavy(good.select("vec_id", "key", "label"), named, ["key", "label"], "copies", total).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("low")).alias("component_id"))
+    out = join_heavy(good.select("vec_id", "key", "label"), named, ["key", "label"], "copies", total).select("vec_id", "n_links",
+        F.when(F.col("vec_id").isNotNull(), F.col("low")).alias("component_id"))
     out = out.unionAll(rows.where("key is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -76,7 +76,8 @@ def _count(batches):
 def _packed(parts: dict):
     if parts:
         keys = list(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([zlib.compress(parts[k].astype(np.uint64).tobytes(), 1) for k in keys], pa.binary())], ["chunk", "salt", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+            pa.array([zlib.compress(parts[k].astype(np.uint64).tobytes(), 1) for k in keys], pa.binary())], ["chunk", "salt", "counts"])
 
 
 def _summed(batches):
@@ -129,7 +130,8 @@ def _features(levels: np.ndarray):
                 bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
                 rows[4].append(np.packbits(bits, bitorder="little").tobytes())
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(0), batch.column(2), *map(pa.array, rows, kinds)], ["rid", "doc_id", "th", "n", "k1", "k2", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(0), batch.column(2), *map(pa.array, rows, kinds)],
+                ["rid", "doc_id", "th", "n", "k1", "k2", "prefix", "bits"])
 
     return run
 
@@ -313,8 +315,10 @@ def _second_pairs(scratch: Scratch, tiles: DataFrame) -> DataFrame:
     large = rows.where(F.col("size") > BLOCK).withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1))))
     large = large.withColumn("band", F.floor(F.log("n") / F.log(F.lit(_BAND))).cast("int") + F.col("guest"))
     counts = large.groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.groupBy("token", "band").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all")).where("most < all")
-    counts = counts.select("token", "band", "major", F.ceil(F.col("most") / BLOCK).cast("int").alias("b1"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("b2"))
+    counts = counts.groupBy("token", "band").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("most"),
+        F.sum("c").alias("all")).where("most < all")
+    counts = counts.select("token", "band", "major", F.ceil(F.col("most") / BLOCK).cast("int").alias("b1"),
+        F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("b2"))
     large = large.join(counts, ["token", "band"])
     minor, h = F.col("comp") != F.col("major"), F.xxhash64("cid")
     large = large.withColumn("block", F.when(minor, F.col("b1") + F.pmod(h, "b2")).otherwise(F.pmod(h, "b1")).cast("int"))

@@ -196,13 +196,15 @@ def _scan(batches):
                 more[k] = s
         rid = np.arange(next_id, next_id + n)
         next_id += n
-        yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(0), batch.column(2), pa.array(base, _SPAN), pa.array(more, _SLOTS)], ["rid", "doc_id", "th", "base", "slots"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid), batch.column(0), batch.column(2), pa.array(base, _SPAN), pa.array(more, _SLOTS)],
+            ["rid", "doc_id", "th", "base", "slots"])
 
 
 def confidences(edges: DataFrame, known: DataFrame) -> DataFrame:
     """pattern, kind, conf of the patterns that count; edges has pattern and value, known value and kind."""
     state = edges.join(known, "value", "left").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-    sums = state.groupBy("pattern").agg(F.coalesce(F.sum(F.expr("if(kind is null, 0, n)")), F.lit(0)).alias("q"), F.coalesce(F.sum(F.expr("if(kind is null, n, 0)")), F.lit(0)).alias("u"))
+    sums = state.groupBy("pattern").agg(F.coalesce(F.sum(F.expr("if(kind is null, 0, n)")), F.lit(0)).alias("q"),
+        F.coalesce(F.sum(F.expr("if(kind is null, n, 0)")), F.lit(0)).alias("u"))
     state = state.where(f"kind is not null and n >= {MIN_KNOWN}").join(sums, "pattern")
     return state.select("pattern", "kind", (F.col("n") / (F.col("q") + UNKNOWN * F.col("u"))).alias("conf")).where(f"conf >= {MIN_CONFIDENCE}")
 
@@ -242,10 +244,12 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = "[{}]") -> DataFram
     """docs with every span replaced by a mark that names its kind; equal texts have equal spans, whatever their ids."""
     raise_kind = F.array(*[F.lit(mark.format(k.upper())) for k in KINDS])
     mine, at = fresh("text"), fresh("spans")
-    spans = personal_data(spark, docs).select(F.col("th").alias(mine), F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias(at)).where(F.size(at) > 0).dropDuplicates([mine])
+    spans = personal_data(spark, docs).select(F.col("th").alias(mine), F.array_sort(F.transform(F.concat("base", "added"),
+        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias(at)).where(F.size(at) > 0).dropDuplicates([mine])
     out = docs.join(spans, F.xxhash64("text") == F.col(mine), "left")
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-    merged = F.aggregate(at, start, lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(F.concat(s["t"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.get(raise_kind, x["kind"])).alias("t"), x["end"].alias("at"))))
+    merged = F.aggregate(at, start, lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(F.concat(s["t"],
+        F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.get(raise_kind, x["kind"])).alias("t"), x["end"].alias("at"))))
     text = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.concat(merged["t"], F.substring(F.col("text"), merged["at"] + 1, F.length("text"))))
     return out.withColumn("text", text).select(*docs.columns)
 
