@@ -22,7 +22,8 @@ def twelve(spark):
         ("1-DS-1", "1", "10", "a" + PAD), ("2-DS-1", "2", "20", "b" + PAD), ("3-DS-1", "3", None, "f" + PAD), ("4-DS-1", "4", "40", "g" + PAD),
         ("5-DS-1", "5", "50", "short"), ("6-DS-1", "6", "60", None), ("7-DS-1", "7", "70", "h" + PAD), ("1-DS-2", "1", "80", "a" + PAD),
         ("8-DS-1", "8", "90", "c" + PAD), ("9-DS-1", "9", "100", "c" + PAD), ("10-DS-1", "10", "110", "d" + PAD), ("10-DS-2", "10", "110", "e" + PAD)])
-    diagnoses = diagnoses_of(spark, [("10", "I10", "10"), ("10", "E119", "10"), ("20", "4273", "9"), ("50", "E119", "10"), ("60", "E119", "10"), ("70", None, "10"), ("80", "N189", "10"), ("100", "J189", "10"), ("110", "J449", "10")])
+    diagnoses = diagnoses_of(spark, [("10", "I10", "10"), ("10", "E119", "10"), ("20", "4273", "9"), ("50", "E119", "10"), ("60", "E119", "10"), ("70", None, "10"),
+        ("80", "N189", "10"), ("100", "J189", "10"), ("110", "J449", "10")])
     return notes, diagnoses
 
 
@@ -72,8 +73,10 @@ def test_empty_tables(spark):
 
 def test_masked_age_maps_to_the_cap(spark):
     notes = notes_of(spark, [("1-DS-1", "1", "10", "t"), ("2-DS-1", "2", "20", "t"), ("3-DS-1", "3", "30", "t")])
-    patients = spark.createDataFrame([("1", "F", "91", "2150"), ("2", "M", "80", "2150"), ("3", "M", "x", "2150")], "subject_id string, gender string, anchor_age string, anchor_year string")
-    admissions = spark.createDataFrame([("10", "2150", None, None, None, None), ("20", "2165", None, None, None, None), ("30", "2150", None, None, None, None)], "hadm_id string, admit_year string, insurance string, language string, marital_status string, race string")
+    patients = spark.createDataFrame([("1", "F", "91", "2150"), ("2", "M", "80", "2150"), ("3", "M", "x", "2150")],
+        "subject_id string, gender string, anchor_age string, anchor_year string")
+    admissions = spark.createDataFrame([("10", "2150", None, None, None, None), ("20", "2165", None, None, None, None), ("30", "2150", None, None, None, None)],
+        "hadm_id string, admit_year string, insurance string, language string, marital_status string, race string")
     got = {r["note_id"]: (r["age"], r["age_band"]) for r in demographics.demographic_notes(notes, patients, admissions).collect()}
     assert got == {"1-DS-1": (90, "90+"), "2-DS-1": (90, "90+"), "3-DS-1": (None, "unknown")}
 

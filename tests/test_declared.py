@@ -23,7 +23,8 @@ def put(tmp_path, name, body):
 
 
 # --- configurations -----------------------------------------------------------------------------------------------
-POOL = [{"key": "a", "nine": ["250"], "ten": ["E11"], "acronyms": ["DM"], "variants": ["type 2"], "misspellings": {"diabtes": "diabetes"}, "groups": ["diabetes"]}, {"key": "b", "ten": ["J44"], "chapter": "x", "keywords": ["y"]}]
+POOL = [{"key": "a", "nine": ["250"], "ten": ["E11"], "acronyms": ["DM"], "variants": ["type 2"], "misspellings": {"diabtes": "diabetes"}, "groups": ["diabetes"]},
+    {"key": "b", "ten": ["J44"], "chapter": "x", "keywords": ["y"]}]
 
 
 def test_pool(spark, tmp_path):
@@ -32,15 +33,18 @@ def test_pool(spark, tmp_path):
 
 
 @pytest.mark.parametrize("wrong", [
-    "no json", [{"key": "a"}], [{"key": "a", "ten": ["E1!"]}], [{"key": "a", "ten": ["e11"]}], [POOL[0], {"key": "b", "ten": ["E119"]}], [POOL[0], POOL[0]], [POOL[0], {"key": "c", "ten": ["J"], "acronyms": ["DM"]}],
-    [POOL[0], {"key": "c", "ten": ["J"], "variants": ["TYPE 2"]}], [{**POOL[0], "other": 1}], [{"key": "a", "ten": ["E11"], "acronyms": ["D M"]}], [{"key": "x y", "ten": ["E1"], "variants": ["x y"]}]])
+    "no json", [{"key": "a"}], [{"key": "a", "ten": ["E1!"]}], [{"key": "a", "ten": ["e11"]}], [POOL[0], {"key": "b", "ten": ["E119"]}], [POOL[0], POOL[0]],
+        [POOL[0], {"key": "c", "ten": ["J"], "acronyms": ["DM"]}],
+    [POOL[0], {"key": "c", "ten": ["J"], "variants": ["TYPE 2"]}], [{**POOL[0], "other": 1}], [{"key": "a", "ten": ["E11"], "acronyms": ["D M"]}],
+        [{"key": "x y", "ten": ["E1"], "variants": ["x y"]}]])
 def test_refused_pools(spark, tmp_path, wrong):
     with pytest.raises(Refused):
         configs.load_pool(spark, put(tmp_path, "pool.json", wrong))
 
 
 def test_lexicon_and_catalog(spark, tmp_path):
-    lexicon, fields = configs.load_lexicon(spark, put(tmp_path, "l.json", {"sections": [{"key": "a", "synonyms": ["allergies"]}, {"key": "d", "synonyms": ["final diagnosis"], "diagnostic": True}], "fields": ["name"]}))
+    lexicon, fields = configs.load_lexicon(spark, put(tmp_path, "l.json", {"sections": [{"key": "a", "synonyms": ["allergies"]},
+        {"key": "d", "synonyms": ["final diagnosis"], "diagnostic": True}], "fields": ["name"]}))
     assert [s for s, *_ in split_sections("Name: x\nAllergies: y", lookup(lexicon, fields))] == ["OTHER", "a"] and lexicon[1].diagnostic
     for wrong in ({"sections": [{"key": "a", "synonyms": ["Allergies"]}]}, {"sections": [{"key": "a", "synonyms": ["x y z", "x y z"]}]}, {"other": []}):
         with pytest.raises(Refused):
@@ -76,7 +80,8 @@ def test_literal_sections(spark):
     texts = {"1": "before\nPlan: a\nPlan of care: b\nPlan: c", "2": "Plan:x\n Plan: y", "3": "", "4": None}
     got = sections.literal_sections(spark.createDataFrame(list(texts.items()), "note_id string, text string"), headers).orderBy("note_id", "position").collect()
     assert [(r["note_id"], r["position"], r["section"], r["body"]) for r in got] == [
-        ("1", 0, None, "before\n"), ("1", 1, "p", " a\n"), ("1", 2, "c", " b\n"), ("1", 3, "p", " c"), ("2", 0, None, ""), ("2", 1, "p", "x\n Plan: y"), ("3", 0, None, ""), ("4", 0, None, "")]
+        ("1", 0, None, "before\n"), ("1", 1, "p", " a\n"), ("1", 2, "c", " b\n"), ("1", 3, "p", " c"), ("2", 0, None, ""), ("2", 1, "p", "x\n Plan: y"),
+            ("3", 0, None, ""), ("4", 0, None, "")]
     spans = spark.createDataFrame([("1", 0), ("1", 1), ("2", 0), ("9", 0)], "note_id string, position int")
     corpus = spark.createDataFrame([("1",), ("2",)], "note_id string")
     assert sections.segment_corpus(spans, corpus).count() == 3
@@ -106,7 +111,8 @@ def test_verdicts(spark):
     assert [tokens.other_language_verdict(*x) for x in ((None, 1.0), (0.9, 0.86), (0.9, 0.8))] == ["undecidable", "alike", "less"]
     assert [tokens.corpus_verdict(*x) for x in ((None, 1), (1, 1), (1, 2), (2, 1))] == ["undecidable", "equal", "first", "second"]
     assert [textmetrics.marker_verdict(*x) for x in ((None, 0.0), (60.0, 5.0), (50.0, 10.0), (20.0, 1.0))] == ["undecidable", "exact", "with residual", "different"]
-    assert (textmetrics.age_verdict(0), textmetrics.age_verdict(2), textmetrics.residual_verdict(0), textmetrics.residual_verdict(1)) == ("masked", "numeric", "none", "some")
+    assert (textmetrics.age_verdict(0), textmetrics.age_verdict(2), textmetrics.residual_verdict(0), textmetrics.residual_verdict(1)) == ("masked", "numeric", "none",
+        "some")
 
 
 def test_decision_rule():
@@ -115,8 +121,10 @@ def test_decision_rule():
     assert rule.is_cheaper(10, 0) and rule.is_cheaper(1, 10) and not rule.is_cheaper(9, 9)
     assert rule.is_seed_sensitive(-0.03, 0.006) and not rule.is_seed_sensitive(-0.03, 0.0049)
     assert rule.is_credible(0.5, 0.4) and not rule.is_credible(0.4, 0.4)
-    assert rule.dominates(0, 0.1, 10, 1, 2) and not rule.dominates(0, 0.1, 10, 1, 1) and not rule.dominates(0, 0.1, 10, 0.9, 5) and not rule.dominates(-0.05, 0.1, 10, 2, 2)
-    for wrong in (lambda: rule.verdict(0, 0, 9), lambda: rule.verdict(0.1, 0, 10), lambda: rule.is_cheaper(-1, 0), lambda: rule.is_cheaper(float("nan"), 0), lambda: rule.is_seed_sensitive(2, 0), lambda: rule.is_credible(2, 0)):
+    assert rule.dominates(0, 0.1, 10, 1, 2) and not rule.dominates(0, 0.1, 10, 1, 1) and not rule.dominates(0, 0.1, 10, 0.9, 5) and not rule.dominates(-0.05, 0.1, 10, 2,
+        2)
+    for wrong in (lambda: rule.verdict(0, 0, 9), lambda: rule.verdict(0.1, 0, 10), lambda: rule.is_cheaper(-1, 0), lambda: rule.is_cheaper(float("nan"), 0),
+        lambda: rule.is_seed_sensitive(2, 0), lambda: rule.is_credible(2, 0)):
         with pytest.raises(Refused):
             wrong()
 
@@ -124,23 +132,30 @@ def test_decision_rule():
 # --- numbers ------------------------------------------------------------------------------------------------------
 def test_published_numbers(spark):
     rows = [(1234567, 2000000), (22, 100000), (0, 5), (5, 0), (None, 5), (1, 3), (5, 5)]
-    got = spark.createDataFrame(rows, "n long, t long").select(numbers.number_text(F.col("n")), numbers.percent_text(F.col("n"), F.col("t")), numbers.percent_label(F.col("n"), F.col("t"))).collect()
-    assert [tuple(r) for r in got] == [("1 234 567", "61,7", "61,7 %"), ("22", "< 0,1", "< 0,1 %"), ("0", "0,0", "0,0 %"), ("5", "–", "–"), ("–", "–", "–"), ("1", "33,3", "33,3 %"), ("5", "100,0", "100,0 %")]
+    got = spark.createDataFrame(rows, "n long, t long").select(numbers.number_text(F.col("n")), numbers.percent_text(F.col("n"), F.col("t")),
+        numbers.percent_label(F.col("n"), F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("1 234 567", "61,7", "61,7 %"), ("22", "< 0,1", "< 0,1 %"), ("0", "0,0", "0,0 %"), ("5", "–", "–"), ("–", "–", "–"),
+        ("1", "33,3", "33,3 %"), ("5", "100,0", "100,0 %")]
 
 
 # --- experiments --------------------------------------------------------------------------------------------------
 def test_search_spaces():
     inner = experiments.Space({"depth": experiments.Interval(1, 9)})
-    space = experiments.Space({"c": experiments.Interval(0.01, 100.0, log=True), "kind": experiments.Choice(("svm", "tree")), "n": experiments.Interval(1, 1000, log=True)}, {("kind", "tree"): inner})
+    space = experiments.Space({"c": experiments.Interval(0.01, 100.0, log=True), "kind": experiments.Choice(("svm", "tree")),
+        "n": experiments.Interval(1, 1000, log=True)}, {("kind", "tree"): inner})
     rng = random.Random(1)
     drawn = [space.draw(lambda name: rng.random()) for _ in range(300)]
-    assert all(d in space for d in drawn) and {d["kind"] for d in drawn} == {"svm", "tree"} and {d["tree.depth"] for d in drawn if d["kind"] == "tree"} == set(range(1, 10))
+    assert all(d in space for d in drawn) and {d["kind"] for d in drawn} == {"svm",
+        "tree"} and {d["tree.depth"] for d in drawn if d["kind"] == "tree"} == set(range(1, 10))
     assert 0.3 < sum(d["c"] < 1 for d in drawn) / 300 < 0.7 and 0.3 < sum(d["n"] < 32 for d in drawn) / 300 < 0.7
     good = {"c": 1.0, "kind": "svm", "n": 3}
     assert good in space
-    for wrong in ({**good, "c": 1}, {**good, "c": float("nan")}, {**good, "n": 3.0}, {**good, "n": 0}, {**good, "kind": "x"}, {**good, "more": 1}, {"c": 1.0}, {**good, "tree.depth": 3}, {**good, "kind": "tree"}):
+    for wrong in ({**good, "c": 1}, {**good, "c": float("nan")}, {**good, "n": 3.0}, {**good, "n": 0}, {**good, "kind": "x"}, {**good, "more": 1}, {"c": 1.0},
+        {**good, "tree.depth": 3}, {**good, "kind": "tree"}):
         assert wrong not in space
-    for bad in (lambda: experiments.Interval(2, 1), lambda: experiments.Interval(1.0, 1.0), lambda: experiments.Interval(0, 2, log=True), lambda: experiments.Interval(1, 2.0), lambda: experiments.Choice(()), lambda: experiments.Choice((1, 1)), lambda: experiments.Space({}), lambda: experiments.Space({"a": experiments.Choice((1,))}, {("a", 2): inner})):
+    for bad in (lambda: experiments.Interval(2, 1), lambda: experiments.Interval(1.0, 1.0), lambda: experiments.Interval(0, 2, log=True),
+        lambda: experiments.Interval(1, 2.0), lambda: experiments.Choice(()), lambda: experiments.Choice((1, 1)), lambda: experiments.Space({}),
+        lambda: experiments.Space({"a": experiments.Choice((1,))}, {("a", 2): inner})):
         with pytest.raises(Refused):
             bad()
     assert 1 in experiments.Choice((1, True)) and True in experiments.Choice((1, True)) and 1.0 not in experiments.Choice((1, True))
@@ -149,7 +164,9 @@ def test_search_spaces():
 def test_matrix():
     E = experiments.Experiment
     assert set(experiments.check_matrix([E("a", "en", "svm", 5), E("b", "cs", "svm", 5), E("c", "en", "svm", 5, normalize=True)])) == {"a", "b", "c"}
-    for wrong in ([], [E("a", "en", "m", 5), E("a", "cs", "m", 5)], [E("a", "en", "m", 5), E("b", "en", "m", 5)], [E("a", "en", "m", 5), E("b", "cs", "m", 6)], [E("a", "cs", "m", 5, strip_sections=True)], [E("a", "cs", "m", 5, normalize=True)], [E("a", "en", "m", 5, normalize=True, classical=False)], [E("a", "en", "m", 0)]):
+    for wrong in ([], [E("a", "en", "m", 5), E("a", "cs", "m", 5)], [E("a", "en", "m", 5), E("b", "en", "m", 5)], [E("a", "en", "m", 5), E("b", "cs", "m", 6)],
+        [E("a", "cs", "m", 5, strip_sections=True)], [E("a", "cs", "m", 5, normalize=True)], [E("a", "en", "m", 5, normalize=True, classical=False)],
+        [E("a", "en", "m", 0)]):
         with pytest.raises(Refused):
             experiments.check_matrix(wrong)
 

@@ -10,7 +10,8 @@ from textloom.functions.icd import Candidate, check_disjoint
 from textloom.functions.sections import LEXICON, MIN_HEADER, OTHER, check_lexicon, lookup, normal_header, split_sections, strip_sections
 from textloom.operators import audit, features, mentions, preprocessing, sections, synthetic, textmetrics, tokens
 
-LINES = st.lists(st.sampled_from(["Name: ___", "Allergies:", "  Chief Complaint: pain", "CHIEF COMPLAINT:", "Discharge Diagnosis:", "plain text", "", "Sex: F", "Hospital Course: é x", "no header:", "A:"]), max_size=12)
+LINES = st.lists(st.sampled_from(["Name: ___", "Allergies:", "  Chief Complaint: pain", "CHIEF COMPLAINT:", "Discharge Diagnosis:", "plain text", "", "Sex: F",
+    "Hospital Course: é x", "no header:", "A:"]), max_size=12)
 
 
 @given(LINES, st.sampled_from(["\n", "\r\n"]))
@@ -34,10 +35,13 @@ def test_first_header_wins_and_stripping_is_not_idempotent():
 
 @pytest.mark.parametrize("text,found", [
     ("Allergies: none", ["Allergies"]), ("  \tChief Complaint:", ["Chief Complaint"]), ("x Allergies:", []), ("allergies:", []), ("A:", []), ("Ab:", ["Ab"]),
-    ("One:\nTwo: Three:", ["One", "Two"]), ("One:\x85Two:", ["One"]), ("One:\rTwo:", ["One"]), ("A" * 49 + "a:", []), ("A" + "b" * 48 + ":", ["A" + "b" * 48]), ("H. & P. (a/b):", []),
+    ("One:\nTwo: Three:", ["One", "Two"]), ("One:\x85Two:", ["One"]), ("One:\rTwo:", ["One"]), ("A" * 49 + "a:", []), ("A" + "b" * 48 + ":", ["A" + "b" * 48]),
+        ("H. & P. (a/b):", []),
     # fixed values: cases of the header rule
-    ("Time 10:30", []), ("# CHF: yes", []), ("see Chief Complaint: x", []), ("  Chief Complaint:\n\tAllergies: none", ["Chief Complaint", "Allergies"]), ("Allergies:\r\nPenicillin\r\nSocial History:\r\nnone", ["Allergies", "Social History"]),
-    ("Service: MEDICINE", ["Service"]), ("text\nFamily History:", ["Family History"]), ("Patient's Name & Unit (A/B):", ["Patient's Name & Unit (A/B)"]), ("ab:", []), ("A1:", [])])
+    ("Time 10:30", []), ("# CHF: yes", []), ("see Chief Complaint: x", []), ("  Chief Complaint:\n\tAllergies: none", ["Chief Complaint", "Allergies"]),
+        ("Allergies:\r\nPenicillin\r\nSocial History:\r\nnone", ["Allergies", "Social History"]),
+    ("Service: MEDICINE", ["Service"]), ("text\nFamily History:", ["Family History"]), ("Patient's Name & Unit (A/B):", ["Patient's Name & Unit (A/B)"]), ("ab:", []),
+        ("A1:", [])])
 def test_header_pattern(spark, text, found):
     got = spark.createDataFrame([("1", text)], "note_id string, text string")
     assert [r["header"] for r in sections.note_headers(got).collect() if len(r["norm"]) >= 2] == [f for f in found if len(normal_header(f)) >= 3] or found == ["Ab"]
@@ -59,8 +63,10 @@ def one(spark, text, f):
 
 
 @pytest.mark.parametrize("text,out", [
-    ("a ___ year old", "a  __age__ "), ("Dr. ___ said", "Dr.  __deid__  said"), ("____ stays", "____ stays"), ("gave 4,5 mg", "gave  __num__  mg"), ("the 3rd", "the  __num__ "),
-    ("B12 stays", "B12 stays"), ("K3.5 stays", "K3.5 stays"), ("x.5 goes", "x. __num__  goes"), ("___-year-old", " __age__ "), ("gave 500mg", "gave  __num__ mg"), ("3.5mg", " __num__ mg"),
+    ("a ___ year old", "a  __age__ "), ("Dr. ___ said", "Dr.  __deid__  said"), ("____ stays", "____ stays"), ("gave 4,5 mg", "gave  __num__  mg"),
+        ("the 3rd", "the  __num__ "),
+    ("B12 stays", "B12 stays"), ("K3.5 stays", "K3.5 stays"), ("x.5 goes", "x. __num__  goes"), ("___-year-old", " __age__ "), ("gave 500mg", "gave  __num__ mg"),
+        ("3.5mg", " __num__ mg"),
     ("dose,5", "dose, __num__ "), (".5", ". __num__ "), ("1st2nd", " __num__ st2nd"), ("___pm", " __deid__ pm"), ("1.2.3", " __num__ ")])
 def test_normal_form(spark, text, out):
     assert one(spark, text, notetext.normalize_clinical_text) == out
@@ -69,8 +75,10 @@ def test_normal_form(spark, text, out):
 
 #: Texts and the number of masked ages that they hold.
 AGES = [
-    ("___ yo", 1), ("___ y/oF", 1), ("___yoM", 1), ("___ y/om", 1), ("___-year-old", 1), ("___ yearold", 1), ("___ yearsold", 1), ("___ y.o.", 1), ("A ___ Year Old woman", 1), ("a___ yo", 1),
-    ("___ yo2", 1), ("___ yo,___ yo", 2), ("___ yo ___ y/o", 2), ("___young", 0), ("____ yo", 0), ("__ yo", 0), ("___ years ago", 0), ("___ yearly", 0), ("___ yoyo", 0), ("___ yogurt", 0),
+    ("___ yo", 1), ("___ y/oF", 1), ("___yoM", 1), ("___ y/om", 1), ("___-year-old", 1), ("___ yearold", 1), ("___ yearsold", 1), ("___ y.o.", 1),
+        ("A ___ Year Old woman", 1), ("a___ yo", 1),
+    ("___ yo2", 1), ("___ yo,___ yo", 2), ("___ yo ___ y/o", 2), ("___young", 0), ("____ yo", 0), ("__ yo", 0), ("___ years ago", 0), ("___ yearly", 0), ("___ yoyo", 0),
+        ("___ yogurt", 0),
     ("___ year-older", 0), ("___ yoMF", 0), ("___ yoK", 0)]
 
 
@@ -80,8 +88,10 @@ def test_ages(spark):
     assert [got[k] for k in range(len(AGES))] == [n for _, n in AGES]
     out = [r["x"] for r in frame.orderBy(F.col("note_id").cast("int")).select(notetext.normalize_clinical_text(F.col("text")).alias("x")).collect()]
     assert [x.count("__age__") for x in out] == [n for _, n in AGES]
-    anchors = spark.createDataFrame([("1", "is a ___ yo man"), ("2", "a ___ yo man"), ("3", "IS AN ___ year-old"), ("4", "is a 45 y.o. man")], "note_id string, text string")
-    assert [(r["age_anchor"], r["numeric_ages"]) for r in textmetrics.note_metrics(anchors).orderBy("note_id").collect()] == [(True, 0), (False, 0), (True, 0), (False, 1)]
+    anchors = spark.createDataFrame([("1", "is a ___ yo man"), ("2", "a ___ yo man"), ("3", "IS AN ___ year-old"), ("4", "is a 45 y.o. man")],
+        "note_id string, text string")
+    assert [(r["age_anchor"], r["numeric_ages"]) for r in textmetrics.note_metrics(anchors).orderBy("note_id").collect()] == [(True, 0), (False, 0), (True, 0),
+        (False, 1)]
 
 
 def test_rewrites(spark):
@@ -92,9 +102,11 @@ def test_rewrites(spark):
 
 def test_negation(spark):
     pool = (Candidate("p", (), (), "c", ("pneumonia",), ("PNA",)),)
-    rows = [("1", "has pneumonia"), ("2", "no pneumonia"), ("3", "no cough. pneumonia"), ("4", "no signs of a very long list of other things, and then pneumonia"), ("5", "PNA"), ("6", "pna"), ("7", "no PNA; PNA"), ("8", None)]
+    rows = [("1", "has pneumonia"), ("2", "no pneumonia"), ("3", "no cough. pneumonia"), ("4", "no signs of a very long list of other things, and then pneumonia"),
+        ("5", "PNA"), ("6", "pna"), ("7", "no PNA; PNA"), ("8", None)]
     got = {r["note_id"]: (r["m_p"], r["a_p"]) for r in mentions.mention_flags(spark.createDataFrame(rows, "note_id string, text string"), pool).collect()}
-    assert got == {"1": (True, True), "2": (True, False), "3": (True, True), "4": (True, True), "5": (True, True), "6": (False, False), "7": (True, True), "8": (False, False)}
+    assert got == {"1": (True, True), "2": (True, False), "3": (True, True), "4": (True, True), "5": (True, True), "6": (False, False), "7": (True, True),
+        "8": (False, False)}
 
 
 @given(st.text("abcd", max_size=6), st.text("abcd", max_size=6))
@@ -108,11 +120,14 @@ def test_distance_one(spark, a, b):
 
 
 def test_near_miss(spark):
-    f = spark.createDataFrame([("pneumonia", 5000), ("pneumonias", 300), ("pnuemonia", 120), ("pneumon", 50), ("diabetes", 5000), ("diabtes", 60), ("rare", 3)], "token string, df long")
+    f = spark.createDataFrame([("pneumonia", 5000), ("pneumonias", 300), ("pnuemonia", 120), ("pneumon", 50), ("diabetes", 5000), ("diabtes", 60), ("rare", 3)],
+        "token string, df long")
     t = preprocessing.spelling_targets(spark, {"a": ("pneumonia",), "b": ("diabetes", "shared words"), "c": ("shared",)})
     assert {r["target"] for r in t.collect()} == {"pneumonia", "diabetes"}
-    assert {(r["token"], r["target"]) for r in preprocessing.near_miss_forms(f, t).collect()} == {("pneumonias", "pneumonia"), ("pnuemonia", "pneumonia"), ("diabtes", "diabetes")}
-    e = preprocessing.typo_estimate(spark.createDataFrame([("pneumonia", 5000), ("pnuemonia", 50), ("pneumonja", 51), ("word1", 1), ("abc", 1)], "token string, df long")).first()
+    assert {(r["token"], r["target"]) for r in preprocessing.near_miss_forms(f, t).collect()} == {("pneumonias", "pneumonia"), ("pnuemonia", "pneumonia"),
+        ("diabtes", "diabetes")}
+    e = preprocessing.typo_estimate(spark.createDataFrame([("pneumonia", 5000), ("pnuemonia", 50), ("pneumonja", 51), ("word1", 1), ("abc", 1)],
+        "token string, df long")).first()
     assert (e["words"], e["candidates"], e["candidate_df"]) == (3, 1, 50)
 
 

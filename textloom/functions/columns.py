@@ -53,7 +53,8 @@ def nearest_rank(rows: DataFrame, column: str, shares: tuple[float, ...]) -> tup
         return 0, [None] * len(shares)
     ranks = [max(math.ceil(round(p * n, 6)), 1) for p in shares]
     pairs = [(F.lit(head["ends"][2 * k]), F.lit(head["ends"][2 * k + 1])) for k in range(len(shares))]
-    counts = x.agg(*[c for k, (lo, hi) in enumerate(pairs) for c in (F.count_if(F.col("x") < lo).alias(f"b{k}"), F.count_if(F.col("x").between(lo, hi)).alias(f"m{k}"))]).first()
+    counts = x.agg(*[c for k, (lo, hi) in enumerate(pairs) for c in (F.count_if(F.col("x") < lo).alias(f"b{k}"),
+        F.count_if(F.col("x").between(lo, hi)).alias(f"m{k}"))]).first()
     inside = [F.when(F.col("x").between(lo, hi), F.col("x")).alias(f"x{k}") for k, (lo, hi) in enumerate(pairs)]
     q = [(r - counts[f"b{k}"] - 0.5) / counts[f"m{k}"] for k, r in enumerate(ranks)]
     found = x.select(*inside).agg(*[F.expr(f"percentile_disc({min(max(v, 0.0), 1.0)}) within group (order by x{k})").alias(f"q{k}") for k, v in enumerate(q)]).first()

@@ -91,11 +91,13 @@ CHARLSON = {
     "pulmonary disease": ("4168 4169 490-505 5064 5081 5088", "I278 I279 J40-J47 J60-J67 J684 J701 J703"),
     "rheumatic disease": ("4465 7100-7104 7140-7142 7148 725", "M05 M06 M315 M32-M34 M351 M353 M360"),
     "peptic ulcer": ("531-534", "K25-K28"),
-    "mild liver disease": ("07022 07023 07032 07033 07044 07054 0706 0709 570 571 5733 5734 5738 5739 V427", "B18 K700-K703 K709 K713-K715 K717 K73 K74 K760 K762-K764 K768 K769 Z944"),
+    "mild liver disease": ("07022 07023 07032 07033 07044 07054 0706 0709 570 571 5733 5734 5738 5739 V427",
+        "B18 K700-K703 K709 K713-K715 K717 K73 K74 K760 K762-K764 K768 K769 Z944"),
     "diabetes": ("2500-2503 2508 2509", "E100 E101 E106 E108 E109 E110 E111 E116 E118 E119 E120 E121 E126 E128 E129 E130 E131 E136 E138 E139 E140 E141 E146 E148 E149"),
     "diabetes with complications": ("2504-2507", "E102-E105 E107 E112-E115 E117 E122-E125 E127 E132-E135 E137 E142-E145 E147"),
     "paralysis": ("3341 342 343 3440-3446 3449", "G041 G114 G801 G802 G81 G82 G830-G834 G839"),
-    "renal disease": ("40301 40311 40391 40402 40403 40412 40413 40492 40493 582 5830-5837 585 586 5880 V420 V451 V56", "I120 I131 N032-N037 N052-N057 N18 N19 N250 Z490-Z492 Z940 Z992"),
+    "renal disease": ("40301 40311 40391 40402 40403 40412 40413 40492 40493 582 5830-5837 585 586 5880 V420 V451 V56",
+        "I120 I131 N032-N037 N052-N057 N18 N19 N250 Z490-Z492 Z940 Z992"),
     "malignancy": ("140-172 174-194 1950-1958 200-208 2386", "C00-C26 C30-C34 C37-C41 C43 C45-C58 C60-C76 C81-C85 C88 C90-C97"),
     "severe liver disease": ("4560-4562 5722-5728", "I850 I859 I864 I982 K704 K711 K721 K729 K765-K767"),
     "metastases": ("196-199", "C77-C80"),

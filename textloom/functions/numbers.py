@@ -30,4 +30,5 @@ def percent_label(n: Column, total: Column) -> Column:
 def share_table(rows, column: str = "n"):
     """rows with their counts as text, and their shares of the sum."""
     total = rows.agg(F.sum(column).alias("__total"))  # one row
-    return rows.crossJoin(F.broadcast(total)).withColumn("share", percent_text(F.col(column), F.col("__total"))).withColumn(column, number_text(F.col(column))).drop("__total")
+    return rows.crossJoin(F.broadcast(total)).withColumn("share", percent_text(F.col(column), F.col("__total"))).withColumn(column,
+        number_text(F.col(column))).drop("__total")

@@ -26,7 +26,8 @@ def clean(text: Column) -> Column:
 def check_extract(extract: DataFrame) -> DataFrame:
     """One row: rows, null notes, null targets, repeated notes; all but the first must be 0."""
     per = extract.groupBy("note_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target").isNull()).alias("null_targets"))
-    return per.agg(F.sum("n").alias("rows"), F.count_if(F.col("note_id").isNull()).alias("null_notes"), F.sum("null_targets").alias("null_targets"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return per.agg(F.sum("n").alias("rows"), F.count_if(F.col("note_id").isNull()).alias("null_notes"), F.sum("null_targets").alias("null_targets"),
+        F.count_if(F.col("n") > 1).alias("repeated"))
 
 
 def paired(notes: DataFrame, spans: DataFrame, extract: DataFrame) -> DataFrame:
@@ -36,10 +37,13 @@ def paired(notes: DataFrame, spans: DataFrame, extract: DataFrame) -> DataFrame:
     reference longer; ours longer; reference inside ours; ours inside reference; other.
     """
     w = Window.partitionBy("note_id").orderBy("position")
-    parts = spans.withColumn("next_start", F.lead("body_start").over(w)).withColumn("next_end", F.lead("body_end").over(w)).withColumn("next_section", F.lead("section").over(w)).where(F.col("section") == SECTION)
+    parts = spans.withColumn("next_start", F.lead("body_start").over(w)).withColumn("next_end", F.lead("body_end").over(w)).withColumn("next_section",
+        F.lead("section").over(w)).where(F.col("section") == SECTION)
     text = notes.select(F.col("note_id").cast("string").alias("note_id"), "text")
     body = lambda a, z: clean(F.substring(F.col("text"), F.col(a).cast("int") + 1, (F.col(z) - F.col(a)).cast("int")))
-    ours = text.join(parts.select(F.col("note_id").alias("pn"), "body_start", "body_end", "next_start", "next_end", "next_section"), F.col("note_id") == F.col("pn"), "left").select("note_id", body("body_start", "body_end").alias("ours"), F.when(F.col("next_section") != OTHER, body("next_start", "next_end")).alias("following"), "next_section")
+    ours = text.join(parts.select(F.col("note_id").alias("pn"), "body_start", "body_end", "next_start", "next_end", "next_section"), F.col("note_id") == F.col("pn"),
+        "left").select("note_id", body("body_start", "body_end").alias("ours"),
+        F.when(F.col("next_section") != OTHER, body("next_start", "next_end")).alias("following"), "next_section")
     ref = extract.select(F.col("note_id").cast("string").alias("rn"), F.trim("target").alias("ref"))
     rows = ours.join(ref, F.col("note_id") == F.col("rn"))
     o, r = F.col("ours"), F.col("ref")

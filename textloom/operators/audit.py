@@ -94,7 +94,8 @@ def corpus_statistics(notes: DataFrame) -> DataFrame:
     words = F.regexp_count("text", F.lit(r"\S+")).cast("long")
     marks = F.regexp_count("text", F.lit(r"(?<!_)___(?!_)")).cast("long")
     rows = notes.select(words.alias("words"), F.when(F.length("text") > 0, F.log(F.length("text").cast("double"))).alias("log_chars"), marks.alias("marks"))
-    return rows.agg(F.count(F.lit(1)).alias("notes"), F.expr("percentile(words, 0.5)").cast("double").alias("median_words"), F.round(F.stddev_samp("log_chars"), 9).alias("log_deviation"), F.round(ratio(F.sum("marks") * 1000, F.sum("words")), 9).alias("marks_per_thousand"))
+    return rows.agg(F.count(F.lit(1)).alias("notes"), F.expr("percentile(words, 0.5)").cast("double").alias("median_words"),
+        F.round(F.stddev_samp("log_chars"), 9).alias("log_deviation"), F.round(ratio(F.sum("marks") * 1000, F.sum("words")), 9).alias("marks_per_thousand"))
 
 
 def statistics_violations(statistics: DataFrame, target: dict[str, float], tolerance: float = 0.1) -> DataFrame:
@@ -119,7 +120,8 @@ def translation_checks(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def binding(parts: DataFrame, whole: DataFrame) -> DataFrame:
     """pair_id where the trimmed parts, put together by blank lines in their order, are not the whole text, by digest."""
-    made = parts.groupBy(F.col("pair_id").alias("p")).agg(F.array_sort(F.collect_list(F.struct("position", F.trim("text").alias("t")))).alias("x")).select("p", F.sha2(F.array_join(F.transform("x", lambda s: s["t"]), "\n\n"), 256).alias("made"))
+    made = parts.groupBy(F.col("pair_id").alias("p")).agg(F.array_sort(F.collect_list(F.struct("position", F.trim("text").alias("t")))).alias("x")).select("p",
+        F.sha2(F.array_join(F.transform("x", lambda s: s["t"]), "\n\n"), 256).alias("made"))
     return whole.join(made, F.col("pair_id") == F.col("p"), "left").where(~F.coalesce(F.sha2("text", 256) == F.col("made"), F.lit(False))).select("pair_id")
 
 
@@ -145,7 +147,8 @@ def placeholder_problems(source: Column, target: Column) -> Column:
 def collect_requests(planned: DataFrame, answers: DataFrame) -> DataFrame:
     """key and state of planned requests: done, failed or open; the open ones are what a resumed run sends."""
     a = answers.select(F.col("key").alias("ak"), F.coalesce(F.trim("answer") != "", F.lit(False)).alias("ok")).groupBy("ak").agg(F.bool_or("ok").alias("ok"))
-    return planned.join(a, F.col("key") == F.col("ak"), "left").select("key", F.when(F.col("ok"), "done").when(F.col("ok").isNull(), "open").otherwise("failed").alias("state"))
+    return planned.join(a, F.col("key") == F.col("ak"), "left").select("key",
+        F.when(F.col("ok"), "done").when(F.col("ok").isNull(), "open").otherwise("failed").alias("state"))
 
 
 def demo_examples(rows: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ def input_corpus_selection(notes: DataFrame, diagnoses: DataFrame, min_chars: in
     rows = rows.join(coded, F.col("hadm_id") == F.col("__coded"), "left").withColumn("has_icd", F.col("__coded").isNotNull()).drop("__coded")
     rows = rows.withColumn("candidate", F.col("has_icd") & (F.col("chars") >= min_chars))
     # notes that are no candidates are groups of their own, so one pass ranks all and none of them share a task
-    group = F.when(F.col("candidate"), F.col("digest")).otherwise(F.concat(F.lit("note "), F.coalesce("note_id", F.xxhash64("subject_id", "hadm_id", "digest").cast("string"))))
+    group = F.when(F.col("candidate"), F.col("digest")).otherwise(F.concat(F.lit("note "), F.coalesce("note_id",
+        F.xxhash64("subject_id", "hadm_id", "digest").cast("string"))))
     rank = F.row_number().over(Window.partitionBy("group").orderBy("note_id"))
     return rows.withColumn("group", group).withColumn("copy", F.when(F.col("candidate"), rank)).select("note_id", "subject_id", "hadm_id", "has_icd", bigint("copy"))
 
@@ -34,12 +35,15 @@ def input_corpus(notes: DataFrame, diagnoses: DataFrame, min_chars: int = MIN_CH
 
 def corpus_funnel(selection: DataFrame) -> DataFrame:
     """For each step: notes, patients and patients with several notes, recomputed step by step; zeros for empty steps."""
-    steps = F.array(*[F.when(c, F.lit(k)) for k, c in enumerate([F.lit(True), F.col("has_icd"), F.col("copy").isNotNull(), F.coalesce(F.col("copy") == 1, F.lit(False))])])
+    steps = F.array(*[F.when(c, F.lit(k)) for k, c in enumerate([F.lit(True), F.col("has_icd"), F.col("copy").isNotNull(),
+        F.coalesce(F.col("copy") == 1, F.lit(False))])])
     rows = selection.select("subject_id", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("position"))
     per = rows.groupBy("position", "subject_id").agg(F.count(F.lit(1)).alias("n"))
-    out = per.groupBy("position").agg(F.sum("n").alias("notes"), F.count("subject_id").alias("patients"), F.count_if(F.col("subject_id").isNotNull() & (F.col("n") > 1)).alias("several"))
+    out = per.groupBy("position").agg(F.sum("n").alias("notes"), F.count("subject_id").alias("patients"),
+        F.count_if(F.col("subject_id").isNotNull() & (F.col("n") > 1)).alias("several"))
     grid = selection.sparkSession.createDataFrame([(k, s) for k, s in enumerate(STEPS)], "position int, step string")
-    return grid.join(F.broadcast(out), "position", "left").select(bigint("position"), "step", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("notes", "patients", "several")])
+    return grid.join(F.broadcast(out), "position", "left").select(bigint("position"), "step",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("notes", "patients", "several")])
 
 
 def corpus_comparison(corpora: dict[str, DataFrame]) -> DataFrame:
@@ -58,14 +62,16 @@ def patient_summary(notes: DataFrame) -> DataFrame:
     """One row: patients, admissions (without null), notes, patients with several notes."""
     per = notes.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
     several = per.agg(F.count_if(F.col("subject_id").isNotNull() & (F.col("n") > 1)).alias("several"))
-    return notes.agg(F.count_distinct("subject_id").alias("patients"), F.count_distinct("hadm_id").alias("admissions"), F.count(F.lit(1)).alias("notes")).crossJoin(F.broadcast(several))
+    return notes.agg(F.count_distinct("subject_id").alias("patients"), F.count_distinct("hadm_id").alias("admissions"),
+        F.count(F.lit(1)).alias("notes")).crossJoin(F.broadcast(several))
 
 
 def notes_per(notes: DataFrame, key: str, cap: int) -> DataFrame:
     """How many keys have 1, 2, ... notes; cap and more are one bucket."""
     per = notes.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     bucket = F.least(F.col("n"), F.lit(cap))
-    return per.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("keys")).select("bucket", F.when(F.col("bucket") == cap, F.lit(f"{cap}+")).otherwise(F.col("bucket").cast("string")).alias("label"), "keys")
+    return per.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("keys")).select("bucket",
+        F.when(F.col("bucket") == cap, F.lit(f"{cap}+")).otherwise(F.col("bucket").cast("string")).alias("label"), "keys")
 
 
 def notes_per_patient(notes: DataFrame) -> DataFrame:
@@ -82,7 +88,8 @@ def hadm_coverage(corpora: dict[str, DataFrame], diagnoses: DataFrame) -> DataFr
     out = None
     for name, notes in corpora.items():
         rows = notes.select("hadm_id").join(coded, F.col("hadm_id") == F.col("__coded"), "left")
-        one = rows.agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("hadm_id").isNull()).alias("no_admission"), F.count_if(F.col("hadm_id").isNotNull() & F.col("__coded").isNull()).alias("no_code"), F.count_if(F.col("__coded").isNotNull()).alias("with_code"))
+        one = rows.agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("hadm_id").isNull()).alias("no_admission"),
+            F.count_if(F.col("hadm_id").isNotNull() & F.col("__coded").isNull()).alias("no_code"), F.count_if(F.col("__coded").isNotNull()).alias("with_code"))
         one = one.select(F.lit(name).alias("corpus"), *one.columns)
         out = one if out is None else out.unionByName(one)
     return out
@@ -97,9 +104,11 @@ def icd_era(notes: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """hadm_id, subject_id and era of each admission that has a note: only 9, only 10, both or none of the versions."""
     admissions = notes.where("hadm_id is not null").groupBy("hadm_id").agg(F.min("subject_id").alias("subject_id"))
     version = F.expr("try_cast(icd_version as int)")
-    codes = diagnoses.groupBy(F.col("hadm_id").alias("h")).agg(F.bool_or(F.coalesce(version == 9, F.lit(False))).alias("nine"), F.bool_or(F.coalesce(version == 10, F.lit(False))).alias("ten"))
+    codes = diagnoses.groupBy(F.col("hadm_id").alias("h")).agg(F.bool_or(F.coalesce(version == 9, F.lit(False))).alias("nine"),
+        F.bool_or(F.coalesce(version == 10, F.lit(False))).alias("ten"))
     nine, ten = F.coalesce("nine", F.lit(False)), F.coalesce("ten", F.lit(False))
-    return admissions.join(codes, F.col("hadm_id") == F.col("h"), "left").select("hadm_id", "subject_id", ladder([(nine & ten, "both"), (nine, "only 9"), (ten, "only 10")], "none").alias("era"))
+    return admissions.join(codes, F.col("hadm_id") == F.col("h"), "left").select("hadm_id", "subject_id",
+        ladder([(nine & ten, "both"), (nine, "only 9"), (ten, "only 10")], "none").alias("era"))
 
 
 def icd_era_by_group(eras: DataFrame, patients: DataFrame) -> DataFrame:
@@ -112,4 +121,5 @@ def era_transition(by_group: DataFrame) -> DataFrame:
     """One row: whether the periods with version 9 and with version 10 overlap."""
     nine = F.collect_set(F.when(F.col("era").isin("only 9", "both"), F.col("period")))
     ten = F.collect_set(F.when(F.col("era").isin("only 10", "both"), F.col("period")))
-    return by_group.agg(nine.alias("a"), ten.alias("b")).select(ladder([((F.size("a") == 0) | (F.size("b") == 0), "none"), (F.arrays_overlap("a", "b"), "overlap")], "separated").alias("transition"))
+    return by_group.agg(nine.alias("a"), ten.alias("b")).select(ladder([((F.size("a") == 0) | (F.size("b") == 0), "none"), (F.arrays_overlap("a", "b"), "overlap")],
+        "separated").alias("transition"))

@@ -22,10 +22,13 @@ def demographic_notes(notes: DataFrame, patients: DataFrame, admissions: DataFra
     return rows.select(
         "note_id", "subject_id",
         ladder([(F.col("gender") == "F", "female"), (F.col("gender") == "M", "male")], "unknown").alias("gender"),
-        ladder([(F.col("insurance").isin("Medicare", "Medicaid", "Private"), F.lower("insurance")), (F.col("insurance").isNull(), "unknown")], "other").alias("insurance"),
+        ladder([(F.col("insurance").isin("Medicare", "Medicaid", "Private"), F.lower("insurance")), (F.col("insurance").isNull(), "unknown")],
+            "other").alias("insurance"),
         ladder([(F.col("language") == "ENGLISH", "english"), (F.col("language").isNull() | F.col("language").isin("?", ""), "unknown")], "other").alias("language"),
         ladder([(F.col("marital_status").isin("MARRIED", "SINGLE", "WIDOWED", "DIVORCED"), F.lower("marital_status"))], "unknown").alias("marital"),
-        ladder([(race.like("WHITE%"), "white"), (race.like("BLACK%"), "black"), (race.like("ASIAN%"), "asian"), (race.like("HISPANIC%") | (race == "SOUTH AMERICAN"), "hispanic"), (race.isNull() | race.isin("UNKNOWN", "UNABLE TO OBTAIN", "PATIENT DECLINED TO ANSWER"), "unknown")], "other").alias("race"),
+        ladder([(race.like("WHITE%"), "white"), (race.like("BLACK%"), "black"), (race.like("ASIAN%"), "asian"),
+            (race.like("HISPANIC%") | (race == "SOUTH AMERICAN"), "hispanic"),
+            (race.isNull() | race.isin("UNKNOWN", "UNABLE TO OBTAIN", "PATIENT DECLINED TO ANSWER"), "unknown")], "other").alias("race"),
         age.cast("long").alias("age"),
         ladder([(age.isNull(), "unknown"), (age < 30, "<30"), (age >= 90, "90+")], F.concat((F.floor(age / 10) * 10).cast("string"), F.lit("s"))).alias("age_band"),
         (anchor == MASKED_AGE).alias("masked"), F.col("ps").isNull().alias("no_patient"), F.col("ah").isNull().alias("no_admission"))
@@ -34,7 +37,8 @@ def demographic_notes(notes: DataFrame, patients: DataFrame, admissions: DataFra
 def demographic_summary(rows: DataFrame) -> DataFrame:
     """One row: patients, notes, quartiles of age, missing links, masked ages."""
     q = [F.expr(f"percentile(age, {p})").cast("double").alias(f"age_q{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
-    return rows.agg(F.count_distinct("subject_id").alias("patients"), F.count(F.lit(1)).alias("notes"), *q, F.count_if("no_patient").alias("no_patient"), F.count_if("no_admission").alias("no_admission"), F.count_if("masked").alias("masked"))
+    return rows.agg(F.count_distinct("subject_id").alias("patients"), F.count(F.lit(1)).alias("notes"), *q, F.count_if("no_patient").alias("no_patient"),
+        F.count_if("no_admission").alias("no_admission"), F.count_if("masked").alias("masked"))
 
 
 def attribute_counts(rows: DataFrame) -> DataFrame:
@@ -53,7 +57,8 @@ def attribute_table(counts: DataFrame) -> DataFrame:
     all_n = F.sum("n").over(Window.partitionBy("attribute"))
     order = Window.partitionBy("attribute").orderBy((F.col("category") == "unknown").cast("int"), F.desc("n"), "category")
     rank = F.row_number().over(order)
-    return counts.select("attribute", "category", "n", F.round(F.col("n") / all_n, 6).alias("share"), rank.cast("long").alias("position"), F.when(rank == 1, F.col("attribute")).otherwise("").alias("label"))
+    return counts.select("attribute", "category", "n", F.round(F.col("n") / all_n, 6).alias("share"), rank.cast("long").alias("position"),
+        F.when(rank == 1, F.col("attribute")).otherwise("").alias("label"))
 
 
 def majority(counts: DataFrame, attribute: str) -> DataFrame:

@@ -56,7 +56,8 @@ def mention_flags(notes: DataFrame, pool: tuple[Candidate, ...] = POOL) -> DataF
 
 def mention_agreement(flags: DataFrame, codes: DataFrame, pool: tuple[Candidate, ...] = POOL) -> DataFrame:
     """For each candidate: notes coded, mentioned, asserted, both ways, and all notes; one wide aggregate, then turned."""
-    coded = codes.select(F.col("note_id").alias("n"), diagnosis_of(F.col("code"), F.col("version"), pool).alias("d")).where("d is not null").groupBy("n").agg(F.collect_set("d").alias("coded"))
+    coded = codes.select(F.col("note_id").alias("n"),
+        diagnosis_of(F.col("code"), F.col("version"), pool).alias("d")).where("d is not null").groupBy("n").agg(F.collect_set("d").alias("coded"))
     rows = flags.join(coded, F.col("note_id") == F.col("n"), "left")
     aggs, cells = [F.count(F.lit(1)).alias("total")], []
     for k, c in enumerate(pool):
@@ -64,7 +65,8 @@ def mention_agreement(flags: DataFrame, codes: DataFrame, pool: tuple[Candidate,
         m, a = F.col(f"m_{c.key}"), F.col(f"a_{c.key}")
         for name, x in (("icd", i), ("mention", m), ("assertion", a), ("icd_mention", i & m), ("icd_assertion", i & a)):
             aggs.append(F.count_if(x).alias(f"{name}_{c.key}"))
-        cells.append(F.struct(F.lit(k).cast("long").alias("position"), F.lit(c.key).alias("candidate"), F.lit(c.chapter).alias("chapter"), *[F.col(f"{n}_{c.key}").alias(n) for n in ("icd", "mention", "assertion", "icd_mention", "icd_assertion")], F.col("total").alias("total")))
+        cells.append(F.struct(F.lit(k).cast("long").alias("position"), F.lit(c.key).alias("candidate"), F.lit(c.chapter).alias("chapter"),
+            *[F.col(f"{n}_{c.key}").alias(n) for n in ("icd", "mention", "assertion", "icd_mention", "icd_assertion")], F.col("total").alias("total")))
     return rows.agg(*aggs).select(F.inline(F.array(*cells)))
 
 

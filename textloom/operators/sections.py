@@ -27,7 +27,8 @@ def note_headers(notes: DataFrame) -> DataFrame:
 def lexicon_frame(spark) -> DataFrame:
     """section, synonym, position, diagnostic; refuses a lexicon with collisions."""
     check_lexicon()
-    return spark.createDataFrame([(x.key, s, k, x.diagnostic) for k, x in enumerate(LEXICON) for s in x.synonyms], "section string, synonym string, position long, diagnostic boolean")
+    return spark.createDataFrame([(x.key, s, k, x.diagnostic) for k, x in enumerate(LEXICON) for s in x.synonyms],
+        "section string, synonym string, position long, diagnostic boolean")
 
 
 def publishable_floor(notes: DataFrame) -> DataFrame:
@@ -39,11 +40,13 @@ def header_ranking(notes: DataFrame, headers: DataFrame, top: int = TOP) -> Data
     """The headers in most notes, with their most frequent spelling and kind."""
     df = headers.groupBy("norm").agg(F.count_distinct("note_id").alias("notes"), F.count(F.lit(1)).alias("used"))
     spelling = headers.groupBy("norm", "header").agg(F.count(F.lit(1)).alias("times"))
-    spelling = spelling.withColumn("r", F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("times"), "header"))).where("r = 1").select(F.col("norm").alias("sn"), F.col("header").alias("spelling"))
+    spelling = spelling.withColumn("r", F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("times"),
+        "header"))).where("r = 1").select(F.col("norm").alias("sn"), F.col("header").alias("spelling"))
     known = [s for x in LEXICON for s in x.synonyms]
     kind = ladder([(F.col("norm").isin(known), "section"), (F.col("norm").isin(list(PREAMBLE)), "preamble")], "other")
     out = df.crossJoin(F.broadcast(publishable_floor(notes))).where("notes >= floor").join(spelling, F.col("norm") == F.col("sn"))
-    return out.select("norm", "spelling", kind.alias("kind"), "notes", "used", F.round(F.col("notes") / F.col("total"), 6).alias("share")).orderBy(F.desc("notes"), "norm").limit(top)
+    return out.select("norm", "spelling", kind.alias("kind"), "notes", "used", F.round(F.col("notes") / F.col("total"), 6).alias("share")).orderBy(F.desc("notes"),
+        "norm").limit(top)
 
 
 def header_candidates(ranking: DataFrame) -> DataFrame:
@@ -54,8 +57,10 @@ def header_candidates(ranking: DataFrame) -> DataFrame:
 def header_totals(notes: DataFrame, headers: DataFrame) -> DataFrame:
     """One row: distinct headers, notes with any, with one of the lexicon, with none."""
     known = F.col("norm").isin([s for x in LEXICON for s in x.synonyms])
-    one = headers.agg(F.count_distinct("norm").alias("headers"), F.count_distinct("note_id").alias("with_any"), F.count_distinct(F.when(known, F.col("note_id"))).alias("with_section"))
-    return one.crossJoin(F.broadcast(notes.agg(F.count(F.lit(1)).alias("total")))).select("headers", "with_any", "with_section", (F.col("total") - F.col("with_any")).alias("without"))
+    one = headers.agg(F.count_distinct("norm").alias("headers"), F.count_distinct("note_id").alias("with_any"),
+        F.count_distinct(F.when(known, F.col("note_id"))).alias("with_section"))
+    return one.crossJoin(F.broadcast(notes.agg(F.count(F.lit(1)).alias("total")))).select("headers", "with_any", "with_section",
+        (F.col("total") - F.col("with_any")).alias("without"))
 
 
 def lexicon_coverage(headers: DataFrame, by: str = "section") -> DataFrame:
@@ -63,7 +68,8 @@ def lexicon_coverage(headers: DataFrame, by: str = "section") -> DataFrame:
     lex = lexicon_frame(headers.sparkSession)
     per = headers.join(F.broadcast(lex), F.col("norm") == F.col("synonym")).groupBy(by, "note_id").agg(F.count(F.lit(1)).alias("n"))
     found = per.groupBy(F.col(by).alias("k")).agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("n") >= 2).alias("repeated"))
-    return lex.select(by).distinct().join(F.broadcast(found), F.col(by) == F.col("k"), "left").select(by, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("notes", "repeated")])
+    return lex.select(by).distinct().join(F.broadcast(found), F.col(by) == F.col("k"), "left").select(by,
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("notes", "repeated")])
 
 
 def _spans(batches):
@@ -78,13 +84,15 @@ def _spans(batches):
                 for x, v in zip(out, (note, k, section, z - a, len(bare), bare == MASK, start, start + len(bare))):
                     x.append(v)
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["note_id", "position", "section", "span_chars", "body_chars", "body_masked", "body_start", "body_end"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)],
+            ["note_id", "position", "section", "span_chars", "body_chars", "body_masked", "body_start", "body_end"])
 
 
 def section_spans(notes: DataFrame) -> DataFrame:
     """The parts of all notes; lengths and offsets in code points, the body without white space around it."""
     ship(notes.sparkSession)
-    return notes.select(F.col("note_id").cast("string"), "text").mapInArrow(_spans, "note_id string, position long, section string, span_chars long, body_chars long, body_masked boolean, body_start long, body_end long")
+    return notes.select(F.col("note_id").cast("string"), "text").mapInArrow(_spans,
+        "note_id string, position long, section string, span_chars long, body_chars long, body_masked boolean, body_start long, body_end long")
 
 
 def strip_diagnostic_sections(notes: DataFrame) -> DataFrame:
@@ -95,7 +103,8 @@ def strip_diagnostic_sections(notes: DataFrame) -> DataFrame:
     def run(batches):
         names = lookup()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else strip_sections(t, names, keys) for t in batch.column(1).to_pylist()], pa.string())], ["note_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else strip_sections(t, names, keys) for t in batch.column(1).to_pylist()],
+                pa.string())], ["note_id", "text"])
 
     return notes.select(F.col("note_id").cast("string"), "text").mapInArrow(run, "note_id string, text string")
 
@@ -103,12 +112,14 @@ def strip_diagnostic_sections(notes: DataFrame) -> DataFrame:
 def section_skeleton(notes: DataFrame, spans: DataFrame) -> DataFrame:
     """For each section: notes, coverage, median and quartiles of its place among the note's sections, and whether it belongs to the skeleton."""
     named = spans.where(F.col("section") != OTHER).withColumn("place", F.row_number().over(Window.partitionBy("note_id").orderBy("position")) - 1)
-    found = named.groupBy(F.col("section").alias("k")).agg(F.count_distinct("note_id").alias("notes"), *[F.expr(f"percentile(place, {p})").cast("double").alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
+    found = named.groupBy(F.col("section").alias("k")).agg(F.count_distinct("note_id").alias("notes"),
+        *[F.expr(f"percentile(place, {p})").cast("double").alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
     total = notes.agg(F.count(F.lit(1)).alias("total"))
     lex = lexicon_frame(spans.sparkSession).select("section").distinct()
     out = lex.join(F.broadcast(found), F.col("section") == F.col("k"), "left").crossJoin(F.broadcast(total))
     n = F.coalesce("notes", F.lit(0)).cast("long")
-    return out.select("section", n.alias("notes"), F.round(ratio(n, F.col("total")), 6).alias("coverage"), "median", "q25", "q75", F.coalesce(ratio(n, F.col("total")) >= SKELETON, F.lit(False)).alias("in_skeleton"))
+    return out.select("section", n.alias("notes"), F.round(ratio(n, F.col("total")), 6).alias("coverage"), "median", "q25", "q75",
+        F.coalesce(ratio(n, F.col("total")) >= SKELETON, F.lit(False)).alias("in_skeleton"))
 
 
 def _members(skeleton: DataFrame) -> DataFrame:
@@ -133,15 +144,18 @@ def section_precedence(spans: DataFrame, skeleton: DataFrame) -> DataFrame:
     members = F.broadcast(_members(skeleton))
     sets = spans.join(members, F.col("section") == F.col("ms")).groupBy("note_id").agg(F.collect_list(F.struct("section", "position")).alias("s"))
     pairs = sets.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y")).where("x.section <> y.section")
-    found = pairs.groupBy(F.col("x.section").alias("fa"), F.col("y.section").alias("fb")).agg(F.count(F.lit(1)).alias("both"), F.count_if(F.expr("x.position < y.position")).alias("first"))
+    found = pairs.groupBy(F.col("x.section").alias("fa"), F.col("y.section").alias("fb")).agg(F.count(F.lit(1)).alias("both"),
+        F.count_if(F.expr("x.position < y.position")).alias("first"))
     m = _members(skeleton).select(F.col("ms").alias("a"))
     grid = m.crossJoin(F.broadcast(m.toDF("b"))).where("a <> b")
-    return grid.join(F.broadcast(found), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left").select("a", "b", F.coalesce("both", F.lit(0)).cast("long").alias("both"), F.coalesce("first", F.lit(0)).cast("long").alias("first"))
+    return grid.join(F.broadcast(found), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left").select("a", "b",
+        F.coalesce("both", F.lit(0)).cast("long").alias("both"), F.coalesce("first", F.lit(0)).cast("long").alias("first"))
 
 
 def _per_note(notes: DataFrame, spans: DataFrame) -> DataFrame:
     per = spans.where(F.col("section") != OTHER).groupBy(F.col("note_id").alias("sn")).agg(F.count(F.lit(1)).alias("sections"))
-    return notes.select(F.col("note_id").cast("string").alias("note_id")).join(per, F.col("note_id") == F.col("sn"), "left").select("note_id", F.coalesce("sections", F.lit(0)).cast("long").alias("sections"))
+    return notes.select(F.col("note_id").cast("string").alias("note_id")).join(per, F.col("note_id") == F.col("sn"), "left").select("note_id",
+        F.coalesce("sections", F.lit(0)).cast("long").alias("sections"))
 
 
 def sections_per_note(notes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -152,13 +166,15 @@ def sections_per_note(notes: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def section_count_percentiles(notes: DataFrame, spans: DataFrame) -> DataFrame:
-    return _per_note(notes, spans).agg(*[quantile_disc("sections", p).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))], F.max("sections").alias("most"))
+    return _per_note(notes, spans).agg(*[quantile_disc("sections", p).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))],
+        F.max("sections").alias("most"))
 
 
 def body_lengths(spans: DataFrame) -> DataFrame:
     """For each section: notes, masked ones, quantiles of the body's characters, summed within a note."""
     per = spans.where(F.col("section") != OTHER).groupBy("section", "note_id").agg(F.sum("body_chars").alias("chars"), F.bool_and("body_masked").alias("masked"))
-    return per.groupBy("section").agg(F.count(F.lit(1)).alias("notes"), F.count_if("masked").alias("masked"), *[quantile_disc("chars", p).alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.95)])
+    return per.groupBy("section").agg(F.count(F.lit(1)).alias("notes"), F.count_if("masked").alias("masked"),
+        *[quantile_disc("chars", p).alias(f"p{round(p * 100)}") for p in (0.5, 0.75, 0.95)])
 
 
 def strip_share(spans: DataFrame) -> DataFrame:
@@ -166,7 +182,8 @@ def strip_share(spans: DataFrame) -> DataFrame:
     keys = [x.key for x in LEXICON if x.diagnostic]
     hit = F.col("section").isin(keys)
     per = spans.groupBy("note_id").agg(F.sum("span_chars").alias("chars"), F.sum(F.when(hit, F.col("span_chars")).otherwise(0)).alias("gone"))
-    return per.agg(F.count_if(F.col("gone") > 0).alias("notes"), F.round(ratio(F.sum("gone"), F.sum("chars")), 9).alias("share"), F.round(F.expr("percentile(gone / chars, 0.5)"), 9).alias("median_share"))
+    return per.agg(F.count_if(F.col("gone") > 0).alias("notes"), F.round(ratio(F.sum("gone"), F.sum("chars")), 9).alias("share"),
+        F.round(F.expr("percentile(gone / chars, 0.5)"), 9).alias("median_share"))
 
 
 def strip_residue(notes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -203,7 +220,8 @@ def literal_sections(notes: DataFrame, headers: dict[str, str]) -> DataFrame:
     keys = F.create_map(*[F.lit(x) for kv in headers.items() for x in kv])
     rows = notes.select("note_id", F.split(text, pattern).alias("bodies"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("found"))
     rows = rows.select("note_id", "found", F.posexplode("bodies").alias("position", "body"))
-    return rows.select("note_id", F.col("position").cast("long").alias("position"), F.try_element_at(keys, F.get("found", F.col("position") - 1)).alias("section"), "body")
+    return rows.select("note_id", F.col("position").cast("long").alias("position"), F.try_element_at(keys, F.get("found", F.col("position") - 1)).alias("section"),
+        "body")
 
 
 def segment_corpus(spans: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def allocate_rows(rows: DataFrame) -> DataFrame:
     x = rows.withColumn("exact", exact).withColumn("base", F.floor("exact"))
     rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.col("base") - F.col("exact"), "name"))
     left = F.col("words") - F.sum("base").over(every)
-    return x.withColumn("rank", rank).withColumn("left", left).select("unit", "name", (F.col("base") + (F.col("rank") <= F.col("left")).cast("long")).cast("long").alias("given"))
+    return x.withColumn("rank", rank).withColumn("left", left).select("unit", "name",
+        (F.col("base") + (F.col("rank") <= F.col("left")).cast("long")).cast("long").alias("given"))
 
 
 def phase_random(seed: int, phase: str) -> random.Random:
@@ -112,14 +113,16 @@ def sample_patients(spark: SparkSession, n: int, joint: dict[tuple[int, ...], fl
     for c, v in cells:
         total += v
         edge.append((total, c))
-    u = lambda phase, *more: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(phase), F.col("id").cast("string"), *more)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    u = lambda phase, *more: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(phase), F.col("id").cast("string"), *more)), 1, 13), 16,
+        10).cast("double") / float(1 << 52)
     q = continuation_ratio(mean, most)
     weights = [q**k for k in range(most)]
     notes = F.lit(1) + sum(((u("notes") >= sum(weights[: k + 1]) / sum(weights)).cast("int") for k in range(most - 1)), F.lit(0))
     pick = sum(((F.col("u") >= e).cast("int") for e, _ in edge[:-1]), F.lit(0))
     labels = F.element_at(F.array(*[F.array(*[F.lit(bool(x)) for x in c]) for _, c in edge]), pick + 1)
     rows = spark.range(1, n + 1).withColumn("u", u("labels")).withColumn("labels", labels).withColumn("k", F.explode(F.sequence(F.lit(1), notes)))
-    return rows.select(F.concat(F.col("id").cast("string"), F.lit("-DS-"), F.col("k").cast("string")).alias("note_id"), F.col("id").cast("string").alias("subject_id"), *[F.col("labels")[i].alias(c.key) for i, c in enumerate(POOL[: len(cells[0][0])])])
+    return rows.select(F.concat(F.col("id").cast("string"), F.lit("-DS-"), F.col("k").cast("string")).alias("note_id"), F.col("id").cast("string").alias("subject_id"),
+        *[F.col("labels")[i].alias(c.key) for i, c in enumerate(POOL[: len(cells[0][0])])])
 
 
 def corpus_tables(notes: DataFrame) -> dict[str, DataFrame]:
@@ -128,9 +131,12 @@ def corpus_tables(notes: DataFrame) -> dict[str, DataFrame]:
     own = [F.when(F.col(c.key), F.struct(F.lit(c.ten[0]).alias("icd_code"), F.lit("10").alias("icd_version"))) for c in POOL if c.key in notes.columns]
     codes = F.array_compact(F.array(F.struct(F.lit("Z00").alias("icd_code"), F.lit("10").alias("icd_version")), *own))
     return {
-        "discharge": notes.select("note_id", "subject_id", hadm.alias("hadm_id"), F.concat(F.lit("Name: ___\nBrief Hospital Course:\n"), F.repeat(F.concat(F.lit("note "), "note_id", F.lit(" ")), 12)).alias("text")),
-        "diagnoses_icd": notes.select("subject_id", hadm.alias("hadm_id"), F.posexplode(codes).alias("seq_num", "c")).select("subject_id", "hadm_id", F.col("seq_num").cast("string").alias("seq_num"), "c.icd_code", "c.icd_version"),
-        "patients": notes.select("subject_id").distinct().select("subject_id", F.lit("F").alias("gender"), F.lit("50").alias("anchor_age"), F.lit("2150").alias("anchor_year"), F.lit("2008 - 2010").alias("anchor_year_group")),
+        "discharge": notes.select("note_id", "subject_id", hadm.alias("hadm_id"),
+            F.concat(F.lit("Name: ___\nBrief Hospital Course:\n"), F.repeat(F.concat(F.lit("note "), "note_id", F.lit(" ")), 12)).alias("text")),
+        "diagnoses_icd": notes.select("subject_id", hadm.alias("hadm_id"), F.posexplode(codes).alias("seq_num", "c")).select("subject_id", "hadm_id",
+            F.col("seq_num").cast("string").alias("seq_num"), "c.icd_code", "c.icd_version"),
+        "patients": notes.select("subject_id").distinct().select("subject_id", F.lit("F").alias("gender"), F.lit("50").alias("anchor_age"),
+            F.lit("2150").alias("anchor_year"), F.lit("2008 - 2010").alias("anchor_year_group")),
         "admissions": notes.select(hadm.alias("hadm_id"), "subject_id", F.lit("2150-01-01 00:00:00").alias("admittime")),
     }
 
@@ -152,7 +158,8 @@ def sentinel_tables(table: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 def note_violations(notes: DataFrame, plans: DataFrame) -> DataFrame:
     """note_id and reason where a text and its plan (labels, sections, words, marks) disagree; every rule is a column expression."""
-    rows = plans.select(F.col("note_id").alias("pn"), "sections", "least_words", "most_words", "marks", "required", "forbidden").join(notes.select("note_id", "text"), F.col("pn") == F.col("note_id"), "left")
+    rows = plans.select(F.col("note_id").alias("pn"), "sections", "least_words", "most_words", "marks", "required", "forbidden").join(notes.select("note_id", "text"),
+        F.col("pn") == F.col("note_id"), "left")
     words = F.regexp_count("text", F.lit(r"\S+"))
     at = F.transform("sections", lambda s: F.instr(F.col("text"), F.concat(s, F.lit(":"))))
     low = F.lower("text")
@@ -171,4 +178,6 @@ def extract_rows(notes: DataFrame) -> DataFrame:
     """note_id and target for a reference extract with four kinds of cuts, by the place of the note in the order of ids."""
     kind = F.pmod(F.xxhash64("note_id"), F.lit(4))
     lines = F.split("text", "\n")
-    return notes.select("note_id", F.when(kind == 0, F.col("text")).when(kind == 1, F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1))), "\n")).when(kind == 2, F.concat("text", F.lit("\nmore"))).otherwise(F.get(lines, F.lit(0))).alias("target"))
+    return notes.select("note_id", F.when(kind == 0, F.col("text")).when(kind == 1,
+        F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1))), "\n")).when(kind == 2,
+        F.concat("text", F.lit("\nmore"))).otherwise(F.get(lines, F.lit(0))).alias("target"))

@@ -38,7 +38,8 @@ def note_metrics(notes: DataFrame) -> DataFrame:
 
 def length_percentiles(metrics: DataFrame, columns: tuple[str, ...] = ("chars", "words", "markers")) -> DataFrame:
     long = metrics.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*columns))).alias("metric", "x"))
-    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), *[quantile_disc("x", p).alias(f"p{round(p * 100):02d}") for p in PERCENTS])
+    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"),
+        *[quantile_disc("x", p).alias(f"p{round(p * 100):02d}") for p in PERCENTS])
 
 
 def length_histogram(metrics: DataFrame, column: str = "chars") -> DataFrame:
@@ -52,7 +53,8 @@ def histogram_shares(histogram: DataFrame) -> DataFrame:
 
 
 def marker_summary(metrics: DataFrame) -> DataFrame:
-    return metrics.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum("markers"), F.lit(0)).alias("markers"), F.count_if(F.col("markers") > 0).alias("with_marker"), F.coalesce(F.sum("longer_runs"), F.lit(0)).alias("longer_runs"))
+    return metrics.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum("markers"), F.lit(0)).alias("markers"), F.count_if(F.col("markers") > 0).alias("with_marker"),
+        F.coalesce(F.sum("longer_runs"), F.lit(0)).alias("longer_runs"))
 
 
 def residual_masks(metrics: DataFrame) -> DataFrame:
@@ -64,12 +66,14 @@ def residual_masks(metrics: DataFrame) -> DataFrame:
 def note_quality(metrics: DataFrame) -> DataFrame:
     """Empty, short, medium and long notes, and copies beyond the first of the same text (empty ones apart)."""
     c = F.col("chars")
-    return metrics.agg(F.count_if(c == 0).alias("empty"), F.count_if((c > 0) & (c < SHORT)).alias("short"), F.count_if((c >= SHORT) & (c < MEDIUM)).alias("medium"), F.count_if(c > LONG).alias("long"), (F.count("fingerprint") - F.count_distinct("fingerprint")).alias("duplicates"))
+    return metrics.agg(F.count_if(c == 0).alias("empty"), F.count_if((c > 0) & (c < SHORT)).alias("short"), F.count_if((c >= SHORT) & (c < MEDIUM)).alias("medium"),
+        F.count_if(c > LONG).alias("long"), (F.count("fingerprint") - F.count_distinct("fingerprint")).alias("duplicates"))
 
 
 def age_masks(metrics: DataFrame) -> DataFrame:
     a = F.col("age_masks")
-    return metrics.agg(F.count(F.lit(1)).alias("notes"), F.count_if(a == 0).alias("none"), F.count_if(a == 1).alias("one"), F.count_if(a > 1).alias("many"), F.count_if("age_anchor").alias("anchored"), F.count_if(F.col("numeric_ages") > 0).alias("numeric"))
+    return metrics.agg(F.count(F.lit(1)).alias("notes"), F.count_if(a == 0).alias("none"), F.count_if(a == 1).alias("one"), F.count_if(a > 1).alias("many"),
+        F.count_if("age_anchor").alias("anchored"), F.count_if(F.col("numeric_ages") > 0).alias("numeric"))
 
 
 def marker_means(metrics: DataFrame) -> DataFrame:
@@ -96,4 +100,5 @@ def residual_verdict(occurrences: int) -> str:
 
 def exact_duplicates(notes: DataFrame) -> DataFrame:
     """Groups of equal texts: the smallest note_id stands for each, by digest and checked by nothing weaker than SHA-256."""
-    return notes.where(F.length("text") > 0).groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("note_id").alias("note_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("note_id", "copies")
+    return notes.where(F.length("text") > 0).groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("note_id").alias("note_id"),
+        F.count(F.lit(1)).alias("copies")).where("copies > 1").select("note_id", "copies")

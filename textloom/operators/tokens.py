@@ -40,11 +40,13 @@ def _long(rows: DataFrame) -> DataFrame:
 
 
 def token_percentiles(rows: DataFrame) -> DataFrame:
-    return _long(rows).groupBy("tokenizer").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("min"), F.max("tokens").alias("max"), *[quantile_disc("tokens", p).alias(f"p{round(p * 100):02d}") for p in PERCENTS])
+    return _long(rows).groupBy("tokenizer").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("min"), F.max("tokens").alias("max"),
+        *[quantile_disc("tokens", p).alias(f"p{round(p * 100):02d}") for p in PERCENTS])
 
 
 def token_histogram(rows: DataFrame) -> DataFrame:
-    return _long(rows).where("tokens > 0").groupBy("tokenizer", (F.floor(F.log10(F.col("tokens").cast("double")) * 10) / F.lit(10.0)).cast("double").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _long(rows).where("tokens > 0").groupBy("tokenizer",
+        (F.floor(F.log10(F.col("tokens").cast("double")) * 10) / F.lit(10.0)).cast("double").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def window_summary(rows: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -54,7 +56,8 @@ def window_summary(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     content = (F.col("tokens") - F.element_at(special, F.col("tokenizer"))).cast("double") * scale
     cap = F.element_at(table, F.col("tokenizer")).cast("double")
     rows = _long(rows).select("tokenizer", content.alias("content"), cap.alias("cap"))
-    return rows.groupBy("tokenizer").agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("content") <= F.col("cap")).alias("fit"), F.sum(F.when(F.col("content") > 0, F.ceil(F.col("content") / F.col("cap"))).otherwise(0)).cast("long").alias("parts"))
+    return rows.groupBy("tokenizer").agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("content") <= F.col("cap")).alias("fit"),
+        F.sum(F.when(F.col("content") > 0, F.ceil(F.col("content") / F.col("cap"))).otherwise(0)).cast("long").alias("parts"))
 
 
 def translation_capacity(window: int, overhead: int, reserve: float) -> float:
@@ -121,7 +124,8 @@ def split_sample(parts: DataFrame, lengths: DataFrame, capacity: int = 64) -> Da
     """One row: sampled notes, exact parts against the lower bound of their tokens, and how often the two differ."""
     low = F.greatest(F.ceil(F.col("words_n") / F.lit(float(capacity))), F.lit(1)).cast("long")
     rows = parts.join(lengths.toDF("ln", "words_n"), F.col("note_id") == F.col("ln")).where("not unsplittable").withColumn("low", low)
-    return rows.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum("parts"), F.lit(0)).alias("parts"), F.coalesce(F.sum("low"), F.lit(0)).alias("least"), F.count_if(F.col("parts") != F.col("low")).alias("differ"))
+    return rows.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum("parts"), F.lit(0)).alias("parts"), F.coalesce(F.sum("low"), F.lit(0)).alias("least"),
+        F.count_if(F.col("parts") != F.col("low")).alias("differ"))
 
 
 def token_windows(tokens: Column, prefix: list[str], suffix: list[str], window: int) -> Column:
@@ -137,7 +141,8 @@ def parallel_ratio(pairs: DataFrame) -> DataFrame:
     """Median and 95th percentile (nearest rank) of the lengths' ratio, for pairs (a, b) of token counts."""
     rows = pairs.where("a > 0").select((F.col("b").cast("double") / F.col("a")).alias("r"))
     n, (median, p95) = nearest_rank(rows, "r", (0.5, 0.95))
-    return pairs.sparkSession.createDataFrame([(n, median, p95)], "pairs long, m double, p double").select("pairs", F.round("m", 9).alias("median"), F.round("p", 9).alias("p95"))
+    return pairs.sparkSession.createDataFrame([(n, median, p95)], "pairs long, m double, p double").select("pairs", F.round("m", 9).alias("median"),
+        F.round("p", 9).alias("p95"))
 
 
 def encoder_verdict(fit: int, notes: int, least: float = 0.95) -> str:

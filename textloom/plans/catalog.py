@@ -51,7 +51,8 @@ query("corpus_comparison", sql.COMPARISON)(lambda s, d: corpus.corpus_comparison
 query("patient_summary", sql.PATIENT_SUMMARY)(lambda s, d: corpus.patient_summary(lens(s, d, "order_notes")))
 query("notes_per_patient", sql.per("subject_id", 10))(lambda s, d: corpus.notes_per_patient(lens(s, d, "order_notes")))
 query("notes_per_admission", sql.per("hadm_id", 3))(lambda s, d: corpus.notes_per_admission(lens(s, d, "order_notes")))
-query("hadm_coverage", sql.COVERAGE)(lambda s, d: corpus.hadm_coverage({"discharge": lens(s, d, "discharge"), "radiology": lens(s, d, "radiology")}, lens(s, d, "diagnoses_icd")))
+query("hadm_coverage", sql.COVERAGE)(lambda s, d: corpus.hadm_coverage({"discharge": lens(s, d, "discharge"), "radiology": lens(s, d, "radiology")},
+    lens(s, d, "diagnoses_icd")))
 
 
 def _era(s, d):
@@ -114,8 +115,11 @@ query("window_summary", sql.WINDOW_SUMMARY)(lambda s, d: tokens.window_summary(_
 query("hash_sample", sql.HASH_SAMPLE)(lambda s, d: tokens.hash_sample(lens(s, d, "discharge"), 100).select("note_id", F.length("text").cast("long").alias("chars")))
 query("parallel_ratio", sql.PARALLEL_RATIO)(lambda s, d: tokens.parallel_ratio(_tokens(s, d).select((F.col("words") - 2).alias("a"), (F.col("pieces") - 2).alias("b"))))
 query("note_parts")(lambda s, d: tokens.note_parts(lens(s, d, "discharge"), capacity=200))
-query("split_sample")(lambda s, d: tokens.split_sample(tokens.note_parts(tokens.hash_sample(lens(s, d, "discharge")), capacity=200), _tokens(s, d).select("note_id", (F.col("words") - 2)), 200))
-query("token_windows", sql.TOKEN_WINDOWS)(lambda s, d: lens(s, d, "discharge").select("note_id", tokens.token_windows(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)), ["<s>"], ["</s>"], 128).alias("w")).select("note_id", F.size("w").cast("long").alias("windows"), F.aggregate("w", F.lit(0), lambda t, x: t + F.size(x) - 2).cast("long").alias("tokens")))
+query("split_sample")(lambda s, d: tokens.split_sample(tokens.note_parts(tokens.hash_sample(lens(s, d, "discharge")), capacity=200),
+    _tokens(s, d).select("note_id", (F.col("words") - 2)), 200))
+query("token_windows", sql.TOKEN_WINDOWS)(lambda s, d: lens(s, d, "discharge").select("note_id", tokens.token_windows(F.regexp_extract_all(F.coalesce("text", F.lit("")),
+    F.lit(r"\S+"), F.lit(0)), ["<s>"], ["</s>"], 128).alias("w")).select("note_id", F.size("w").cast("long").alias("windows"),
+    F.aggregate("w", F.lit(0), lambda t, x: t + F.size(x) - 2).cast("long").alias("tokens")))
 
 # --- codes --------------------------------------------------------------------------------------------------------
 
@@ -127,7 +131,8 @@ query("candidate_notes", sql.CANDIDATE_NOTES)(lambda s, d: codes.candidate_notes
 query("candidate_prevalence", sql.PREVALENCE)(lambda s, d: codes.candidate_prevalence(_corpus(s, d), _codes(s, d)))
 query("cooccurrence", sql.COOCCURRENCE)(lambda s, d: codes.cooccurrence(_codes(s, d)))
 query("preselection", sql.PRESELECTION)(lambda s, d: codes.preselection(codes.candidate_prevalence(_corpus(s, d), _codes(s, d))))
-query("uncovered_groups", sql.uncovered_groups(codes.COMORBIDITIES))(lambda s, d: codes.uncovered_groups(codes.group_counts(_codes(s, d), codes.COMORBIDITIES), _corpus(s, d)))
+query("uncovered_groups", sql.uncovered_groups(codes.COMORBIDITIES))(lambda s,
+    d: codes.uncovered_groups(codes.group_counts(_codes(s, d), codes.COMORBIDITIES), _corpus(s, d)))
 query("era_gaps", sql.ERA_GAPS)(lambda s, d: codes.era_gaps(codes.candidate_prevalence(_corpus(s, d), _codes(s, d))))
 query("redundant_pairs", sql.REDUNDANT_PAIRS)(lambda s, d: codes.redundant_pairs(codes.cooccurrence(_codes(s, d))))
 query("label_codes", sql.LABEL_CODES)(lambda s, d: codes.label_codes(lens(s, d, "diagnoses_icd")))
@@ -225,14 +230,17 @@ def _parts(s, d):
 
 query("normalized_text", sql.NORMALIZED)(lambda s, d: preprocessing.normalized(_acronym_notes(s, d)))
 query("classifier_text", sql.CLASSIFIER_TEXT)(lambda s, d: _acronym_notes(s, d).select("note_id", notetext.classifier_text(F.col("text")).alias("text")))
-query("note_preprocessing", sql.NOTE_PREPROCESSING)(lambda s, d: _vocabulary(s, d).select("note_id", "tokens_raw", F.size("vocabulary_raw").cast("long").alias("vocabulary"), F.sha2(F.array_join("vocabulary_raw", " "), 256).alias("digest")))
+query("note_preprocessing", sql.NOTE_PREPROCESSING)(lambda s, d: _vocabulary(s, d).select("note_id", "tokens_raw",
+    F.size("vocabulary_raw").cast("long").alias("vocabulary"), F.sha2(F.array_join("vocabulary_raw", " "), 256).alias("digest")))
 query("preprocessing_summary", sql.PREPROCESSING_SUMMARY)(lambda s, d: preprocessing.preprocessing_summary(_vocabulary(s, d)))
 query("acronym_occurrences", sql.acronym_occurrences())(lambda s, d: preprocessing.occurrences(_acronym_notes(s, d)))
 query("variant_occurrences", sql.variant_occurrences())(lambda s, d: preprocessing.occurrences(_acronym_notes(s, d), "variant"))
 query("term_cells", sql.term_cells())(lambda s, d: preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d)), _codes(s, d)))
-query("acronym_summary", sql.term_summary())(lambda s, d: preprocessing.term_summary(preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d)), _codes(s, d))))
+query("acronym_summary", sql.term_summary())(lambda s, d: preprocessing.term_summary(preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d)),
+    _codes(s, d))))
 query("variant_cells", sql.variant_cells())(lambda s, d: preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d), "variant"), _codes(s, d)))
-query("variant_summary", sql.variant_summary())(lambda s, d: preprocessing.term_summary(preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d), "variant"), _codes(s, d))))
+query("variant_summary", sql.variant_summary())(lambda s, d: preprocessing.term_summary(preprocessing.term_cells(preprocessing.occurrences(_acronym_notes(s, d),
+    "variant"), _codes(s, d))))
 query("ngram_counts", sql.ngrams(False))(lambda s, d: preprocessing.ngram_counts(_parts(s, d)))
 query("ngram_counts_by_section", sql.ngrams(True))(lambda s, d: preprocessing.ngram_counts(_parts(s, d), by_section=True))
 query("ngram_ranking", sql.ngram_ranking())(lambda s, d: preprocessing.ngram_ranking(preprocessing.ngram_counts(_parts(s, d))))
@@ -296,7 +304,8 @@ query("average_precision", sql.AP)(lambda s, d: evaluation.average_precision(_pr
 query("max_f1", sql.MAX_F1)(lambda s, d: evaluation.max_f1(_predictions(s, d)))
 query("macro_max_f1", sql.MACRO_MAX_F1)(lambda s, d: evaluation.macro_max_f1(_predictions(s, d)))
 query("model_evaluation", sql.MODEL_EVALUATION)(lambda s, d: evaluation.model_evaluation(_predictions(s, d)))
-query("evaluation_faults", sql.FAULTS)(lambda s, d: evaluation.evaluation_faults(_predictions(s, d), lens(s, d, "discharge").select((F.col("hadm_id").cast("long") - 1).alias("note_id"))))
+query("evaluation_faults", sql.FAULTS)(lambda s, d: evaluation.evaluation_faults(_predictions(s, d), lens(s, d,
+    "discharge").select((F.col("hadm_id").cast("long") - 1).alias("note_id"))))
 query("fold_gaps", sql.FOLD_GAPS)(lambda s, d: evaluation.fold_gaps(_predictions(s, d)))
 query("publishable_metrics", sql.PUBLISHABLE)(lambda s, d: evaluation.publishable_metrics(evaluation.binary_metrics(_predictions(s, d), ("row_id", "diagnosis")), 90))
 query("latency_percentiles", sql.LATENCY)(lambda s, d: (tables(s, d), evaluation.latency_summary(s.table("events").select("value"), "value"))[1])
@@ -313,8 +322,10 @@ def _screening(s, d):
 
 
 query("screening_summary", sql.SCREENING_SUMMARY)(lambda s, d: evaluation.screening_summary(_screening(s, d)))
-query("screening_grid_faults", sql.GRID_FAULTS)(lambda s, d: evaluation.screening_grid_faults(_screening(s, d), {"fold": [0, 1, 2, 3, 4, 5], "family": ["F", "O", "P", "X"], "vectorizer": ["1", "2", "3", "4", "5"]}))
-query("best_trial", sql.BEST_TRIAL)(lambda s, d: evaluation.best_trial(_screening(s, d).select(F.col("family").alias("diagnosis"), F.col("fold").alias("trial"), F.round("f1", 2).alias("value")).groupBy("diagnosis", "trial").agg(F.max("value").alias("value"))))
+query("screening_grid_faults", sql.GRID_FAULTS)(lambda s, d: evaluation.screening_grid_faults(_screening(s, d),
+    {"fold": [0, 1, 2, 3, 4, 5], "family": ["F", "O", "P", "X"], "vectorizer": ["1", "2", "3", "4", "5"]}))
+query("best_trial", sql.BEST_TRIAL)(lambda s, d: evaluation.best_trial(_screening(s, d).select(F.col("family").alias("diagnosis"), F.col("fold").alias("trial"),
+    F.round("f1", 2).alias("value")).groupBy("diagnosis", "trial").agg(F.max("value").alias("value"))))
 
 # --- features and classifiers -------------------------------------------------------------------------------------
 
@@ -324,12 +335,17 @@ def _grams(s, d):
     return s.sql(sql.LABELLED).select("id", "fold", "label", F.filter(notetext.tokens(F.col("text")), lambda w: w.rlike(r"\A[a-z]+\z")).alias("grams"))
 
 
-query("tfidf_weights", sql.TFIDF)(lambda s, d: features.tfidf(_grams(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("grams"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most")))
+query("tfidf_weights", sql.TFIDF)(lambda s, d: features.tfidf(_grams(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("grams"),
+    F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most")))
 query("nb_log_ratio", sql.NB_RATIO)(lambda s, d: features.nb_log_ratio(_grams(s, d)).select("gram", F.round("r", 6).alias("r")))
-query("complement_nb", sql.COMPLEMENT_NB)(lambda s, d: features.linear_scores(_grams(s, d), features.complement_nb(_grams(s, d)), "log_odds").select("id", F.round("score", 4).alias("score")))
-query("char_wb", sql.CHAR_WB)(lambda s, d: (tables(s, d), s.sql(sql.LABELLED).select("id", features.char_wb(F.col("text"), 3, 4).alias("g")).select("id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("distinct_grams")))[1])
-query("standard_scaler", sql.SCALER)(lambda s, d: (tables(s, d), features.standard_scale(s.table("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x").select("id", "position", F.round("value", 5).alias("value")))[1])
-query("mean_pool", sql.MEAN_POOL)(lambda s, d: (tables(s, d), features.mean_pool(s.table("embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x", "label").select("label", "position", F.round("mean", 6).alias("mean")))[1])
+query("complement_nb", sql.COMPLEMENT_NB)(lambda s, d: features.linear_scores(_grams(s, d), features.complement_nb(_grams(s, d)), "log_odds").select("id",
+    F.round("score", 4).alias("score")))
+query("char_wb", sql.CHAR_WB)(lambda s, d: (tables(s, d), s.sql(sql.LABELLED).select("id", features.char_wb(F.col("text"), 3, 4).alias("g")).select("id",
+    F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("distinct_grams")))[1])
+query("standard_scaler", sql.SCALER)(lambda s, d: (tables(s, d), features.standard_scale(s.table("embeddings").select(F.col("vec_id").alias("id"),
+    F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x").select("id", "position", F.round("value", 5).alias("value")))[1])
+query("mean_pool", sql.MEAN_POOL)(lambda s, d: (tables(s, d), features.mean_pool(s.table("embeddings").select("label",
+    F.transform("embedding", lambda x: x.cast("double")).alias("x")), "x", "label").select("label", "position", F.round("mean", 6).alias("mean")))[1])
 
 
 #: Outer folds of the classifiers, and what their grid is made of.
@@ -375,11 +391,14 @@ def _ascii(df, column="text"):
 
 query("overlap_audit", sql.OVERLAP)(lambda s, d: audit.overlap_audit(*[_ascii(x) for x in _audit_sides(s, d)]))
 query("overlap_audit_nfkc")(lambda s, d: audit.overlap_audit(*[audit.nfkc(x) for x in _audit_sides(s, d)]))
-query("audit_gate", sql.GATE)(lambda s, d: audit.audit_gate(audit.overlap_audit(*[_ascii(x) for x in _audit_sides(s, d)]), audit.subject_collisions(lens(s, d, "discharge"), lens(s, d, "radiology"))))
+query("audit_gate", sql.GATE)(lambda s, d: audit.audit_gate(audit.overlap_audit(*[_ascii(x) for x in _audit_sides(s, d)]),
+    audit.subject_collisions(lens(s, d, "discharge"), lens(s, d, "radiology"))))
 query("subject_collisions", sql.COLLISIONS)(lambda s, d: audit.subject_collisions(lens(s, d, "discharge"), lens(s, d, "radiology")))
-query("reference_difference", sql.REFERENCE_DIFFERENCE)(lambda s, d: (tables(s, d), audit.reference_difference(s.table("documents").select("lang", "source"), s.table("documents").where("doc_id % 3 <> 0").select("lang", "source")))[1])
+query("reference_difference", sql.REFERENCE_DIFFERENCE)(lambda s, d: (tables(s, d), audit.reference_difference(s.table("documents").select("lang", "source"),
+    s.table("documents").where("doc_id % 3 <> 0").select("lang", "source")))[1])
 query("corpus_statistics", sql.STATISTICS)(lambda s, d: audit.corpus_statistics(_marked_notes(s, d)))
-query("statistics_violations", sql.STATISTICS_VIOLATIONS)(lambda s, d: audit.statistics_violations(audit.corpus_statistics(_marked_notes(s, d)), {"median_words": 180.0, "log_deviation": 1.0, "marks_per_thousand": 1000.0}))
+query("statistics_violations", sql.STATISTICS_VIOLATIONS)(lambda s, d: audit.statistics_violations(audit.corpus_statistics(_marked_notes(s, d)),
+    {"median_words": 180.0, "log_deviation": 1.0, "marks_per_thousand": 1000.0}))
 
 
 def _translations(s, d):
@@ -389,12 +408,15 @@ def _translations(s, d):
 
 query("translation_checks", sql.TRANSLATION_CHECKS)(lambda s, d: audit.translation_checks(*_translations(s, d)))
 query("binding_violations", sql.BINDING)(lambda s, d: (tables(s, d), audit.binding(s.sql(sql.BINDING_PARTS), s.sql(sql.BINDING_WHOLE)))[1])
-query("masked_markers", sql.MASKED)(lambda s, d: _marked_notes(s, d).select("note_id", audit.mask_markers(F.coalesce("text", F.lit(""))).alias("masked")).select("note_id", F.sha2("masked", 256).alias("masked"), F.sha2(audit.restore_markers(F.col("masked")), 256).alias("restored")))
-query("placeholder_problems", sql.PLACEHOLDERS)(lambda s, d: (tables(s, d), s.sql(sql.PLACEHOLDER_ROWS).select("pair_id", F.array_join(audit.placeholder_problems(F.col("a"), F.col("b")), ", ").alias("problems")))[1])
+query("masked_markers", sql.MASKED)(lambda s, d: _marked_notes(s, d).select("note_id", audit.mask_markers(F.coalesce("text",
+    F.lit(""))).alias("masked")).select("note_id", F.sha2("masked", 256).alias("masked"), F.sha2(audit.restore_markers(F.col("masked")), 256).alias("restored")))
+query("placeholder_problems", sql.PLACEHOLDERS)(lambda s, d: (tables(s, d), s.sql(sql.PLACEHOLDER_ROWS).select("pair_id",
+    F.array_join(audit.placeholder_problems(F.col("a"), F.col("b")), ", ").alias("problems")))[1])
 query("collect_requests", sql.REQUESTS)(lambda s, d: (tables(s, d), audit.collect_requests(s.sql("SELECT doc_id AS key FROM documents"), s.sql(sql.ANSWERS)))[1])
 query("demo_examples", sql.DEMO)(lambda s, d: audit.demo_examples(_predictions(s, d)))
 query("label_shares", sql.label_shares())(lambda s, d: synthetic.label_shares(_cohort(s, d), LABELS))
-query("prevalence_outliers", sql.prevalence_outliers())(lambda s, d: synthetic.prevalence_outliers(synthetic.label_shares(_cohort(s, d), LABELS), {x: 0.2 for x in LABELS}))
+query("prevalence_outliers", sql.prevalence_outliers())(lambda s, d: synthetic.prevalence_outliers(synthetic.label_shares(_cohort(s, d), LABELS),
+    {x: 0.2 for x in LABELS}))
 query("allocation", sql.ALLOCATION)(lambda s, d: (tables(s, d), synthetic.allocate_rows(s.sql(sql.ALLOCATION_ROWS)))[1])
 
 
@@ -404,9 +426,12 @@ def _sampled(s, d):
 
 query("sampled_patients")(_sampled)
 query("synthetic_tables")(lambda s, d: synthetic.corpus_tables(_sampled(s, d))["diagnoses_icd"])
-query("synthetic_funnel")(lambda s, d: corpus.corpus_funnel(corpus.input_corpus_selection(synthetic.corpus_tables(_sampled(s, d))["discharge"], synthetic.corpus_tables(_sampled(s, d))["diagnoses_icd"])))
-query("sentinel_tables", sql.SENTINEL)(lambda s, d: (tables(s, d), synthetic.sentinel_tables(s.table("nation").select("n_nationkey", "n_name"), "nation", ["n_nationkey"]))[1])
-query("note_violations", sql.NOTE_VIOLATIONS)(lambda s, d: synthetic.note_violations(lens(s, d, "sectioned").select("note_id", "text"), (tables(s, d), s.sql(sql.PLANS))[1]))
+query("synthetic_funnel")(lambda s, d: corpus.corpus_funnel(corpus.input_corpus_selection(synthetic.corpus_tables(_sampled(s, d))["discharge"],
+    synthetic.corpus_tables(_sampled(s, d))["diagnoses_icd"])))
+query("sentinel_tables", sql.SENTINEL)(lambda s, d: (tables(s, d), synthetic.sentinel_tables(s.table("nation").select("n_nationkey", "n_name"), "nation",
+    ["n_nationkey"]))[1])
+query("note_violations", sql.NOTE_VIOLATIONS)(lambda s, d: synthetic.note_violations(lens(s, d, "sectioned").select("note_id", "text"),
+    (tables(s, d), s.sql(sql.PLANS))[1]))
 
 # --- tables that grow ---------------------------------------------------------------------------------------------
 

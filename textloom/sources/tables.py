@@ -60,7 +60,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
             raise Refused("the file is not compressed as its name says")
     check_quotes(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in csv_header(spark, path)])
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', nullValue="", emptyValue="", mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', nullValue="", emptyValue="", mode="FAILFAST",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def convert_csv(spark: SparkSession, source: str, target: str) -> dict:
@@ -82,7 +83,8 @@ def record_count(spark: SparkSession, path: str) -> int:
 
     Lines are counted within splits of one file; the first pass sums the quotes of each split, the second starts from the sum before it.
     """
-    lines = spark.read.text(path).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("q"))
+    lines = spark.read.text(path).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("q"))
     lines = lines.persist()
     sums = {r["p"]: r["q"] for r in lines.groupBy("p").agg(F.sum("q").alias("q")).collect()}  # a row for each split
     before, total = {}, 0
