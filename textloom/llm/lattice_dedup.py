@@ -34,7 +34,7 @@ THRESHOLD = 0.93
 #: Lattice tables, eight-dimensional blocks of each, probed neighbours, the size of a cell, and the seed.
 TABLES, BLOCKS, PROBES, CELL, SEED = 10, 2, 16, 1.8, 7
 #: Vectors of a block of a large cell, vectors of cells that are verified all at once by their size, and pairs of one step.
-BLOCK, SMALL, STEP = 2000, 16, 1 << 14
+BLOCK, SMALL, STEP = 1000, 16, 1 << 14
 
 
 def _roots() -> np.ndarray:
@@ -314,7 +314,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     tiles = tiles.select("cell", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id")
     tiles = tiles.join(posts.drop("cells"), "id").select("cell", "i", "j", "block", "id", "copies", "label", "unit", "codes")
     tiles = tiles.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    met = scratch.write(arrow_map(tiles, _cells, "a long, b long, links long"), "met", narrow=True)
+    met = scratch.write(arrow_map(tiles, _cells, "a long, b long, links long"), "met")
     scratch.drop(posts, again)
 
     links = met.where("links is not null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
