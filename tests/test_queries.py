@@ -47,7 +47,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 #: Grids of models, which take minutes: their parts are tested in tests/test_linear.py.
-GRIDS = {"screening_results", "screening_selection", "boosted_trees_on_components"}
+GRIDS = {"screening_results", "boosted_trees_on_components"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE) - GRIDS))

@@ -375,7 +375,6 @@ query("naive_bayes")(_classifier("complement_nb"))
 query("boosted_trees_on_components")(_classifier("gbt"))
 query("tuned_threshold")(lambda s, d: features.tuned_threshold(_folded(s, d), "logistic", FOLDS))
 query("screening_results")(_screening_results)
-query("screening_selection")(lambda s, d: evaluation.screening_summary(_screening_results(s, d)))
 
 # --- audits and synthetic corpora ---------------------------------------------------------------------------------
 
