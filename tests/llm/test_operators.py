@@ -227,6 +227,19 @@ def test_bootstrapping_finds_what_patterns_miss(spark, tmp_path):
     assert pii.personal_data(spark, docs_of(spark, [])).count() == 0
 
 
+def test_counts_of_each_kind_equal_plain_patterns(spark, tmp_path):
+    rng = random.Random(8)
+    pieces = ["a@b.c", "x", "@", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (202) 555-0143", "é\U0001f600", "\n", ""]
+    rows = [(k, " x ".join(rng.choices(pieces, k=rng.randint(0, 12)))) for k in range(300)] + [(900, None), (901, ""), (902, "host 1.2.3.4 up")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.query(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        spans = brute_spans(t or "")
+        line = ",".join(f"{pii.BASE[k]}:{a}:{z}" for k, a, z in spans)
+        assert got[i] == (*[sum(k == x for k, _, _ in spans) for x in range(4)], hashlib.sha256(line.encode()).hexdigest()), t
+    assert got[902][:4] == (0, 1, 0, 0)
+
+
 def brute_discovered(texts):
     """The rounds of the docstring in plain Python: (document, kind, start, end) of all added spans."""
     cells = [(i, c) for i, t in texts.items() for c in pii.slots(t, pii.base_spans(t))]

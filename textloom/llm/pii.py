@@ -261,6 +261,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def line(spans):
         return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    def count(k: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")  # a second argument would be the position
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     added = F.size("added").cast("long").alias("n_added")
     return out.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.concat("base", "added")).alias("spans"), added)
